@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladle.llm import op5_mixing, op9_urls
+from ladle.llm import op3_licenses, op5_mixing, op7_tokens, op9_urls, op10_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_license_scan": op3_licenses.op3_license_scan,
         "op5_mixing": op5_mixing.op5_mixing,
+        "op7_token_counts": op7_tokens.op7_token_counts,
         "op9_url_filter": op9_urls.op9_url_filter,
+        "op10_token_ids": op10_token_ids.op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": op9_urls.SQL}
+    return {"op3_license_scan": op3_licenses.SQL, "op9_url_filter": op9_urls.SQL}
