@@ -102,7 +102,7 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) == 0:
         return h
     width = min(n, len(h))
-    out = np.full(len(h) - width + 1, np.uint64(width) * _STEP)
+    out = np.full(len(h) - width + 1, np.uint64(width * int(_STEP) & (1 << 64) - 1))
     with np.errstate(over="ignore"):
         for j in range(width):
             out = mix(out + h[j : len(h) - width + 1 + j]) + _STEP

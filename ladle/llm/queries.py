@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladle.llm import op3_licenses, op5_mixing, op7_tokens, op9_urls, op10_token_ids
+from ladle.llm import op1_warc, op2_rules, op3_licenses, op5_mixing, op6_quality, op7_tokens, op9_urls, op10_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc.op1_warc,
+        "op2_quality_rules": op2_rules.op2_quality_rules,
         "op3_license_scan": op3_licenses.op3_license_scan,
         "op5_mixing": op5_mixing.op5_mixing,
+        "op6_quality": op6_quality.op6_quality,
         "op7_token_counts": op7_tokens.op7_token_counts,
         "op9_url_filter": op9_urls.op9_url_filter,
         "op10_token_ids": op10_token_ids.op10_token_ids,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": op3_licenses.SQL, "op9_url_filter": op9_urls.SQL}
+    return {"op1_warc": op1_warc.SQL, "op3_license_scan": op3_licenses.SQL, "op9_url_filter": op9_urls.SQL}
