@@ -4,8 +4,8 @@ Documents are dealt by ranges of doc_id, sorted and encoded, one file a range; t
 successful tasks wrote (one row a file) gives each file its place in the whole. A repeated or lost task writes a file of
 another name, and only the one in the manifest counts.
 
-The tokenizer drops white space, so the text between two ASCII white-space characters is encoded by itself: each worker
-remembers the ids of such words, up to a bound.
+The tokenizer lower-cases and drops white space, so what stands between two ASCII white-space characters is encoded by
+itself: each worker remembers the ids of such words, up to a bound.
 
 Defined results: null and empty texts hold only the end id; null doc_ids come first; rows with the same doc_id stand
 together, in order of their text; repeated rows give a row each; an empty table gives an empty table; extra columns are
@@ -33,15 +33,22 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, through a bounded memory of the ids of words."""
+    """Ids of texts as little-endian 32-bit bytes, through a bounded memory of the ids of words.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    A word is encoded in lower case, as the tokenizer does, and closing punctuation apart from the word. Words of letters
+    only are one unit of the tokenizer each, so many are encoded as one text and told apart by their last tokens.
+    """
+
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.model.no_truncation()
         self.model.no_padding()
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -49,17 +56,56 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _each(self, words: list[bytes]) -> Iterator[bytes]:
+        for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Add the ids of words that are in the form in which they are encoded."""
+        known, letters, others = self.known, [], []
+        for w in words:
+            (letters if w.decode().isalpha() else others).append(w)
+        for k in range(0, len(letters), 256):
+            part = letters[k : k + 256]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data, start = ids.tobytes(), 0
+                for w, end in zip(part, ends.tolist(), strict=True):
+                    known[w] = data[start:end]
+                    start = end
+            else:  # the tokenizer's letters are not Python's
+                others += part
+        for k in range(0, len(others), 5000):
+            known.update(zip(others[k : k + 5000], self._each(others[k : k + 5000]), strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > self.limit:
+            known.clear()
+        found = [list(map(known.get, words)) for words in split]
+        missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        forms, plain = {}, set()
+        for w in {words[i] for words, row in zip(split, missing, strict=True) for i in row}:
+            if b"<|" in w:  # may hold a special token, whose case counts
+                plain.add(w)
+                continue
+            core = w.rstrip(b".,;:!?")
+            if core and core[-1:].isalnum() and len(core) < len(w):
+                forms[w] = (core.lower(), w[len(core) :])
+                plain.update(forms[w])
+            else:
+                forms[w] = (w.lower(), b"")
+                plain.add(forms[w][0])
+        self._learn(plain.difference(known))
+        for w, (core, end) in forms.items():
+            if w not in known:
+                known[w] = known[core] + known[end] if end else known[core]
+        for words, row, holes in zip(split, found, missing, strict=True):
+            for i in holes:
+                row[i] = known[words[i]]
+        return list(map(b"".join, found))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, files: int | None = None) -> list[tuple[str, int, int]]:
