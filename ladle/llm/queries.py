@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladle.llm import op1_warc, op2_rules, op3_licenses, op5_mixing, op6_quality, op7_tokens, op9_urls, op10_token_ids
+from ladle.llm import op1_warc, op2_rules, op3_licenses, op4_jaccard, op5_mixing, op6_quality, op7_tokens, op8_decontaminate, op9_urls, op10_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc.op1_warc,
         "op2_quality_rules": op2_rules.op2_quality_rules,
         "op3_license_scan": op3_licenses.op3_license_scan,
+        "op4_jaccard_join": op4_jaccard.op4_jaccard_join,
         "op5_mixing": op5_mixing.op5_mixing,
         "op6_quality": op6_quality.op6_quality,
         "op7_token_counts": op7_tokens.op7_token_counts,
+        "op8_decontaminate": op8_decontaminate.op8_decontaminate,
         "op9_url_filter": op9_urls.op9_url_filter,
         "op10_token_ids": op10_token_ids.op10_token_ids,
     }
