@@ -5,7 +5,8 @@ lost or repeated task leaves nothing that readers see. Reading: the driver lists
 partitions by size; predicates on record type and header fields are pushed into the reader, which parses headers first
 and steps over the payloads of records that it drops (or of all, with payload=false) without reading or decoding them.
 
-Options: path; payload (true); partition_bytes for reading; archive_bytes and date for writing.
+Options: path; payload (true); partition_bytes for reading; compress (true: one gzip member a record, with its length in
+the member's extra field, so that it can be stepped over), archive_bytes and date for writing.
 
 `dedupe_payloads` turns pages into response and revisit records. Of rows with equal payloads of at least `least` bytes,
 those with the smallest page_id are responses, others revisit it. Defined results: a null html is an empty payload; rows
@@ -16,9 +17,9 @@ ignored; payloads are written whole, whatever their length.
 
 from __future__ import annotations
 
-import gzip
-import io
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,23 +89,67 @@ class _Plain:
 
 
 class _Gzip:
-    """The same for compressed archives, in which payloads must be inflated to be passed over, though not kept."""
+    """The same for archives of one gzip member a record.
+
+    Members whose extra field tells their length are stepped over without inflating more than the record's header; the
+    payloads of others must be inflated to find the next member.
+    """
 
     def __init__(self, file: pa.NativeFile):
-        self.stream = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 18)
+        self.file, self.size, self.start, self.next = file, file.size(), 0, 0
+        self.window = _Plain(file)
+
+    def _open(self) -> None:
+        self.window.at = self.start = self.next
+        head = self.window.read(min(24, self.size - self.start))
+        self.next = None
+        if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
+            self.next = self.start + struct.unpack("<I", head[16:20])[0] or None
+        self.at, self.inflate, self.out = self.start, zlib.decompressobj(31), b""
+
+    def _more(self, n: int) -> bool:
+        """Inflate some more; False at the member's end."""
+        if self.inflate.eof or self.at >= self.size:
+            return False
+        self.window.at = self.at
+        data = self.window.read(min(n, (self.next or self.size) - self.at))
+        self.at += len(data)
+        self.out += self.inflate.decompress(data)
+        if self.inflate.eof and self.next is None:
+            self.next = self.at - len(self.inflate.unused_data)
+        return True
 
     def head(self) -> bytes | None:
-        lines: list[bytes] = []
-        while (line := self.stream.readline()) and line != b"\r\n":
-            lines.append(line)
-        return b"".join(lines)[:-2] if lines else None
+        if self.next is None:
+            while self._more(1 << 16):
+                self.out = b""
+            self.next = self.next or self.size
+        if self.next >= self.size:
+            return None
+        self._open()
+        while (k := self.out.find(b"\r\n\r\n")) < 0:
+            if not self._more(2048):
+                raise ValueError("a WARC record's header has no end")
+        got, self.out = self.out[:k], self.out[k + 4 :]
+        return got
 
     def read(self, n: int) -> bytes:
-        return self.stream.read(n)
+        while len(self.out) < n and self._more(1 << 18):
+            pass
+        got, self.out = self.out[:n], self.out[n:]
+        return got
 
     def skip(self, n: int) -> None:
-        while n > 0 and (got := len(self.stream.read(min(n, 1 << 18)))):
-            n -= got
+        """Nothing to do: head() goes on at the next member."""
+
+
+def gzip_member(data: bytes, level: int = 6) -> bytes:
+    """A gzip member with its own length and that of its content in the extra field "sl"; 0 where they are too large."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    size = 24 + len(body) + 8
+    lengths = (size, len(data)) if max(size, len(data)) < 1 << 32 else (0, 0)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0" + struct.pack("<II", *lengths) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -226,6 +271,7 @@ def record_bytes(row: dict, date: str) -> bytes:
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.archive, self.date = options["path"].rstrip("/"), int(options.get("archive_bytes", 256 << 20)), options.get("date", "1970-01-01T00:00:00Z")
+        self.compress = options.get("compress", "true").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = file_system(self.path)
@@ -236,9 +282,10 @@ class WarcWriter(DataSourceArrowWriter):
                 if stream is None or size >= self.archive:
                     if stream is not None:
                         stream.close()
-                    paths.append(f"{root}/part-{TaskContext.get().partitionId():06d}-{len(paths):04d}-{uuid.uuid4().hex}.warc")
+                    paths.append(f"{root}/part-{TaskContext.get().partitionId():06d}-{len(paths):04d}-{uuid.uuid4().hex}.warc{'.gz' * self.compress}")
                     stream, size = fs.open_output_stream(paths[-1] + ".tmp", buffer_size=1 << 20), 0
                 data = record_bytes(row, self.date)
+                data = gzip_member(data) if self.compress else data
                 stream.write(data)
                 size += len(data)
         if stream is not None:
@@ -279,11 +326,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, compress: bool = True) -> None:
     """Write records that have the columns WRITTEN."""
     spark = records.sparkSession
     spark.dataSource.register(WarcSource)
-    records.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in WRITTEN.split(", "))).write.format("warc").mode("append").save(path)
+    records.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in WRITTEN.split(", "))).write.format("warc").option("compress", str(compress).lower()).mode("append").save(path)
 
 
 def dedupe_payloads(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
