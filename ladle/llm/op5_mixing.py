@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 #: The schedule's slope of each weight: heavy sources come early, light ones late.
 SLOPES = (0.5, 0.0, -0.5)
-ROWS_A_RANGE = 20_000
+ROWS_A_RANGE = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,38 +61,100 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[
     return per.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"), "slope")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with size and the place of its document in its source's order (_h)."""
+    return docs.withColumn("size", word_count(F.col("text").cast("string"))).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+
+
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """rows with the range of the order (one of n) that holds them."""
+    return rows.withColumn("_r", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n).cast("long"))
+
+
+def _offsets(sizes: DataFrame, n: int, weights: Sequence[float], slopes: Sequence[float], share: float, max_epochs: int) -> DataFrame:
+    """For each source and range of its order: the words before it, and the source's target and slope."""
+    ranges = _ranged(sizes, n).groupBy("source", "_r").agg(F.sum("size").alias("_s"))
+    targets = source_targets(ranges.select("source", F.col("_s").alias("size")), weights, slopes, share, max_epochs)
+    before = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    return materialize(offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("o_source"), F.col("_r").alias("o_r"), "_before", "source_size", "target", "slope"), "mix-ranges")
+
+
+def _placed(rows: DataFrame, offsets: DataFrame, max_epochs: int) -> DataFrame:
+    """rows with source_size, target and uses: (position, words taken) for each time that the mix takes the document."""
+    within = Window.partitionBy("source", "_r").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_c", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = placed.join(offsets, placed["source"].eqNullSafe(F.col("o_source")) & (F.col("_r") == F.col("o_r")))
+    demand, a = F.round("target").cast("long"), F.col("slope")
+
+    def use(epoch: int) -> Column:
+        start = F.col("source_size") * epoch + F.col("_before") + F.col("_c")
+        u = F.least(F.coalesce(F.try_divide(start.cast("double"), F.col("target")), F.lit(0.0)), F.lit(1.0))
+        root = (1 + a) - F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * u, F.lit(0.0)))
+        position = F.when(a == 0, u).otherwise(F.abs(F.try_divide(root, 2 * a)))
+        return F.struct(position.alias("position"), F.least(F.greatest(demand - start, F.lit(0)), F.col("size")).cast("long").alias("taken"))
+
+    return placed.withColumn("uses", F.filter(F.array(*map(use, range(max_epochs))), lambda x: x["taken"] > 0))
+
+
+def _check(weights: Sequence[float], slopes: Sequence[float]) -> None:
+    if len(weights) != len(slopes) or any(not -1 <= s <= 1 for s in slopes) or any(w <= 0 for w in weights):
+        raise ValueError("one slope from -1 to 1 for each weight above 0")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, position for each document, range-sorted by position (null: not taken).
 
     taken: words that the mix takes of the document; the document at the end of a source's demand is cut there.
     position: training time of its first use, from 0 to 1.
     """
-    spark = docs.sparkSession
-    if len(weights) != len(slopes) or any(not -1 <= s <= 1 for s in slopes) or any(w <= 0 for w in weights):
-        raise ValueError("one slope from -1 to 1 for each weight above 0")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sizes = materialize(base.withColumn("_h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
-    n = max(16, sizes.count() // ROWS_A_RANGE)
-    # ranges of the hash, in its order
-    sizes = sizes.withColumn("_r", F.floor((F.col("_h").cast("double") / F.lit(2.0**64) + 0.5) * n).cast("long"))
-    ranges = sizes.groupBy("source", "_r").agg(F.sum("size").alias("_s"))
-    targets = source_targets(ranges.select("source", F.col("_s").alias("size")), weights, slopes, share, max_epochs)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = materialize(offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("o_source"), F.col("_r").alias("o_r"), "_before", "source_size", "target", "slope"), "mix-ranges")
-    within = Window.partitionBy("source", "_r").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("_c", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(offsets, placed["source"].eqNullSafe(F.col("o_source")) & (F.col("_r") == F.col("o_r")))
-    start = (F.col("_before") + F.col("_c")).cast("double")
-    demand = F.round("target").cast("long")
-    taken = sum((F.least(F.greatest(demand - e * F.col("source_size") - F.col("_before") - F.col("_c"), F.lit(0)), F.col("size")) for e in range(max_epochs)), F.lit(0)).cast("long")
-    u = F.least(F.coalesce(F.try_divide(start, F.col("target")), F.lit(0.0)), F.lit(1.0))
-    a = F.col("slope")
-    root = ((1 + a) - F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * u, F.lit(0.0))))
-    position = F.when(a == 0, u).otherwise(F.abs(F.try_divide(root, 2 * a)))
-    out = placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.when(taken > 0, position).alias("position"))
-    out = materialize(out, "mix-placed")
+    _check(weights, slopes)
+    base = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
+    sizes = materialize(base.drop("text"), "mix-sizes")
+    n = max(64, sizes.count() // ROWS_A_RANGE)
+    placed = _placed(_ranged(sizes, n), _offsets(sizes, n, weights, slopes, share, max_epochs), max_epochs)
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda s, x: s + x["taken"])
+    out = materialize(placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position")), "mix-placed")
     return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of docs, once for each time that the mix takes them whole or in part, range-sorted by training position."""
+    _check(weights, slopes)
+    sizes = materialize(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
+    n = max(64, sizes.count() // ROWS_A_RANGE)
+    placed = _placed(_ranged(_sized(docs), n), _offsets(sizes, n, weights, slopes, share, max_epochs), max_epochs)
+    used = placed.select(*docs.columns, F.explode("uses.position").alias("_position"))
+    return used.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> ''))::BIGINT AS size
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS k, source_size * 2.0::DOUBLE AS cap FROM s),
+w AS (SELECT *, ([5, 2, 1])[k]::DOUBLE AS w, ([0.5, 0, -0.5])[k]::DOUBLE AS slope FROM k),
+l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, slope,
+         least(cap, coalesce((SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, source IS NULL, source LIMIT 1) * w, cap)) AS target
+  FROM l),
+p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
+  FROM d),
+u AS (
+  SELECT doc_id, size, source_size, target, slope, c / target AS u,
+         least(greatest(round(target)::BIGINT - c, 0), size) + least(greatest(round(target)::BIGINT - source_size - c, 0), size) AS taken
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+       CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN least(u, 1) ELSE
+         abs(((1 + slope) - sqrt(greatest((1 + slope) * (1 + slope) - 4 * slope * least(u, 1), 0))) / (2 * slope)) END END AS position
+FROM u
+"""

@@ -146,15 +146,34 @@ def _match(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> DataFr
     return docs.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, similarity double")
 
 
+def _blocks_of_items(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items, in blocks of ITEMS on average (by hash); the driver holds one at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    passes = max(1, -(-items.count() // ITEMS))
+    for k in range(passes):
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
+        yield sorted(((r.item_id, r.text) for r in block), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document and item that match."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-items.count() // ITEMS))
-    # blocks by hash of the text hold ITEMS items on average; the driver holds one block at a time
-    blocks = [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) for k in range(passes)] if passes > 1 else [items]
-    return reduce(DataFrame.unionAll, (_match(docs, sorted(((r.item_id, r.text) for r in b.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))) for b in blocks))
+    return reduce(DataFrame.unionAll, (_match(docs, rows) for rows in _blocks_of_items(benchmark)))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text matches no item, with all their columns."""
+    bound_batches(docs.sparkSession)
+    for rows in _blocks_of_items(benchmark):
+
+        def run(batches: Iterable[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            items, known = Items(rows), WordHashes()
+            for batch in batches:
+                yield batch.filter(pa.array([not items.matches(known.of(plain_words(text))) for (text,) in rows_of([batch], "text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

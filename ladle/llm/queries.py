@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ladle.llm import op1_warc, op2_rules, op3_licenses, op4_jaccard, op5_mixing, op6_quality, op7_tokens, op8_decontaminate, op9_urls, op10_token_ids
 
 
@@ -21,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate.op8_decontaminate,
         "op9_url_filter": op9_urls.op9_url_filter,
         "op10_token_ids": op10_token_ids.op10_token_ids,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": op1_warc.SQL, "op3_license_scan": op3_licenses.SQL, "op9_url_filter": op9_urls.SQL}
+    return {"op1_warc": op1_warc.SQL, "op3_license_scan": op3_licenses.SQL, "op5_mixing": op5_mixing.SQL, "op9_url_filter": op9_urls.SQL}
