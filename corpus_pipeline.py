@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     groups = op4_jaccard.near_duplicates(docs, op4_jaccard.Measure(5, 80, 100))
     dropped = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    # what is dropped grows with the documents, so it is never broadcast, not even where it is little
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,7 +97,8 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    ratios = log_ratios(*bucket_counts(docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))))
+    # labels grow with the documents, so they are never broadcast, not even where they are few
+    ratios = log_ratios(*bucket_counts(docs.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))))
     names = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, kept boolean"
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in names.split(", ")])
