@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -45,11 +46,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    free_shuffles(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are no longer referred to; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI or plain path, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")

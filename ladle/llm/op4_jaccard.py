@@ -6,13 +6,14 @@ start, so exact copies never make pairs.
 
 The global order of shingles puts frequent ones last and goes by hash within both parts. It is cut into fragments:
 
-1. Candidates. Linked sets share a shingle among the first |A| - ceil(num * |A| / den) + 1 of either (prefix filter).
-   Each class sends its prefix to buckets, one a shingle. Which shingles are called frequent (`heavy_shingles`) only
-   changes how many candidates there are, never the links.
+1. Candidates. Linked sets share at least l shingles among the first |A| - ceil(num * |A| / den) + l of either (prefix
+   filter). Each class sends its prefix to buckets, one a shingle. A class stays only while enough of its shingles for a
+   partner of the smallest size stand in buckets of two or more; this is counted per class, without pairs, and repeated
+   as buckets shrink. Which shingles are called frequent (`heavy_shingles`) and the choice of l only change how many
+   candidates there are, never the links.
 2. Partial counts by fragment, in short. Of each of 512 fragments a class keeps whether it holds an odd number of
    shingles: fragments that differ in it have at least one shingle that only one of two sets has. If so many differ that
-   the pair cannot link, it is dropped inside its bucket, before any row is made for it. Large sets keep a second, longer
-   row of bits.
+   the pair cannot link, it is dropped inside its bucket, before any row is made for it.
 3. Partial counts by fragment, in full. The sets of candidates are cut into 8 segments of the order; the common shingles
    of a pair are counted in each segment separately and summed per pair.
 
@@ -43,7 +44,7 @@ from ladle.llm.common import WordHashes, bound_batches, materialize, rows_of, sh
 PARITY_BITS, SEGMENTS, BLOCK = 512, 8, 4096
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
 BLOOM_BITS = 1 << 23
-BEST_ROUNDS = 2
+BEST_ROUNDS, PEELS = 2, 2
 
 
 @dataclass(frozen=True)
@@ -54,8 +55,17 @@ class Measure:
     num: int = 90
     den: int = 100
 
+    def common(self, size: int) -> int:
+        """l: shingles that a prefix has beyond those that may all be missing in the other set."""
+        return max(1, size * (self.den - self.num) // (2 * self.den))
+
     def prefix(self, size: int) -> int:
-        return size - -(-self.num * size // self.den) + 1
+        return min(size, size - -(-self.num * size // self.den) + self.common(size))
+
+    def needed(self, size: Column) -> Column:
+        """l of the smallest partner of a set."""
+        partner = F.floor((size * self.num + self.den - 1) / F.lit(self.den))
+        return F.greatest(F.lit(1), F.floor(partner * (self.den - self.num) / F.lit(2 * self.den)))
 
     def least_size(self) -> int:
         """Sets below it link only with equal ones."""
@@ -146,13 +156,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
-    """key, n, prefix, parity, wide of each class that may link with another."""
+    """key, n, prefix, parity of each class that may link with another."""
     least = m.least_size()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         for batch in batches:
-            keys, sizes, prefix, parity, wide = [], [], [], [], []
+            keys, sizes, prefix, parity = [], [], [], []
             for (text,) in rows_of([batch], "text"):
                 s = m.shingles(text, known)
                 if len(s) < least:
@@ -169,17 +179,21 @@ def prefixes(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
                 sizes.append(len(s))
                 prefix.append(first.astype(np.int64))
                 parity.append(parities(s, PARITY_BITS))
-                wide.append(parities(s, 1 << (4 * len(s)).bit_length()) if len(s) > 2 * PARITY_BITS else np.empty(0, np.int64))
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefix), "parity": _lists(parity), "wide": _lists(wide)})
+            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefix), "parity": _lists(parity)})
 
-    made = docs.select("text").mapInArrow(run, "key long, n long, prefix array<long>, parity array<long>, wide array<long>")
-    return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity", "wide")))
+    made = docs.select("text").mapInArrow(run, "key long, n long, prefix array<long>, parity array<long>")
+    return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity")))
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """sig, key, n, c: the classes of each bucket (prefix shingle) of two or more, and their number."""
-    rows = reps.select(F.explode("prefix").alias("sig"), "key", "n")
-    return rows.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
+def buckets(reps: DataFrame, m: Measure) -> DataFrame:
+    """sig, key, n, c: the classes of each bucket (prefix shingle) of two or more that may have a partner, and their number."""
+    rows = reps.select(F.explode("prefix").alias("sig"), "key")
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1").join(reps.select("key", "n").hint("merge"), "key")
+    for _ in range(PEELS):
+        enough = F.count("*").over(Window.partitionBy("key")) >= m.needed(F.col("n"))
+        rows = rows.withColumn("ok", enough).filter("ok").drop("ok")
+        rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
+    return rows
 
 
 def compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -331,10 +345,8 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """a, b: the pairs that link. Common shingles are counted by segment and summed per pair."""
-    sizes = reps.select("key", "n", "wide")
-    p = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a").join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
-    differ = F.when((F.size("wa") > 0) & (F.size("wa") == F.size("wb")), F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)).otherwise(0)
-    p = p.filter(differ * (m.den + m.num) <= (F.col("na") + F.col("nb")) * (m.den - m.num)).select("a", "b", "na", "nb")
+    sizes = reps.select("key", "n")
+    p = pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
     left = sets.select(F.col("key").alias("a"), "segment", F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), "segment", F.col("s").alias("sb"))
     partial = p.join(left, "a").join(right, ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
@@ -369,7 +381,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame | None:
     """key, root of all classes that link with another; None if there are none."""
     reps = materialize(prefixes(docs, m, heavy), "classes")
-    rows = materialize(buckets(reps), "buckets")
+    rows = materialize(buckets(reps, m), "buckets")
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
         return None
@@ -385,7 +397,10 @@ def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame |
             pairs = found.select(F.explode(F.array("near", "low")).alias("o"), "key").select(F.least("o", "key").alias("a"), F.greatest("o", "key").alias("b")).filter("a != b").distinct()
         else:
             pairs = all_pairs(compared(rooted, reps), m)
-        new = materialize(verify(materialize(pairs, "pairs"), reps, sets, m), "links")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        new = materialize(verify(pairs, reps, sets, m), "links")
         if new.isEmpty():
             continue
         # the stars of the groups so far stand for their links
