@@ -252,7 +252,7 @@ def price_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", t.price_value(F.concat(F.lit("€"), F.col("p_size").cast("string"), F.lit(",5"))).alias("price"))
 
 
-@query("SELECT p_partkey, trim(p_name) AS name FROM part WHERE length(p_name) > 3")
+@query(r"SELECT p_partkey, trim(regexp_replace(p_name, '(?i)^new\s+', '')) AS name FROM part WHERE length(p_name) > 3")
 def name_cleanup(spark, d):
     return table(spark, d, "part").filter("length(p_name) > 3").select("p_partkey", t.clean_name(F.concat(F.lit("★ "), "p_name", F.lit(" .. GF"))).alias("name"))
 
