@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import Emitter, WordHashes, bound_batches, mix, rows_of, shingle_hashes
 
-BUCKETS, THRESHOLD, SMOOTHING = 1 << 16, -0.25, 1.0
+BUCKETS, THRESHOLD, SMOOTHING = 1 << 16, -0.25, 10.0
 #: Fixed values of the query's contract.
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -88,7 +88,8 @@ def bucket_counts(flagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if target.sum() == 0:
         return np.zeros(BUCKETS)
-    p, q = target + SMOOTHING, raw + SMOOTHING
+    # both get the same prior in proportion to their sizes, so what is rare says little, in a small corpus as in a large one
+    p, q = target + SMOOTHING * target.sum() / raw.sum(), raw + SMOOTHING
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
