@@ -70,7 +70,7 @@ def delete_many(df: DataFrame, query: Mapping, allow_all: bool = False) -> DataF
     """Drop all matches; an empty query must be allowed."""
     if not query and not allow_all:
         raise ValueError("an empty query deletes everything; pass allow_all=True")
-    return df.filter(~compile_filter(df, query))
+    return df.filter(~F.coalesce(compile_filter(df, query), F.lit(False)))
 
 
 def upsert(df: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

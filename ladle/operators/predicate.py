@@ -1,7 +1,8 @@
 """Filter documents, compiled to Column expressions that Catalyst can push down.
 
 {"f": scalar} equality; operators $gt $gte $lt $lte $ne $in $nin $regex (with $options) $exists; keys and operators are
-ANDed. A row without the field (null) meets $ne and $nin only; {"f": None} meets nulls; a list as value meets nothing;
+ANDed, without wrappers that would keep them from the scan: a row that a predicate leaves unknown does not match. A row
+without the field (null) meets $ne and $nin only; {"f": None} meets nulls; a list as value meets nothing;
 {"id": v} also looks at _id where there is no id. Unknown operators raise.
 """
 
@@ -16,22 +17,18 @@ from pyspark.sql import functions as F
 _RANGES = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__}
 
 
-def _strict(test: Column) -> Column:
-    """Unknown counts as false."""
-    return F.coalesce(test, F.lit(False))
-
-
 def _operator(c: Column, op: str, value, options: str) -> Column:
     if op in _RANGES:
-        return _strict(_RANGES[op](c, value))
+        return _RANGES[op](c, value)
     if op == "$ne":
         return ~c.eqNullSafe(F.lit(value))
     if op in ("$in", "$nin"):
         known = [v for v in value if v is not None]
-        test = _strict(c.isin(*known)) if known else F.lit(False)
-        if len(known) < len(value):
-            test = test | c.isNull()
-        return test if op == "$in" else ~test
+        test = c.isin(*known) if known else F.lit(False)
+        has_null = len(known) < len(value)
+        if op == "$in":
+            return test | c.isNull() if has_null else test
+        return ~test & c.isNotNull() if has_null else ~test | c.isNull()
     if op == "$regex":
         flags = "".join(f for f in "ims" if f in options)
         return F.coalesce(c.cast("string"), F.lit("")).rlike((f"(?{flags})" if flags else "") + value)
@@ -49,7 +46,7 @@ def _field(c: Column, condition) -> Column:
         return reduce(Column.__and__, tests)
     if isinstance(condition, (list, tuple)):
         return F.lit(False)
-    return c.isNull() if condition is None else _strict(c == F.lit(condition))
+    return c.isNull() if condition is None else c == F.lit(condition)
 
 
 def compile_filter(df: DataFrame, query: Mapping | None) -> Column:
