@@ -21,12 +21,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm import dac
-from ladle.llm.common import Emitter, bound_batches, file_system, rows_of, shared_dir
+from ladle.llm.common import Emitter, bound_batches, file_system, shared_dir
 
 END_ID = 2
 _encoders: dict[str, WordEncoder] = {}
@@ -49,6 +50,9 @@ class WordEncoder:
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = [b""] * 256
+        for mark in ".,;:!?":
+            self.marks[ord(mark)] = np.array(self.model.encode(mark, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -56,56 +60,92 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _each(self, words: list[bytes]) -> Iterator[bytes]:
-        for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: Iterable[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Add the ids of words that are in the form in which they are encoded."""
         known, letters, others = self.known, [], []
         for w in words:
-            (letters if w.decode().isalpha() else others).append(w)
-        for k in range(0, len(letters), 256):
-            part = letters[k : k + 256]
-            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            (letters if w.isalpha() else others).append(w)
+        for k in range(0, len(letters), 512):
+            part = letters[k : k + 512]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, end in zip(part, ends.tolist(), strict=True):
-                    known[w] = data[start:end]
-                    start = end
+                data, ends = ids.tobytes(), ends.tolist()
+                known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:  # the tokenizer's letters are not Python's
                 others += part
         for k in range(0, len(others), 5000):
-            known.update(zip(others[k : k + 5000], self._each(others[k : k + 5000]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        found = [list(map(known.get, words)) for words in split]
-        missing = [[i for i, ids in enumerate(row) if ids is None] for row in found]
-        forms, plain = {}, set()
-        for w in {words[i] for words, row in zip(split, missing, strict=True) for i in row}:
-            if b"<|" in w:  # may hold a special token, whose case counts
-                plain.add(w)
-                continue
-            core = w.rstrip(b".,;:!?")
-            if core and core[-1:].isalnum() and len(core) < len(w):
-                forms[w] = (core.lower(), w[len(core) :])
-                plain.update(forms[w])
-            else:
-                forms[w] = (w.lower(), b"")
-                plain.add(forms[w][0])
-        self._learn(plain.difference(known))
-        for w, (core, end) in forms.items():
-            if w not in known:
-                known[w] = known[core] + known[end] if end else known[core]
-        for words, row, holes in zip(split, found, missing, strict=True):
-            for i in holes:
-                row[i] = known[words[i]]
-        return list(map(b"".join, found))
+            part = others[k : k + 5000]
+            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([words[i] for i in missing])
+        for i in missing:
+            found[i] = self.known[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of strings one after another, and where those of each text begin (and the last ones end).
+
+        Arrow splits words, lower-cases them, cuts one closing punctuation mark off and tells them apart; only distinct
+        ones are looked up.
+        """
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        lower = pc.ascii_lower(words)
+        core = pc.utf8_rtrim(lower, characters=".,;:!?")
+        special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)  # may hold a special token, whose case counts
+        cut = _lengths(lower) - _lengths(core)
+        apart = ~special & (cut <= 1) & _ALNUM[_last_bytes(core)]
+        core = pc.if_else(pa.array(apart), core, pc.if_else(pa.array(special), words, lower))
+        codes = core.dictionary_encode()
+        ids = self._ids(codes.dictionary.to_pylist())
+        pieces = np.empty(2 * len(words), np.int64)
+        pieces[::2] = codes.indices.to_numpy()
+        pieces[1::2] = len(ids) + np.where(apart & (cut == 1), _last_bytes(lower), 0).astype(np.int64)
+        ids += self.marks
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        n = lengths[pieces]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = pool[np.repeat(starts[pieces] - ends[:-1], n) + np.arange(ends[-1])]
+        return flat, ends[2 * lists.offsets.to_numpy().astype(np.int64)]
+
+
+_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+
+
+def _buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array."""
+    kind = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, kind, len(strings) + 1, strings.offset * np.dtype(kind).itemsize) if len(strings) else np.zeros(1, kind)
+    return at, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+
+
+def _lengths(strings: pa.Array) -> np.ndarray:
+    return np.diff(_buffers(strings)[0])
+
+
+def _last_bytes(strings: pa.Array) -> np.ndarray:
+    """The last byte of each string, 0 of an empty one."""
+    at, data = _buffers(strings)
+    return np.where(np.diff(at) > 0, data[np.maximum(at[1:] - 1, 0)], 0)
+
+
+def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of a string column of about `most` bytes each (one text at least)."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, files: int | None = None) -> list[tuple[str, int, int]]:
@@ -117,29 +157,23 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())])
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.uint32(end_id)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, writer, out = TaskContext.get().partitionId(), WordEncoder.of(tokenizer_path), None, Emitter(schema)
         path = f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.dac"
         store, name = file_system(path)
-        pending: list[tuple[int | None, bytes]] = []
         stream = None
-
-        def flush() -> None:
-            for (doc_id, _), ids in zip(pending, encoder.encode([t for _, t in pending]), strict=True):
-                writer.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
-            pending.clear()
-
-        for row in rows_of(batches, "doc_id", "text"):
-            if writer is None:
+        for batch in batches:
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            if writer is None and doc_ids:
                 stream = store.open_output_stream(name)
                 writer = dac.Writer(stream)
-            pending.append(row)
-            if len(pending) >= 500:
-                flush()
+            for start, stop in _slices(texts):
+                flat, at = encoder.encode(texts[start:stop])
+                for k in range(start, stop):
+                    writer.add(doc_ids[k], np.append(flat[at[k - start] : at[k - start + 1]], end))
         if writer is not None:
-            flush()
             writer.close()
             stream.close()
             out.add(part, path, writer.n_ids)

@@ -419,7 +419,8 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     if groups is not None:
         firsts = firsts.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        roots = firsts.groupBy("root").agg(F.min("first").alias("first"))
+        # a table of its own, so that the join to a group of very many classes can be dealt over tasks
+        roots = materialize(firsts.groupBy("root").agg(F.min("first").alias("first")), "roots")
         firsts = firsts.drop("first").join(roots, "root").select("key", "first")
     firsts = materialize(firsts, "firsts")
     return rows.join(firsts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
