@@ -17,6 +17,8 @@ The global order of shingles puts frequent ones last and goes by hash within bot
 3. Partial counts by fragment, in full. The sets of candidates are cut into 8 segments of the order; the common shingles
    of a pair are counted in each segment separately and summed per pair.
 
+What grows with the documents is joined by shuffle at every size, never broadcast.
+
 A group of copies is not turned into all its pairs: in each round every class proposes its nearest and its smallest
 partner in another group of its buckets, the proposals are verified in full, and the groups they link are joined. A last
 round verifies every pair of different groups that step 2 leaves, so that no link between groups is lost. Buckets of over
@@ -208,7 +210,7 @@ def compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
     grp = F.when(F.col("nb") == 1, F.col("sig")).otherwise(F.xxhash64("sig", low, high))
     half = F.when(low == high, F.lit(-1)).otherwise(F.when(F.col("b") == low, 0).otherwise(1))
     rows = rows.select(grp.alias("grp"), half.cast("int").alias("half"), "key", "n", "root")
-    return rows.join(reps.select("key", "parity"), "key")
+    return rows.join(reps.select("key", "parity").hint("merge"), "key")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], enough: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
@@ -312,10 +314,29 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
+def probably_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key; true for all that it holds."""
+    out = np.ones(len(keys), dtype=bool)
+    for shift in (0, 23):
+        bits = (keys >> shift) & (BLOOM_BITS - 1)
+        out &= (bloom[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return out
+
+
+def only_keys(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of sets whose key may be among keys, so that few others are shuffled."""
+    bloom = key_filter(keys)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probably_in(bloom, batch.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
     """key, segment, s: the sets of the given classes, cut into segments of the order of hashes."""
     bloom = key_filter(keys)
-    mask = BLOOM_BITS - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
@@ -326,7 +347,7 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
                 if len(s) < 2:
                     continue
                 key = set_key(s)
-                if key in seen or not all(int(bloom[b >> 6]) >> (b & 63) & 1 for b in (key & mask, (key >> 23) & mask)):
+                if key in seen or not probably_in(bloom, np.array([key]))[0]:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
@@ -340,16 +361,17 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
             yield pa.record_batch({"key": pa.array(out_keys, pa.int64()), "segment": pa.array(out_segments, pa.int32()), "s": _lists(out)})
 
     made = docs.select("text").mapInArrow(run, "key long, segment int, s array<long>")
-    return made.join(keys, "key", "left_semi").groupBy("key", "segment").agg(F.first("s").alias("s"))
+    return made.join(keys.hint("merge"), "key", "left_semi").groupBy("key", "segment").agg(F.first("s").alias("s"))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """a, b: the pairs that link. Common shingles are counted by segment and summed per pair."""
     sizes = reps.select("key", "n")
-    p = pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}), "b")
+    p = pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}).hint("merge"), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}).hint("merge"), "b")
+    sets = only_keys(sets, pairs.select(F.explode(F.array("a", "b")).alias("key")))
     left = sets.select(F.col("key").alias("a"), "segment", F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), "segment", F.col("s").alias("sb"))
-    partial = p.join(left, "a").join(right, ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
+    partial = p.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
     whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     return whole.filter(F.col("c") * (m.den + m.num) >= (F.col("na") + F.col("nb")) * m.num).select("a", "b")
 
@@ -364,11 +386,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # large star: neighbours above u are hung on the smallest around u
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = materialize(large, "edges")
         # small star: u and its smaller neighbours are hung on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         edges = materialize(small, "edges")
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (before.n, before.h) == (after.n, after.h):
@@ -385,12 +407,12 @@ def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame |
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
         return None
-    rows = rows.join(found.select("key"), "key", "left_semi")
+    rows = rows.join(found.select("key").hint("merge"), "key", "left_semi")
     sets = materialize(segments(docs, found.select("key"), m), "segments")
     links: DataFrame | None = None
     groups: DataFrame | None = None
     for k in range(BEST_ROUNDS + 1):
-        rooted = rows.withColumn("root", F.col("key")) if groups is None else rows.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = rows.withColumn("root", F.col("key")) if groups is None else rows.join(groups.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         if k < BEST_ROUNDS:
             if k:
                 found = proposals(compared(rooted, reps), m)
@@ -418,12 +440,12 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     rows = made.filter("n >= 0")
     firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     if groups is not None:
-        firsts = firsts.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        firsts = firsts.join(groups.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         # a table of its own, so that the join to a group of very many classes can be dealt over tasks
         roots = materialize(firsts.groupBy("root").agg(F.min("first").alias("first")), "roots")
-        firsts = firsts.drop("first").join(roots, "root").select("key", "first")
+        firsts = firsts.drop("first").join(roots.hint("merge"), "root").select("key", "first")
     firsts = materialize(firsts, "firsts")
-    return rows.join(firsts, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    return rows.join(firsts.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
