@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,34 +97,43 @@ def circuit_step(state: tuple[int, float], ms: float, ok: bool, limit: int = CIR
     return (failures, ms + open_ms if failures >= limit else 0.0), met
 
 
-def rate_limit(requests: DataFrame, key: str, ts: str, order: str, window_ms: float = RATE_WINDOW_MS, most: int = RATE_LIMIT) -> DataFrame:
-    """key, order, allowed of each request. Windows begin with a request, so each key is a fold over its requests in order."""
+def _fold(rows: DataFrame, key: str, order: str, start, step, column: str) -> DataFrame:
+    """key, order and what step gives for each row, over a key's rows by ms and order.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", order], kind="stable")
-        state, out = None, []
-        for ms in pdf["ms"]:
-            state, ok = rate_step(state, ms, window_ms, most)
-            out.append(ok)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": out})
+    Rows stream through sorted partitions with the state of one key at a time, so memory does not grow with a key.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    rows = requests.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1000).alias("ms"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {requests.schema[key].dataType.simpleString()}, {order} {requests.schema[order].dataType.simpleString()}, allowed boolean")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = object(), start
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                if k != held:
+                    held, state = k, start
+                state, value = step(state, row)
+                out.append(value)
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], column.split()[0]: out})
 
+    dealt = rows.repartition(key).sortWithinPartitions(key, "ms", order)
+    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {column}")
 
-def circuit_breaker(calls: DataFrame, key: str, ts: str, order: str, ok: str, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
-    """key, order, met of each call: what state the call met."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", order], kind="stable")
-        state, out = (0, 0.0), []
-        for ms, good in zip(pdf["ms"], pdf["ok"], strict=True):
-            state, met = circuit_step(state, ms, bool(good), limit, open_ms)
-            out.append(met)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "met": out})
+def _ms(ts: str) -> Column:
+    return (F.unix_micros(F.col(ts).cast("timestamp")) / 1000).alias("ms")
+
 
-    rows = calls.select(key, order, (F.unix_micros(F.col(ts).cast("timestamp")) / 1000).alias("ms"), F.col(ok).alias("ok"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {calls.schema[key].dataType.simpleString()}, {order} {calls.schema[order].dataType.simpleString()}, met string")
+def rate_limit(requests: DataFrame, key: str, ts: str, order: str, window_ms: float = RATE_WINDOW_MS, most: int = RATE_LIMIT) -> DataFrame:
+    """key, order, allowed of each request (of a null key: none). Windows begin with a request, so requests are taken in order."""
+    rows = requests.filter(F.col(key).isNotNull()).select(key, order, _ms(ts))
+    return _fold(rows, key, order, None, lambda state, row: rate_step(state, row.ms, window_ms, most), "allowed boolean")
+
+
+def circuit_breaker(calls: DataFrame, key: str, ts: str, order: str, ok: str, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
+    """key, order, met of each call: what state the call met."""
+    rows = calls.filter(F.col(key).isNotNull()).select(key, order, _ms(ts), F.col(ok).alias("ok"))
+    return _fold(rows, key, order, (0, 0.0), lambda state, row: circuit_step(state, row.ms, bool(row.ok), limit, open_ms), "met string")
 
 
 def first_success(calls: DataFrame, request: str, priority: str, ok: str) -> DataFrame:
@@ -140,20 +151,13 @@ def debounce(events: DataFrame, key: str, ts: str, value: str, gap: str) -> Data
     return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value, ts).alias(value), F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), value, "n")
 
 
-def cached_hits(lookups: DataFrame, key: str, ts: str, ttl_s: int) -> DataFrame:
-    """lookups with `hit`: whether the value that an earlier lookup of the key stored is still alive (each miss stores one)."""
+def cached_hits(lookups: DataFrame, key: str, ts: str, order: str, ttl_s: int) -> DataFrame:
+    """key, order, hit: whether the value that an earlier lookup of the key stored is still alive (each miss stores one)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms", kind="stable")
-        until, out = -1.0, []
-        for ms in pdf["ms"]:
-            out.append(ms < until)
-            until = until if ms < until else ms + ttl_s * 1000
-        return pdf.assign(hit=out).drop(columns="ms")
+    def step(until: float, row) -> tuple[float, bool]:
+        return (until, True) if row.ms < until else (row.ms + ttl_s * 1000, False)
 
-    rows = lookups.withColumn("ms", F.unix_micros(F.col(ts).cast("timestamp")) / 1000)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lookups.schema)
-    return rows.groupBy(key).applyInPandas(fold, f"{fields}, hit boolean")
+    return _fold(lookups.filter(F.col(key).isNotNull()).select(key, order, _ms(ts)), key, order, -1.0, step, "hit boolean")
 
 
 # Progress of a scan's steps.

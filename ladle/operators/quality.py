@@ -193,6 +193,26 @@ def names_match(a: Column, b: Column) -> Column:
     return (na != "") & (nb != "") & ((na == nb) | F.when(F.size(wa) <= F.size(wb), inside(wa, wb)).otherwise(inside(wb, wa)))
 
 
+def _variants(word: Column) -> Column:
+    """A word and what is left of it without one character: words within one edit share one of them."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda k: F.concat(F.substring(word, F.lit(1), k - 1), F.substring(word, k + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), cut))
+
+
+def fuzzy_pairs(names: DataFrame, name: str) -> DataFrame:
+    """a, b: distinct names of which one is before the other and that match (names_match).
+
+    The first word of the shorter name is close to a word of the longer, so they share a variant: an equi-join finds all
+    candidates.
+    """
+    n = names.select(F.col(name).alias("name")).filter(F.col(name).isNotNull()).distinct().withColumn("w", F.split(t.norm_name(F.col("name")), " "))
+    n = n.filter(F.get("w", F.lit(0)) != "")
+    short = n.select(F.col("name").alias("s"), F.size("w").alias("ns"), F.explode(_variants(F.get("w", F.lit(0)))).alias("v"))
+    long = n.select(F.col("name").alias("l"), F.size("w").alias("nl"), F.explode(F.array_distinct(F.flatten(F.transform("w", lambda x: _variants(x))))).alias("v"))
+    pairs = short.join(long, "v").filter((F.col("ns") <= F.col("nl")) & (F.col("s") != F.col("l"))).select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).distinct()
+    return pairs.filter(names_match(F.col("a"), F.col("b")))
+
+
 def _long_words(c: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9&']+"), lambda w: F.length(w) >= least))
 

@@ -386,7 +386,8 @@ def jaccard_pairs(spark, d):
 
 @query()
 def jaccard_greedy(spark, d):
-    return quality.greedy_dedup(_headings(spark, d).withColumnRenamed("doc_id", "_pos"), "block")
+    # the rows of a document, as a menu's dishes are: a group is never larger than a text
+    return quality.greedy_dedup(_lines(spark, d).select("doc_id", F.col("ix").cast("long").alias("_pos"), F.col("line").alias("name")), "doc_id")
 
 
 @query("""
@@ -396,10 +397,7 @@ WHERE a.w = b.w OR CASE WHEN len(a.w) <= len(b.w)
   THEN len(list_filter(a.w, lambda p: len(list_filter(b.w, lambda q: levenshtein(p, q) <= 1)) > 0)) = len(a.w)
   ELSE len(list_filter(b.w, lambda p: len(list_filter(a.w, lambda q: levenshtein(p, q) <= 1)) > 0)) = len(b.w) END""")
 def fuzzy_match_pairs(spark, d):
-    # the distinct names are a small vocabulary; rows of the table never meet here
-    n = table(spark, d, "part").select("p_name").filter("p_name IS NOT NULL").distinct()
-    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), (F.col("a") < F.col("b")) & quality.names_match(F.col("a"), F.col("b")))
-    return pairs.select("a", "b")
+    return quality.fuzzy_pairs(table(spark, d, "part"), "p_name")
 
 
 @query("""

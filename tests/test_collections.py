@@ -147,3 +147,30 @@ def test_three_sigma(spark):
 def test_greedy_dedup_keeps_the_shortest(spark):
     df = spark.createDataFrame([(0, "d", "a b c d"), (1, "d", "a b c"), (2, "d", "x y")], "_pos long, doc string, name string")
     assert rows(quality.greedy_dedup(df, "doc"), "_pos", "name") == [(0, "a b c"), (2, "x y")]
+
+
+def test_cache_hits_end_with_their_time(spark):
+    base = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame([("k", k, base + dt.timedelta(seconds=s)) for k, s in enumerate([0, 5, 10, 11, 21])], "key string, n int, ts timestamp")
+    assert [r.hit for r in jobs.cached_hits(df, "key", "ts", "n", 10).orderBy("n").collect()] == [False, True, False, True, False]
+
+
+def test_fuzzy_pairs_are_all_pairs_that_match(spark):
+    import random
+
+    rng = random.Random(8)
+    names = {" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(60)}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    both = df.select(F.col("n").alias("a")).crossJoin(df.select(F.col("n").alias("b"))).filter((F.col("a") < F.col("b")) & quality.names_match(F.col("a"), F.col("b")))
+    assert rows(quality.fuzzy_pairs(df, "n"), "a", "b") == rows(both, "a", "b")
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(k, k % 2, [rng.choice("abcdefg") for _ in range(rng.randint(1, 6))]) for k in range(80)], "k int, block int, w array<string>").withColumn("w", F.array_distinct("w"))
+    l, r = df.alias("l"), df.alias("r")
+    s = quality.jaccard(F.col("l.w"), F.col("r.w"))
+    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.k") < F.col("r.k"))).filter(s >= 0.7).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
+    assert rows(quality.similar_pairs(df, "block", "k", F.col("w")), "a", "b") == rows(both, "a", "b")

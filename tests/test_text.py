@@ -89,3 +89,16 @@ def test_scores(spark):
 @pytest.mark.parametrize("query, reject", [("cookies", False), ("cook", True)])
 def test_exclusions_are_whole_words(spark, query, reject):
     assert values(spark, [f"https://x/{query}.jpg"], food.is_food_image(S, F.lit("d"))) == [not reject]
+
+
+def test_parse_menu_in_sql(spark):
+    parsing.register_parse_menu(spark)
+    rows = spark.sql("SELECT m.name, m.price FROM VALUES ('Soup $4.50\nnothing\nPie 3') AS t(x), LATERAL parse_menu(x) m").collect()
+    assert sorted((r.name, r.price) for r in rows) == [("Pie", 3.0), ("Soup", 4.5)]
+
+
+def test_cleaning_twice_changes_nothing(spark):
+    docs = spark.createDataFrame([(1, MENU), (2, "BURGERS\nHouse Burger\n12\nopen daily 9 am\nwww.x.com\nTacos 3.50")], "doc int, txt string")
+    once = lines.clean_text(docs, "doc", F.col("txt")).select("doc", "text").cache()
+    twice = lines.clean_text(once, "doc", F.col("text"))
+    assert sorted((r.doc, r.text) for r in once.collect()) == sorted((r.doc, r.text) for r in twice.collect())
