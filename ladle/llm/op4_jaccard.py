@@ -13,7 +13,8 @@ The global order of shingles puts frequent ones last and goes by hash within bot
    candidates there are, never the links.
 2. Partial counts by fragment, in short. Of each of 512 fragments a class keeps whether it holds an odd number of
    shingles: fragments that differ in it have at least one shingle that only one of two sets has. If so many differ that
-   the pair cannot link, it is dropped inside its bucket, before any row is made for it.
+   the pair cannot link, it is dropped inside its bucket, before any row is made for it. Proposed pairs of sets too large
+   for 512 bits are tested on 8,192 fragments in the same way.
 3. Partial counts by fragment, in full. The sets of candidates are cut into 8 segments of the order; the common shingles
    of a pair are counted in each segment separately and summed per pair.
 
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import WordHashes, bound_batches, materialize, rows_of, shingle_hashes
 
-PARITY_BITS, SEGMENTS, BLOCK = 512, 8, 4096
+PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 4096
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
 BLOOM_BITS = 1 << 23
 BEST_ROUNDS, PEELS = 2, 2
@@ -335,8 +336,11 @@ def only_keys(sets: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
-    """key, segment, s: the sets of the given classes, cut into segments of the order of hashes."""
-    bloom = key_filter(keys)
+    """key, segment, s: the sets of the given classes, cut into segments of the order of hashes.
+
+    Segment -1 holds the set's size and, of large sets, the parities of WIDE_BITS fragments.
+    """
+    bloom, least = key_filter(keys), m.least_size()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
@@ -344,7 +348,7 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
             out_keys, out_segments, out = [], [], []
             for (text,) in rows_of([batch], "text"):
                 s = m.shingles(text, known)
-                if len(s) < 2:
+                if len(s) < least:
                     continue
                 key = set_key(s)
                 if key in seen or not probably_in(bloom, np.array([key]))[0]:
@@ -352,6 +356,10 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(key)
+                wide = parities(s, WIDE_BITS) if len(s) > 2 * PARITY_BITS else np.empty(0, np.int64)
+                out_keys.append(key)
+                out_segments.append(-1)
+                out.append(np.concatenate([np.array([len(s)], np.int64), wide]))
                 cuts = np.searchsorted(s, np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(61))
                 for k, part in enumerate(np.split(s, cuts)):
                     if len(part):
@@ -364,11 +372,15 @@ def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
     return made.join(keys.hint("merge"), "key", "left_semi").groupBy("key", "segment").agg(F.first("s").alias("s"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """a, b: the pairs that link. Common shingles are counted by segment and summed per pair."""
-    sizes = reps.select("key", "n")
-    p = pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}).hint("merge"), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}).hint("merge"), "b")
-    sets = only_keys(sets, pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    both = F.explode(F.array("a", "b")).alias("key")
+    sketches = only_keys(sets.filter("segment = -1"), pairs.select(both)).select("key", F.get("s", F.lit(0)).alias("n"), F.slice("s", 2, WIDE_BITS // 64).alias("w"))
+    p = pairs.join(sketches.withColumnsRenamed({"key": "a", "n": "na", "w": "wa"}).hint("merge"), "a").join(sketches.withColumnsRenamed({"key": "b", "n": "nb", "w": "wb"}).hint("merge"), "b")
+    differ = F.when((F.size("wa") > 0) & (F.size("wb") > 0), F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)).otherwise(0)
+    p = p.filter(differ * (m.den + m.num) <= (F.col("na") + F.col("nb")) * (m.den - m.num)).select("a", "b", "na", "nb")
+    p = materialize(p, "pairs")
+    sets = only_keys(sets.filter("segment >= 0"), p.select(both))
     left = sets.select(F.col("key").alias("a"), "segment", F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), "segment", F.col("s").alias("sb"))
     partial = p.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
@@ -407,7 +419,7 @@ def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame |
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
         return None
-    rows = rows.join(found.select("key").hint("merge"), "key", "left_semi")
+    rows = materialize(rows.join(found.select("key").hint("merge"), "key", "left_semi"), "buckets")
     sets = materialize(segments(docs, found.select("key"), m), "segments")
     links: DataFrame | None = None
     groups: DataFrame | None = None
@@ -422,7 +434,7 @@ def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame |
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             break
-        new = materialize(verify(pairs, reps, sets, m), "links")
+        new = materialize(verify(pairs, sets, m), "links")
         if new.isEmpty():
             continue
         # the stars of the groups so far stand for their links
