@@ -40,7 +40,7 @@ class WordEncoder:
     only are one unit of the tokenizer each, so many are encoded as one text and told apart by their last tokens.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
