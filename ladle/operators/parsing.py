@@ -288,26 +288,37 @@ def route_readings(readings: DataFrame) -> DataFrame:
 
 
 def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Dishes by additive line scores: sections give the category, up to two descriptions and a price may follow a dish."""
+    """Dishes by additive line scores: sections give the category, up to two describing lines or a price line may follow a dish."""
     from ladle.operators.lines import score_line
 
-    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), t.strip), lambda x: x != ""), lambda x: F.struct(x.alias("text"), score_line(x)["kind"].alias("kind"), score_line(x)["score"].alias("score"), t.find_price(x)["price"].alias("price"), x.rlike(t.PRICE_ONLY).alias("only"), t.clean_name(F.coalesce(t.without_price(x, t.find_price(x)), x)).alias("clean")))
+    # A price anywhere in a line, and a line that is one.
+    anywhere, alone = r"(?i)\$?\s*(\d+\.?\d*)\s*(?:USD)?", r"(?i)^\$?\s*(\d+\.?\d*)\s*(?:USD)?\z"
+    number = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double")
+    before = lambda x: F.regexp_replace(t.strip(F.when(x.rlike(anywhere), F.regexp_extract(x, r"(?i)^(.*?)\$?\s*\d", 1)).otherwise(x)), r"[,\-–— ]+\z", "")
+    cell = lambda x: t.let(score_line(x), lambda c: F.struct(x.alias("text"), c["kind"].alias("kind"), c["score"].alias("score"), c["title"].alias("title"), c["priced"].alias("priced"), c["letters"].alias("letters"), number(x, anywhere).alias("price"), number(x, alone).alias("alone"), before(x).alias("name")))
+    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), t.strip), lambda x: x != ""), lambda x: cell(x))
+
+    def describes(x: dict) -> bool:
+        weak = x["kind"] in ("description", "garbage") or (x["kind"] == "dish" and x["score"] < 25)
+        return weak and x["letters"] > 6 and not x["priced"] and 3 < len(x["text"]) < 60
 
     def extract(d: pd.Series) -> list[tuple]:
-        out: list[list] = []
-        category, open_dish = "Main", False
-        for x in map(dict, d["_lines"]):
-            if x["only"] and x["price"] is not None:
-                if open_dish and out[-1][3] is None:
-                    out[-1][3] = x["price"]
-            elif x["kind"] == "section":
-                category, open_dish = x["text"], False
-            elif x["kind"] == "dish" and len(x["clean"]) >= 3:
-                out.append([len(out), x["clean"], "", x["price"], category, min(1.0, x["score"] / 50)])
-                open_dish = True
-            elif x["kind"] == "description" and open_dish and out[-1][2].count("\n") < 1:
-                out[-1][2] = (out[-1][2] + "\n" + x["text"]).strip()
-        return [(*r[:2], r[2].replace("\n", " "), *r[3:]) for r in out]
+        rows, out, category, i = [dict(x) for x in d["_lines"]], [], "menu", 0
+        while i < len(rows):
+            x = rows[i]
+            i += 1
+            if x["kind"] == "section":
+                category = x["title"].lower()
+            if x["kind"] != "dish":
+                continue
+            name, price = (x["name"] if len(x["name"] or "") >= 2 else x["text"]), x["price"]
+            more = [y["text"] for y in rows[i : i + 2]] if all(map(describes, rows[i : i + 2])) else [y["text"] for y in rows[i : i + 1] if describes(y)]
+            if more:
+                i += len(more)
+            elif i < len(rows) and price is None and rows[i]["alone"] is not None:
+                price, i = rows[i]["alone"], i + 1
+            out.append((len(out), name.strip()[:200] or "Menu Item", " ".join(more)[:500], price, category, round(x["score"] / 100, 2)))
+        return out
 
     return _per_document(docs.withColumn("_lines", lines), doc, ["_lines"], extract)
 

@@ -273,23 +273,26 @@ def chunks(text: Column, most: int = 6000) -> Column:
 
 
 def estimate_skew(boxes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """doc, theta: a page's angle in degrees from its text boxes (x0, y0, x1, y1, w, h), 0 if it is unclear.
+    """doc, theta: a page's angle in degrees from its text boxes (x0, y0, x1, y1), 0 if it is unclear.
 
-    In four rounds the boxes that are narrow give the line height and the wide ones the median angle, held to 0.35 rad.
+    In four rounds the upper median height of narrow boxes, less what the angle adds to it, gives the line height, and the
+    upper median angle of wide boxes the angle.
     """
 
+    def upper_median(v: np.ndarray) -> float:
+        return float(np.sort(v)[len(v) // 2])
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        theta = 0.0
-        if len(pdf) >= 6:
-            for _ in range(4):
-                narrow = pdf[pdf.w < 90]
-                height = float(np.median(narrow.h)) if len(narrow) else 0.0
-                wide = pdf[pdf.w >= 120]
-                if len(wide) < 3:
-                    break
-                theta = float(np.clip(np.median(np.arctan2(wide.h - height, wide.w)), -0.35, 0.35))
-        degrees = float(np.degrees(theta))
-        return pd.DataFrame({doc: [pdf[doc].iloc[0]], "theta": [degrees if 1 <= abs(degrees) <= 14 else 0.0]})
+        w, h, theta = (pdf.x1 - pdf.x0).to_numpy(float), (pdf.y1 - pdf.y0).to_numpy(float), 0.0
+        narrow, wide = w < 90, w >= 120
+        for _ in range(4):
+            if len(pdf) < 6 or narrow.sum() < 2 or wide.sum() < 3:
+                break
+            angle = np.radians(theta)
+            line = upper_median(h[narrow] - w[narrow] * np.sin(angle))
+            slope = np.clip((h[wide] - line * np.cos(angle)) / w[wide], -0.35, 0.35)
+            theta = upper_median(np.degrees(np.arcsin(slope)))
+        return pd.DataFrame({doc: [pdf[doc].iloc[0]], "theta": [theta if 1 <= abs(theta) <= 14 else 0.0]})
 
     return boxes.groupBy(doc).applyInPandas(fold, f"{doc} {boxes.schema[doc].dataType.simpleString()}, theta double")
 
@@ -297,8 +300,8 @@ def estimate_skew(boxes: DataFrame, doc: str = "doc_id") -> DataFrame:
 def filter_words(words: DataFrame, doc: str = "doc_id", confidence: str = "confidence") -> DataFrame:
     """Words above a limit that falls with the document's mean confidence (25, 10, 5); all, where fewer than 3 are left."""
     w = Window.partitionBy(doc)
-    limit = F.when(F.avg(confidence).over(w) > 50, 25).when(F.avg(confidence).over(w) > 25, 10).otherwise(5)
-    kept = words.withColumn("_ok", F.col(confidence) >= limit)
+    limit = F.when(F.avg(confidence).over(w) > 30, 25).when(F.avg(confidence).over(w) > 15, 10).otherwise(5)
+    kept = words.withColumn("_ok", F.col(confidence) > limit)
     return kept.withColumn("_left", F.count_if("_ok").over(w)).filter(F.col("_ok") | (F.col("_left") < 3)).drop("_ok", "_left")
 
 

@@ -102,3 +102,22 @@ def test_cleaning_twice_changes_nothing(spark):
     once = lines.clean_text(docs, "doc", F.col("txt")).select("doc", "text").cache()
     twice = lines.clean_text(once, "doc", F.col("text"))
     assert sorted((r.doc, r.text) for r in once.collect()) == sorted((r.doc, r.text) for r in twice.collect())
+
+
+def test_second_scorer(spark):
+    texts = ["APPETIZERS", "Margherita Pizza $9.99", "fresh tomato and basil on sourdough", "Call 555-123-4567", "---", "Mon to Fri open 9am", "• Lamb Chops 12.50", "Pasta dishes"]
+    assert values(spark, texts, lines.score_line(S)["kind"]) == ["section", "dish", "garbage", "footer", "garbage", "footer", "dish", "section"]
+    docs = spark.createDataFrame([(1, "PIZZA\nMargherita Pizza $9.99\nfresh tomato and basil\n• Lamb Chops Rosemary\n12.50")], "doc int, txt string")
+    got = [(r.name, r.price, r.description, r.category) for r in parsing.second_extractor(docs, "doc", "txt").orderBy("ix").collect()]
+    assert got == [("Margherita Pizza", 9.99, "fresh tomato and basil", "pizza"), ("• Lamb Chops Rosemary", 12.5, "", "pizza")]
+
+
+def test_skew(spark):
+    import math
+
+    tilt = math.radians(5)
+    rows = [(1, 0.0, 0.0, 60.0, 20 * math.cos(tilt) + 60 * math.sin(tilt)) for _ in range(3)] + [(1, 0.0, 0.0, 300.0, 20 * math.cos(tilt) + 300 * math.sin(tilt)) for _ in range(4)]
+    rows += [(2, 0.0, 0.0, 60.0, 20.0), (2, 0.0, 0.0, 300.0, 20.0)]
+    boxes = spark.createDataFrame(rows, "doc_id int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.doc_id: r.theta for r in quality.estimate_skew(boxes).collect()}
+    assert got[1] == pytest.approx(5, abs=0.3) and got[2] == 0
