@@ -95,6 +95,37 @@ def similar_pairs(rows: DataFrame, block: str, key: str, words: Column, least: f
     return out.filter(F.col("similarity") >= least).distinct()
 
 
+def similar_texts(rows: DataFrame, block: str, key: str, text: str, least: float = 0.7, heavy: Sequence[int] = (200, 2_000, 20_000)) -> DataFrame:
+    """a, b, similarity of rows of one block whose texts, as the sets of all their words, have a similarity of at least `least`.
+
+    As similar_pairs, but rare words come first, so that long texts meet on few words, and a pair's common words among the
+    first ones are counted: those and all later words must suffice. Sets (of 64-bit hashes of words) are joined only to the
+    pairs that are left. `heavy`, the bounds of the ranks of frequent words, only changes how many pairs are tried.
+    """
+    w = rows.select(F.col(block).alias("block"), F.col(key).alias("k"), F.array_distinct(F.transform(t.words(F.lower(text)), lambda x: F.xxhash64(x))).alias("w")).filter(F.size("w") > 0)
+    often = [r.h for r in w.select(F.explode("w").alias("h")).groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(max(heavy)).collect()]
+    among = lambda hashes: ", ".join(f"{h}L" for h in hashes) or "NULL"
+    # rare words, then frequent ones by rank, each by their hash
+    cuts = [0, *heavy]
+    parts = [f"filter(w, h -> h IN ({among(often[i:j])}))" for i, j in zip(cuts, cuts[1:], strict=False)][::-1]
+    parts.insert(0, f"filter(w, h -> h NOT IN ({among(often)}))" if often else "w")
+    ordered = F.concat(*(F.sort_array(F.expr(p)) for p in parts))
+    must = lambda n: F.ceil(n * least - 1e-9)
+    n = F.size("w")
+    e = w.select("block", "k", n.alias("n"), F.explode(F.slice(ordered, F.lit(1), (n - must(n) + 1).cast("int"))).alias("h"))
+    ln, rn = F.col("l.n"), F.col("r.n")
+    same = (F.col("l.block") == F.col("r.block")) & (F.col("l.h") == F.col("r.h")) & (F.col("l.k") < F.col("r.k"))
+    near = F.least(ln, rn) >= F.greatest(ln, rn) * least - 1e-9
+    met = e.alias("l").join(e.alias("r"), same & near).select(F.col("l.block").alias("block"), F.col("l.k").alias("a"), F.col("r.k").alias("b"), ln.alias("na"), rn.alias("nb"))
+    met = met.groupBy("block", "a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # common words that are not counted come after the prefix of one of the sets, which has must(n) - 1 words there
+    enough = F.col("c") + F.greatest(must(F.col("na")), must(F.col("nb"))) - 1 >= (F.col("na") + F.col("nb")) * least / (1 + least) - 1e-9
+    pairs = met.filter(enough).select("block", "a", "b").distinct()
+    left, right = w.select("block", F.col("k").alias("a"), F.col("w").alias("wa")), w.select("block", F.col("k").alias("b"), F.col("w").alias("wb"))
+    out = pairs.join(left, ["block", "a"]).join(right, ["block", "b"]).select("block", "a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity"))
+    return out.filter(F.col("similarity") >= least)
+
+
 def greedy_dedup(rows: DataFrame, doc: str, order: str = "_pos", name: str = "name", least: float = 0.7) -> DataFrame:
     """In order, each row absorbs later rows of similar names; the shortest name of them stays, at the first one's place.
 

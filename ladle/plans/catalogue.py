@@ -384,6 +384,18 @@ def jaccard_pairs(spark, d):
     return quality.similar_pairs(h, "block", "doc_id", F.array_distinct(F.split(F.lower("name"), " "))).withColumn("similarity", F.round("similarity", 9))
 
 
+_TEXT_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B\\x{85}\\pZ]+'), lambda x: x <> ''))"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, source AS block, {_TEXT_WORDS} AS w FROM documents WHERE length(text) > 0),
+p AS (SELECT l.block, l.doc_id AS a, r.doc_id AS b, len(l.w) + len(r.w) AS n, len(list_intersect(l.w, r.w)) AS c
+      FROM h l JOIN h r ON l.block = r.block AND l.doc_id < r.doc_id WHERE len(l.w) > 0 AND len(r.w) > 0)
+SELECT block, a, b, round(c / (n - c), 9) AS similarity FROM p WHERE c / (n - c) >= 0.7""")
+def jaccard_pairs_text(spark, d):
+    return quality.similar_texts(table(spark, d, "documents"), "source", "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
+
+
 @query()
 def jaccard_greedy(spark, d):
     # the rows of a document, as a menu's dishes are: a group is never larger than a text

@@ -121,3 +121,24 @@ def test_skew(spark):
     boxes = spark.createDataFrame(rows, "doc_id int, x0 double, y0 double, x1 double, y1 double")
     got = {r.doc_id: r.theta for r in quality.estimate_skew(boxes).collect()}
     assert got[1] == pytest.approx(5, abs=0.3) and got[2] == 0
+
+
+def test_similar_texts_reads_all_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(40)] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 3, 6, 9])):
+            w[rng.randrange(40)] = f"new{rng.randint(0, 999)}"
+        # first lines differ, so only the lines below them are alike
+        rows.append((k, f"Title{k}\n" + " ".join(w[:20]) + "\r\n\n" + " ".join(w[20:]), rng.choice(["a", "b", None])))
+    rows += [(60, None, "a"), (61, "", "a"), (62, " \n", "a"), (63, "one", "a"), (64, "ONE\none", "a")]
+    sets = {k: set((x or "").lower().split()) for k, x, _ in rows}
+    block = {k: b for k, _, b in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and block[a] is not None and block[a] == block[b] and sets[a] and sets[b]}
+    got = quality.similar_texts(spark.createDataFrame(rows, "k int, txt string, source string"), "source", "k", "txt", heavy=(10, 30)).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == pytest.approx({p: s for p, s in want.items() if s >= 0.7}) and len(got) > 20
+    assert len(got) == len({(r.a, r.b) for r in got})
