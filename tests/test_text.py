@@ -142,3 +142,12 @@ def test_similar_texts_reads_all_lines(spark):
     got = quality.similar_texts(spark.createDataFrame(rows, "k int, txt string, source string"), "source", "k", "txt", heavy=(10, 30)).collect()
     assert {(r.a, r.b): r.similarity for r in got} == pytest.approx({p: s for p, s in want.items() if s >= 0.7}) and len(got) > 20
     assert len(got) == len({(r.a, r.b) for r in got})
+
+
+def test_price_find_all_keeps_every_event(spark, tmp_path):
+    from ladle.plans import catalogue
+
+    rows = [(1, None, 4.5), (2, "a", 12.349), (3, "a", 560.21), (4, "a", 999.99), (5, "a", 1000.0), (6, "a", -1.0), (7, "a", None), (8, "a", 0.0)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.price for r in catalogue.QUERIES["price_find_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 4.5, 2: 12.34, 3: 560.21, 4: 999.99, 5: None, 6: None, 7: None, 8: 0.0}
