@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted verification.
 
 Texts are read as runs of letters, digits and non-ASCII characters, A-Z lower-cased. An item of L words is compared with
-every window of L words of every document. Windows that hold no 5-word shingle of any item have similarity 0 and are not
+every window of L words of every document; a document of fewer words is one window. Windows that hold no 5-word shingle of any item have similarity 0 and are not
 fingerprinted. The other windows get a 64-bit SimHash of their shingles; the fingerprints of items are filed by four
 16-bit blocks, each with all values within `BLOCK_RADIUS` bits, so every item within `RADIUS` = 4 * BLOCK_RADIUS + 3 bits
 of a window is fetched. Those are verified: weighted Jaccard similarity of the two bags of shingles of at least
@@ -115,9 +115,9 @@ class Items:
             where = np.flatnonzero(hit)
             sums = None
             for n in self.lengths:
-                m = n - width + 1  # shingles in a window
-                if min(n, SHINGLE) != width or m > len(s):
+                if min(n, SHINGLE) != width:
                     continue
+                m = min(n - width + 1, len(s))  # shingles in a window; a shorter text is one window
                 starts = np.flatnonzero(hits[m:] - hits[:-m])
                 if sums is None:
                     low, high = max(0, where[0] - longest), min(len(s), where[-1] + longest + 1)
@@ -138,8 +138,9 @@ def _match(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, known, out = Items(rows), WordHashes(), Emitter(schema)
         for doc_id, text in rows_of(batches, "doc_id", "text"):
-            for k, (similarity, start) in items.matches(known.of(plain_words(text))).items():
-                if out.add(doc_id, items.items[k][0], start, items.items[k][1], similarity):
+            h = known.of(plain_words(text))
+            for k, (similarity, start) in items.matches(h).items():
+                if out.add(doc_id, items.items[k][0], start, min(items.items[k][1], len(h)), similarity):
                     yield out.take()
         yield out.take()
 

@@ -349,6 +349,27 @@ def test_decontamination_against_all_windows(spark):
     assert clean == set(range(len(texts))) - {k for k, _ in got}
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, n, 300)) for k, n in enumerate((40, 25, 60, 14, 6))]
+    index, known = op8_decontaminate.Items(items), WordHashes()
+    texts, want = [], {}
+    for k, (item_id, text) in enumerate(items):
+        w = text.split()
+        for cut in range(len(w) // 2):
+            for part in (w[: len(w) - cut], w[cut:], w[cut // 2 : len(w) - (cut - cut // 2)]):
+                whole = shingle_hashes(known.of(op8_decontaminate.plain_words(" ".join(part).encode())), op8_decontaminate.SHINGLE)
+                if (s := index.similarity(whole, k)) >= op8_decontaminate.SIMILARITY:
+                    want[len(texts), item_id] = (len(part), s)
+                texts.append(" ".join(part))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_words, r.similarity) for r in op8_decontaminate.benchmark_matches(docs, benchmark(spark, items)).collect()}
+    assert set(got) <= set(want) and all(got[x] == (want[x][0], pytest.approx(want[x][1])) for x in got)
+    assert {x for x, (_, s) in want.items() if s > 0.85} <= set(got) and any(n == 39 for n, _ in got.values())
+    clean = {r.doc_id for r in op8_decontaminate.clean_documents(docs, benchmark(spark, items)).collect()}
+    assert clean == set(range(len(texts))) - {k for k, _ in got}
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = op8_decontaminate.Items([(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 20))) for k in range(300)])
