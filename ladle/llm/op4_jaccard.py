@@ -460,5 +460,24 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     return rows.join(firsts.hint("merge"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
 
+def linked_classes(docs: DataFrame, m: Measure = Measure()) -> tuple[DataFrame, DataFrame]:
+    """All links, inside groups too: a, b (a < b) of each pair of classes that link; and doc_id, n_shingles, key of each document.
+
+    A class is a set of shingles, and documents of one key have equal sets, so they link with each other and with all
+    documents of the classes that link with theirs; key is null where there are no shingles. Every possible pair is verified,
+    so the work grows with the square of the number of different near copies in a group.
+    """
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = materialize(classes(docs, m), "sets")
+    reps = materialize(prefixes(docs, m, heavy_shingles(made)), "classes")
+    rows = materialize(buckets(reps, m), "buckets")
+    # each class is a group of its own: no pair is left out
+    pairs = materialize(all_pairs(compared(rows.withColumn("root", F.col("key")), reps), m), "pairs")
+    sets = materialize(segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), m), "segments")
+    links = materialize(verify(pairs, sets, m), "links")
+    return links, made.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -231,6 +231,33 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert got == brute_groups(texts, m)
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_jaccard_links_inside_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(op4_jaccard, "BLOCK", block)
+    rng, m, texts = random.Random(9), op4_jaccard.Measure(5, 80, 100), {}
+    for _ in range(4):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([90, 160, 900]))]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"new{rng.randint(0, 99999)}"
+            texts[len(texts) + 1] = " ".join(w)
+    texts |= {900: None, 901: "", 902: "two words", 903: "two  words\n"}
+    sets = {}
+    for i, text in texts.items():
+        w = (text or "").split()
+        sets[i] = frozenset(tuple(w[k : k + m.n]) for k in range(max(1, len(w) - m.n + 1))) if w else frozenset()
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and m.den * len(sets[i] & sets[j]) >= m.num * len(sets[i] | sets[j])}
+    links, members = op4_jaccard.linked_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), m)
+    key = {r.doc_id: r.key for r in members.collect()}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert set(key) == set(texts) and key[900] is None and len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    linked = set(pairs)
+    assert {(i, j) for i in key for j in key if i < j and None not in (key[i], key[j]) and (key[i] == key[j] or (min(key[i], key[j]), max(key[i], key[j])) in linked)} == want
+    links, members = op4_jaccard.linked_classes(empty_documents(spark))
+    assert links.count() == members.count() == 0
+
+
 def test_jaccard_on_odd_rows(spark):
     rows = op4_jaccard.near_duplicates(odd_documents(spark)).collect()
     assert len(rows) == 10 and {r.component_id for r in rows if r.doc_id == 4} == {4}
