@@ -1,10 +1,11 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license templates, on DataFrame operations only.
+"""License scans: an exact set-similarity join of text blocks with license templates, on DataFrame operations only.
 
-A template matches a block that contains at least `threshold` of its distinct words. The words of all templates are
+A block is a line, or, for a template of n words, any n words in a row, whatever line breaks stand between them. A template
+matches a block that contains at least `threshold` of its distinct words. The words of all templates are
 ordered by their frequency over all documents, rarest first. A pair that meets a template's least overlap a has its
 first common word among the template's first |T| - a + 1 words (prefix filter) and among the block's first |B| - a + 1
 template words; |B| >= a (length filter); and the words from there on must still suffice (positional filter). Survivors
-are verified exactly. Templates are configuration, refused above `MAX_TEMPLATES`; their index is a literal of the plan,
+are verified exactly. Windows are looked at only for templates that the whole text meets as if it were one block. Templates are configuration, refused above `MAX_TEMPLATES`; their index is a literal of the plan,
 so documents are scanned in place and nothing but word counts (one row a template word) is shuffled.
 
 Beside the templates, fixed phrases are located as runs of whole words.
@@ -16,7 +17,7 @@ each; an empty table gives an empty table; extra columns are ignored; texts are
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def word_frequencies(docs: DataFrame, vocabulary: Sequence[str], text: str = "text") -> dict[str, int]:
     """In how many documents each word stands; at most one row a word reaches the driver."""
     words = F.split(spaced(lower_ascii(F.col(text))), " ")
@@ -75,7 +81,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches for each document.
 
     score: 1 where a phrase stands, else the largest contained share of a matching template. matches: label and share of
-    each match of a template in a line.
+    each match of a template in a line, and of the best window of a template whose label no line has with that share.
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are planned as literals")
@@ -104,7 +110,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     # a document without any indexed word has no block that matches
     d = d.withColumn("_maybe", c.rlike(" (?:" + "|".join(sorted(index)) + ") "))
 
-    def in_block(b: Column) -> Column:
+    def fetched_of(b: Column) -> Column:
+        """The templates that a block meets, and the number of common words."""
         fetched = F.flatten(
             F.transform(
                 F.slice(b, F.lit(1), F.size(b) - fewest + 1),
@@ -115,15 +122,33 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
             )
         )
         verified = F.transform(F.array_distinct(fetched), lambda t: F.struct(t.alias("t"), F.size(F.array_intersect(F.element_at(words_of, t + 1), b)).alias("n")))
-        sizes, leasts = F.array(*(F.lit(len(s)) for s in sets)), F.array(*map(F.lit, least))
-        return F.transform(
-            F.filter(verified, lambda v: v["n"] >= F.element_at(leasts, v["t"] + 1)),
-            lambda v: F.struct(F.element_at(label_of, v["t"] + 1).alias("label"), (v["n"].cast("double") / F.element_at(sizes, v["t"] + 1)).alias("share")),
-        )
+        return F.filter(verified, enough)
+
+    sizes, leasts, lengths = F.array(*(F.lit(len(s)) for s in sets)), F.array(*map(F.lit, least)), F.array(*(F.lit(len(t.split())) for _, t in templates))
+    enough = lambda v: v["n"] >= F.element_at(leasts, v["t"] + 1)
+
+    def matches_of(found: Column) -> Column:
+        return F.transform(found, lambda v: F.struct(F.element_at(label_of, v["t"] + 1).alias("label"), (v["n"].cast("double") / F.element_at(sizes, v["t"] + 1)).alias("share")))
+
+    def in_block(b: Column) -> Column:
+        return matches_of(fetched_of(b))
+
+    def best_window(words: Column, t: Column) -> Column:
+        """The template and the most of its words in a window of its length; windows begin with one of its words."""
+        own = F.element_at(words_of, t + 1)
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(own, w), i + 1)), lambda i: i.isNotNull())
+        return F.struct(t.alias("t"), F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(own, F.slice(words, i, F.element_at(lengths, t + 1)))))).alias("n"))
+
+    def in_windows(words: Column) -> Column:
+        return matches_of(F.filter(F.transform(bind(F.array_intersect(ordered, words), fetched_of), lambda v: best_window(words, v["t"])), enough))
 
     blocks = F.filter(F.transform(F.split(F.col("_low"), "\n"), lambda line: F.array_intersect(ordered, F.split(F.trim(F.regexp_replace(line, NOT_WORD, " ")), " "))), lambda b: F.size(b) >= fewest)
     none = F.array().cast("array<struct<label:string,share:double>>")
-    d = d.withColumn("_blocks", F.when(F.col("_maybe"), blocks)).withColumn("matches", F.when(F.size("_blocks") > 0, F.flatten(F.transform("_blocks", in_block))).otherwise(none))
+    d = d.withColumn("_blocks", F.when(F.col("_maybe"), blocks)).withColumn("_lines", F.when(F.size("_blocks") > 0, F.flatten(F.transform("_blocks", in_block))).otherwise(none))
+    # within one line, a line has what its windows have
+    d = d.withColumn("_windows", F.when(F.col("_maybe") & F.contains("_low", F.lit("\n")), bind(F.split(F.trim("_c"), " "), in_windows)).otherwise(none))
+    more = F.filter("_windows", lambda x: ~F.exists("_lines", lambda y: (y["label"] == x["label"]) & (y["share"] >= x["share"])))
+    d = d.withColumn("matches", F.concat("_lines", more))
 
     counts, firsts, lasts = [], [], []
     doubled, back = F.replace(c, F.lit(" "), F.lit("  ")), F.reverse(c)

@@ -171,6 +171,25 @@ def test_licenses_against_sql(spark):
     assert op3_licenses.scan_licenses(odd_documents(spark)).filter("doc_id = 6").first().base_labels == "apache,cc-by,gpl,mit"
 
 
+def test_licenses_across_line_breaks(spark):
+    rng, texts, want = random.Random(2), [], []
+    for label, t in op3_licenses.TEMPLATES:
+        w = t.split()
+        for cut in range(1, len(w)):
+            texts.append(f"{prose(rng, 6)} {' '.join(w[:cut])}\r\n * {' '.join(w[cut:])} {prose(rng, 6)}")
+            want.append((label, 1.0))
+        texts.append(prose(rng, 5) + "\n\n" + "\n# ".join(w) + "\n" + prose(rng, 5))  # a word a line
+        want.append((label, 1.0))
+    n = len(texts)
+    bsd = op3_licenses.TEMPLATES[7][1].split()
+    # scattered over the text: no window has them; one word of 17 changed: 16 are left
+    texts += ["\n".join(f"{w} {prose(rng, 3)}" for w in bsd), " ".join(bsd[:9]) + "\nfoo " + " ".join(bsd[10:])]
+    got = {r.doc_id: r for r in op3_licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == score for k, (label, score) in enumerate(want))
+    assert got[n].labels == "" and got[n].score == 0
+    assert got[n + 1].labels == "bsd" and 0.9 <= got[n + 1].score < 1
+
+
 # --- Jaccard join
 
 
