@@ -11,7 +11,7 @@ from functools import reduce, wraps
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ladle.functions.dictionaries import CLEANER_SECTIONS, FOOD_WORDS, OCR_CORRECTIONS, SECTION_MODIFIERS, SECTION_WORDS
+from ladle.functions.dictionaries import CLEANER_SECTIONS, FOOD_PHRASES, FOOD_WORDS, OCR_CORRECTIONS, SECTION_MODIFIERS, SECTION_WORDS
 
 # Patterns of prices.
 PRICE_ONLY = r"^[$€£¥]?\s*\d{1,4}(?:[.,]\d{1,2})?[\s.]*\z"
@@ -186,12 +186,14 @@ def correct_ocr(c: Column, table: Sequence[tuple[str, str]] = OCR_CORRECTIONS) -
     return F.when(_any(c, [p for p, _ in table], "(?i)"), fixed).otherwise(c)
 
 
-def is_food(word: Column, food: Sequence[str] = FOOD_WORDS) -> Column:
-    return F.lower(word).isin(*food)
+def is_food(word: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[str] = FOOD_PHRASES) -> Column:
+    """Whether a text as a whole is a food word or phrase."""
+    w = F.lower(word)
+    return w.isin(*food) | w.rlike("(?U)^(?:" + "|".join(phrases) + r")\z")
 
 
-def food_count(c: Column, food: Sequence[str] = FOOD_WORDS) -> Column:
-    return F.size(F.filter(words(F.lower(c)), lambda w: w.isin(*food)))
+def food_count(c: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[str] = FOOD_PHRASES) -> Column:
+    return F.size(F.filter(words(F.lower(c)), lambda w: is_food(w, food, phrases)))
 
 
 @bound
@@ -273,7 +275,7 @@ def confidence(has_price: Column, name: Column, category: Column, centred: Colum
 
 
 def _confidence(has_price: Column, name: Column, w: Column, category: Column, centred: Column, all_caps: Column, layout: Column) -> Column:
-    n, food = F.size(w), F.size(F.filter(w, lambda x: x.isin(*FOOD_WORDS)))
+    n, food = F.size(w), F.size(F.filter(w, lambda x: is_food(x)))
     generic = F.size(F.filter(w, lambda x: x.isin(*GENERIC_WORDS)))
 
     def plus(test: Column, amount: float) -> Column:

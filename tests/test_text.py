@@ -151,3 +151,16 @@ def test_price_find_all_keeps_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r.price for r in catalogue.QUERIES["price_find_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 4.5, 2: 12.34, 3: 560.21, 4: 999.99, 5: None, 6: None, 7: None, 8: 0.0}
+
+
+def test_food_dictionary_is_whole(spark):
+    from ladle.functions.dictionaries import FOOD_PHRASES, FOOD_WORDS
+
+    assert len(set(FOOD_WORDS)) == len(FOOD_WORDS) == 509 and len(set(FOOD_PHRASES)) == len(FOOD_PHRASES) == 13
+    texts = ["gnocchi", "TORTILLA", "Scallop", "oyster", "enchilada", "tapas", "ricotta", "pho", "dim sum", "Dimsum", "baba  ganoush", "t-bone", "gado-gado", "CHÈVRE", "smörgås", "dim", "sum", "dim sums", "chair", "", None]
+    assert values(spark, texts, t.is_food(S)) == [True] * 15 + [False] * 5 + [None]
+    assert values(spark, ["a dimsum with ricotta and salt", "dim sum"], t.food_count(S)) == [2, 0]
+    assert values(spark, ["GNOCCHI", "KLINGON"], t.is_header(S, F.lit(False))) == [False, True]
+    # a word of the list scores as much as any other
+    score = lambda name: values(spark, [name], t.confidence(F.lit(False), S, F.lit(""), F.lit(False), F.lit(False), F.lit("compact")))
+    assert score("Ricotta Plate") == score("Chicken Plate") != score("Klingon Plate")
