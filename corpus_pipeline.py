@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ladle.llm import op4_jaccard, op5_mixing, op6_quality, op8_decontaminate, op10_token_ids
@@ -27,15 +27,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each group of links (5-word shingles, similarity 0.8 or more).
+    """Keep one row of each group of links (5-word shingles, similarity 0.8 or more): of the smallest doc_id, null ids last.
 
-    Rows without a doc_id stay; all rows of a doc_id stay or go together.
+    A row's key is the hash of its doc_id and text, so rows of one doc_id are judged by their own texts; of rows that have
+    both in common one stays. Rows without words link with nothing and all stay.
     """
     docs = docs.select(*COLUMNS)
-    groups = op4_jaccard.near_duplicates(docs, op4_jaccard.Measure(5, 80, 100))
-    dropped = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "dropped")
-    # what is dropped grows with the documents, so it is never broadcast, not even where it is little
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    groups = op4_jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"), op4_jaccard.Measure(5, 80, 100))
+    ids = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    groups = groups.withColumnRenamed("doc_id", "_key").join(ids.hint("merge"), "_key")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"]
+    kept = materialize(groups.groupBy("component_id").agg(first.alias("_key"), (F.max("n_shingles") > 0).alias("_words")).select("_key", "_words"), "kept")
+    # what is kept grows with the documents, so it is never broadcast, not even where it is little
+    rows = docs.withColumn("_key", key).join(kept.hint("merge"), "_key")
+    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars")))
+    return rows.filter(~F.col("_words") | (F.col("_rn") == 1)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

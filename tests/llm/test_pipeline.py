@@ -79,6 +79,19 @@ def test_stages(spark, corpus):
     assert sorted(tuple(r) for r in out.collect()) == sorted(brute_ids(last))
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated and null ids: a row is dropped for its own text only, and no group vanishes."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a), (5, near(a)), (5, b), (6, near(b)), (7, c), (7, c), (None, near(c)), (None, d), (None, near(d)), (8, None), (8, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    last = [x for x in got if x[0] is None]
+    assert len(last) == 1 and last[0][1] in (d, near(d))
+    assert got == Counter({(1, a): 1, (5, b): 1, (7, c): 1, last[0]: 1, (8, None): 2, (8, ""): 2})
+
+
 def test_run_is_the_stages(spark, corpus):
     sf_dir, _ = corpus
     rows = corpus_pipeline.run(spark, sf_dir).collect()
