@@ -1,9 +1,8 @@
-"""Shared pieces of the training-data operators: shared-folder tables, word and shingle hashing."""
+"""Shared pieces of the training-data operators: shared-folder tables, totals of hot keys, key filters, word hashing."""
 
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,14 +10,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tasks over which the rows of one key are dealt.
+SALTS = 32
+#: The largest key filter: 8 bits or more a key, so 8 MB at most; more keys are not filtered.
+MOST_FILTER_KEYS = 1 << 23
 
 _made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a test folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session that has none gets a test folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (root or "file:///tmp/ladle-shared").rstrip("/")
 
 
@@ -44,18 +51,87 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends; a table that is written needs them no longer.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    free_shuffles(df.sparkSession)
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.ladle_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for table in tables:
+        fs, path = file_system(table.ladle_path)
+        fs.delete_dir(path)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt anew where they come in fewer splits than there are cores (a single small file); large tables stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def with_total(rows: DataFrame, key: str, by: str, part: Column, total: Column, name: str) -> DataFrame:
+    """rows with an aggregate over all rows of their key, which may hold a third of them.
+
+    Rows are dealt over SALTS tasks a key by the hash of `by`: `part` (an aggregate, alias _part) is taken by key and salt,
+    `total` over a key's parts, and totals go back to the parts and from there to the rows. All joins are shuffled.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(part.alias("_part"))
+    back = parts.select(key, "_salt").join(parts.groupBy(key).agg(total.alias(name)).hint("merge"), key)
+    return salted.join(back.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
+def key_filter(keys: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of a column of 64-bit hashes, sized by their number; null where there are more than MOST_FILTER_KEYS.
+
+    One row for each 64-bit word of it at most reaches the driver.
+    """
+    key, n = F.col(keys.columns[0]), keys.count()
+    if n > MOST_FILTER_KEYS:
+        return None
+    bits = 1 << max(16, (8 * n).bit_length())
+    both = keys.select(F.explode(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1)))).alias("b"))
+    rows = both.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("v")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
+    return words.view(np.uint64)
+
+
+def probably_in(bloom: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key; true for all that it holds."""
+    out, least = np.ones(len(keys), dtype=bool), keys.astype(np.uint64)
+    if bloom is None:
+        return out
+    for shift in (0, 32):
+        bits = (least >> np.uint64(shift)) & np.uint64(64 * len(bloom) - 1)
+        out &= (bloom[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
+    return out
+
+
+def only_keys(rows: DataFrame, bloom: np.ndarray | None, key: str) -> DataFrame:
+    """The rows whose key (a 64-bit hash) the filter may hold, chosen in place, so that few others are shuffled."""
+    if bloom is None:
+        return rows
+    at = rows.columns.index(key)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(probably_in(bloom, batch.column(at).to_numpy())))
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that are no longer referred to; else they stay until the driver's heap is full."""
-    gc.collect()
-    spark._jvm.System.gc()
+    return rows.mapInArrow(run, rows.schema)
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:

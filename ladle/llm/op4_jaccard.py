@@ -18,6 +18,7 @@ The global order of shingles puts frequent ones last and goes by hash within bot
 3. Partial counts by fragment, in full. The sets of candidates are cut into 8 segments of the order; the common shingles
    of a pair are counted in each segment separately and summed per pair.
 
+Texts are hashed once; the sets (8 bytes a shingle, one set a class and task) stand in the shared folder from there on.
 What grows with the documents is joined by shuffle at every size, never broadcast.
 
 A group of copies is not turned into all its pairs: in each round every class proposes its nearest and its smallest
@@ -42,12 +43,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import WordHashes, bound_batches, materialize, rows_of, shingle_hashes
+from ladle.llm.common import SALTS, WordHashes, bound_batches, key_filter, materialize, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
 
-PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 4096
+PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 1024
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
-BLOOM_BITS = 1 << 23
 BEST_ROUNDS, PEELS = 2, 2
+#: Shingles that a task gathers before it hands rows on, and pairs.
+BATCH_SHINGLES, BATCH_PAIRS = 1 << 19, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -114,31 +116,52 @@ class _Heavy:
         self.parts, self.n = [], 0
 
 
-def classes(docs: DataFrame, m: Measure) -> DataFrame:
-    """doc_id, n, key of each document; and, with n = -1, counts (doc_id) of shingles (key) that are frequent within a task."""
+def document_sets(docs: DataFrame, m: Measure) -> DataFrame:
+    """doc_id, n, key of each document, and s, its set, with the first document of a class in a task; and, with n = -1, counts
+    (doc_id) of shingles (key) that are frequent within a task."""
+    none = np.empty(0, np.int64)
+
+    def table(ids: list, sizes: list, keys: list, sets: list) -> pa.RecordBatch:
+        return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.int64()), "s": _lists(sets)})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, heavy, seen = WordHashes(), _Heavy(), set()
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            columns, gathered = ([], [], [], []), 0
             for doc_id, text in rows_of([batch], "doc_id", "text"):
                 s = m.shingles(text, known)
-                key = set_key(s) if len(s) else None
-                ids.append(doc_id)
-                sizes.append(len(s))
-                keys.append(key)
+                key, held = set_key(s) if len(s) else None, none
                 if len(s) and key not in seen:
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(key)
                     heavy.add(s)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.int64())})
+                    held = s.astype(np.int64)
+                    gathered += len(s)
+                for column, value in zip(columns, (doc_id, len(s), key, held), strict=True):
+                    column.append(value)
+                if gathered >= BATCH_SHINGLES:
+                    yield table(*columns)
+                    columns, gathered = ([], [], [], []), 0
+            yield table(*columns)
         heavy.reduce()
         for k in range(0, len(heavy.h), 50_000):
             part = heavy.h[k : k + 50_000].astype(np.int64)
-            yield pa.record_batch({"doc_id": pa.array(heavy.c[k : k + 50_000]), "n": pa.array(np.full(len(part), -1)), "key": pa.array(part)})
+            yield table(heavy.c[k : k + 50_000], np.full(len(part), -1), part, [none] * len(part))
+
+    return docs.mapInArrow(run, "doc_id long, n long, key long, s array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long")
+def class_sets(made: DataFrame, m: Measure) -> DataFrame:
+    """key, s of the classes that may link with another; once or, where several tasks met a class, more often."""
+    return made.filter((F.col("n") >= m.least_size()) & (F.size("s") > 0)).select("key", "s")
+
+
+def _rows_of_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a batch of (key, s), where each set starts (and the last ends), and the shingles of all."""
+    lists = batch.column(1)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return batch.column(0).to_numpy(), at - at[0], lists.flatten().to_numpy().astype(np.uint64)
 
 
 def heavy_shingles(made: DataFrame) -> np.ndarray:
@@ -158,45 +181,46 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def prefixes(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
-    """key, n, prefix, parity of each class that may link with another."""
-    least = m.least_size()
+def prefixes(sets: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
+    """key, n, prefix, light, parity of each class that may link with another; the first `light` of its prefix are no frequent shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
         for batch in batches:
-            keys, sizes, prefix, parity = [], [], [], []
-            for (text,) in rows_of([batch], "text"):
-                s = m.shingles(text, known)
-                if len(s) < least:
-                    continue
-                key = set_key(s)
-                if key in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(key)
-                late = _contains(heavy, s)
-                first = np.concatenate([s[~late], s[late]])[: m.prefix(len(s))]
-                keys.append(key)
-                sizes.append(len(s))
-                prefix.append(first.astype(np.int64))
+            keys, at, flat = _rows_of_sets(batch)
+            late_ones, prefix, light, parity = _contains(heavy, flat), [], [], []
+            for a, b in zip(at, at[1:], strict=False):
+                s, late = flat[a:b], late_ones[a:b]
+                first = s[~late]
+                prefix.append(np.concatenate([first, s[late]])[: m.prefix(len(s))].astype(np.int64))
+                light.append(len(first))
                 parity.append(parities(s, PARITY_BITS))
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "prefix": _lists(prefix), "parity": _lists(parity)})
+            yield pa.record_batch({"key": pa.array(keys), "n": pa.array(np.diff(at)), "prefix": _lists(prefix), "light": pa.array(light, pa.int64()), "parity": _lists(parity)})
 
-    made = docs.select("text").mapInArrow(run, "key long, n long, prefix array<long>, parity array<long>")
-    return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity")))
+    made = sets.mapInArrow(run, "key long, n long, prefix array<long>, light long, parity array<long>")
+    return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "light", "parity")))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows (sig, key, salt, ...) of buckets of two or more, with the number of their classes (c).
+
+    Buckets are counted before they are shuffled whole; those of frequent shingles, the only ones that may be large, are
+    dealt by salts, and their count goes to each salt.
+    """
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("salt").alias("_most")).filter("c > 1")
+    dealt = sizes.select("sig", "c", F.explode(F.when(F.col("_most") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("salt"))
+    return rows.join(dealt.hint("merge"), ["sig", "salt"])
 
 
 def buckets(reps: DataFrame, m: Measure) -> DataFrame:
     """sig, key, n, c: the classes of each bucket (prefix shingle) of two or more that may have a partner, and their number."""
-    rows = reps.select(F.explode("prefix").alias("sig"), "key")
-    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1").join(reps.select("key", "n").hint("merge"), "key")
+    salt = F.when(F.col("k") >= F.col("light"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(-1).cast("int")
+    rows = _shared(reps.select(F.posexplode("prefix").alias("k", "sig"), "key", "light").select("sig", "key", salt.alias("salt")))
+    rows = rows.join(reps.select("key", "n").hint("merge"), "key")
     for _ in range(PEELS):
+        # a class has no more rows than its prefix has shingles
         enough = F.count("*").over(Window.partitionBy("key")) >= m.needed(F.col("n"))
-        rows = rows.withColumn("ok", enough).filter("ok").drop("ok")
-        rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
-    return rows
+        rows = _shared(rows.withColumn("ok", enough).filter("ok").select("sig", "key", "n", "salt"))
+    return rows.drop("salt")
 
 
 def compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -289,98 +313,63 @@ def proposals(rows: DataFrame, m: Measure) -> DataFrame:
 def all_pairs(rows: DataFrame, m: Measure) -> DataFrame:
     """a, b: every pair of classes of different groups that may link."""
 
+    def table(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.record_batch({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            key, found = g["key"], []
+            key, found, n = g["key"], [], 0
             for i, j, _ in _pairs(g, m):
                 found.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], axis=1))
+                n += len(i)
+                if n >= BATCH_PAIRS:
+                    yield table(found)
+                    found, n = [], 0
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+                yield table(found)
 
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
 
 
-def _bloom_bits(key: Column) -> Column:
-    return F.array(key.bitwiseAND(F.lit(BLOOM_BITS - 1)), F.shiftrightunsigned(key, 23).bitwiseAND(F.lit(BLOOM_BITS - 1)))
-
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size of a key column; one row a word of it at most reaches the driver."""
-    bits = keys.select(F.explode(_bloom_bits(F.col("key"))).alias("b"))
-    rows = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("v")).collect()
-    words = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in rows:
-        words[r.w] = r.v
-    return words.view(np.uint64)
-
-
-def probably_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each key; true for all that it holds."""
-    out = np.ones(len(keys), dtype=bool)
-    for shift in (0, 23):
-        bits = (keys >> shift) & (BLOOM_BITS - 1)
-        out &= (bloom[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
-    return out
-
-
-def only_keys(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of sets whose key may be among keys, so that few others are shuffled."""
-    bloom = key_filter(keys)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(probably_in(bloom, batch.column(0).to_numpy())))
-
-    return sets.mapInArrow(run, sets.schema)
-
-
-def segments(docs: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
+def segments(sets: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
     """key, segment, s: the sets of the given classes, cut into segments of the order of hashes.
 
     Segment -1 holds the set's size and, of large sets, the parities of WIDE_BITS fragments.
     """
-    bloom, least = key_filter(keys), m.least_size()
+    bloom, least = key_filter(keys.select("key")), np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(61)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
         for batch in batches:
+            batch = batch.filter(pa.array(probably_in(bloom, batch.column(0).to_numpy())))
+            keys, at, flat = _rows_of_sets(batch)
             out_keys, out_segments, out = [], [], []
-            for (text,) in rows_of([batch], "text"):
-                s = m.shingles(text, known)
-                if len(s) < least:
-                    continue
-                key = set_key(s)
-                if key in seen or not probably_in(bloom, np.array([key]))[0]:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(key)
+            for key, a, b in zip(keys, at, at[1:], strict=False):
+                s = flat[a:b]
                 wide = parities(s, WIDE_BITS) if len(s) > 2 * PARITY_BITS else np.empty(0, np.int64)
                 out_keys.append(key)
                 out_segments.append(-1)
                 out.append(np.concatenate([np.array([len(s)], np.int64), wide]))
-                cuts = np.searchsorted(s, np.arange(1, SEGMENTS, dtype=np.uint64) << np.uint64(61))
-                for k, part in enumerate(np.split(s, cuts)):
+                for k, part in enumerate(np.split(s, np.searchsorted(s, least))):
                     if len(part):
                         out_keys.append(key)
                         out_segments.append(k)
                         out.append(part.astype(np.int64))
             yield pa.record_batch({"key": pa.array(out_keys, pa.int64()), "segment": pa.array(out_segments, pa.int32()), "s": _lists(out)})
 
-    made = docs.select("text").mapInArrow(run, "key long, segment int, s array<long>")
+    made = sets.mapInArrow(run, "key long, segment int, s array<long>")
     return made.join(keys.hint("merge"), "key", "left_semi").groupBy("key", "segment").agg(F.first("s").alias("s"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     """a, b: the pairs that link. Common shingles are counted by segment and summed per pair."""
     both = F.explode(F.array("a", "b")).alias("key")
-    sketches = only_keys(sets.filter("segment = -1"), pairs.select(both)).select("key", F.get("s", F.lit(0)).alias("n"), F.slice("s", 2, WIDE_BITS // 64).alias("w"))
+    sketches = only_keys(sets.filter("segment = -1"), key_filter(pairs.select(both).distinct()), "key").select("key", F.get("s", F.lit(0)).alias("n"), F.slice("s", 2, WIDE_BITS // 64).alias("w"))
     p = pairs.join(sketches.withColumnsRenamed({"key": "a", "n": "na", "w": "wa"}).hint("merge"), "a").join(sketches.withColumnsRenamed({"key": "b", "n": "nb", "w": "wb"}).hint("merge"), "b")
     differ = F.when((F.size("wa") > 0) & (F.size("wb") > 0), F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)).otherwise(0)
     p = p.filter(differ * (m.den + m.num) <= (F.col("na") + F.col("nb")) * (m.den - m.num)).select("a", "b", "na", "nb")
     p = materialize(p, "pairs")
-    sets = only_keys(sets.filter("segment >= 0"), p.select(both))
+    sets = only_keys(sets.filter("segment >= 0"), key_filter(p.select(both).distinct()), "key")
     left = sets.select(F.col("key").alias("a"), "segment", F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), "segment", F.col("s").alias("sb"))
     partial = p.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
@@ -395,14 +384,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before.n == 0:
             break
-        # large star: neighbours above u are hung on the smallest around u
+        # large star: neighbours above u are hung on the smallest around u; a hub's edges are dealt over many tasks
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = with_total(both, "u", "v", F.min("v"), F.min("_part"), "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct()
         large = materialize(large, "edges")
         # small star: u and its smaller neighbours are hung on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        small = with_total(large, "u", "v", F.min("v"), F.min("_part"), "m")
+        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = materialize(small, "edges")
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (before.n, before.h) == (after.n, after.h):
@@ -412,15 +400,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
 
 
-def class_groups(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame | None:
-    """key, root of all classes that link with another; None if there are none."""
-    reps = materialize(prefixes(docs, m, heavy), "classes")
+def class_groups(made: DataFrame, m: Measure) -> DataFrame | None:
+    """key, root of all classes that link with another, from document_sets; None if there are none."""
+    whole = class_sets(made, m)
+    reps = materialize(prefixes(whole, m, heavy_shingles(made)), "classes")
     rows = materialize(buckets(reps, m), "buckets")
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
         return None
     rows = materialize(rows.join(found.select("key").hint("merge"), "key", "left_semi"), "buckets")
-    sets = materialize(segments(docs, found.select("key"), m), "segments")
+    sets = materialize(segments(whole, found.select("key"), m), "segments")
     links: DataFrame | None = None
     groups: DataFrame | None = None
     for k in range(BEST_ROUNDS + 1):
@@ -447,9 +436,9 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     """doc_id, n_shingles, component_id for each document: the smallest doc_id that links reach."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(classes(docs, m), "sets")
-    groups = class_groups(docs, m, heavy_shingles(made))
-    rows = made.filter("n >= 0")
+    made = materialize(document_sets(spread(docs), m), "sets")
+    groups = class_groups(made, m)
+    rows = made.filter("n >= 0").drop("s")
     firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     if groups is not None:
         firsts = firsts.join(groups.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -469,12 +458,13 @@ def linked_classes(docs: DataFrame, m: Measure = Measure()) -> tuple[DataFrame,
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(classes(docs, m), "sets")
-    reps = materialize(prefixes(docs, m, heavy_shingles(made)), "classes")
+    made = materialize(document_sets(spread(docs), m), "sets")
+    whole = class_sets(made, m)
+    reps = materialize(prefixes(whole, m, heavy_shingles(made)), "classes")
     rows = materialize(buckets(reps, m), "buckets")
     # each class is a group of its own: no pair is left out
     pairs = materialize(all_pairs(compared(rows.withColumn("root", F.col("key")), reps), m), "pairs")
-    sets = materialize(segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), m), "segments")
+    sets = materialize(segments(whole, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), m), "segments")
     links = materialize(verify(pairs, sets, m), "links")
     return links, made.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
 
