@@ -1,8 +1,9 @@
 """WARC: a PySpark Python data source that writes and reads WARC/1.1 archives.
 
-Writing: each task writes archives of its own under temporary names; committing renames those of successful tasks, so a
-lost or repeated task leaves nothing that readers see. Reading: the driver lists the archives and packs them into
-partitions by size; predicates on record type and header fields are pushed into the reader, which parses headers first
+Writing: each task writes archives under names of their own; committing writes one manifest that lists those of successful
+tasks, so nothing is renamed, and what a lost or repeated task left behind is not read. Reading: the driver lists the
+archives (where there are manifests, those they list; else, in a folder of foreign archives, all) and packs them into
+partitions by size, an archive being the least unit; predicates on record type and header fields are pushed into the reader, which parses headers first
 and steps over the payloads of records that it drops (or of all, with payload=false) without reading or decoding them.
 
 Options: path; payload (true); partition_bytes for reading; compress (true: one gzip member a record, with its length in
@@ -37,6 +38,8 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 FIELDS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 WRITTEN = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 LEAST_BYTES, SALTS = 100, 32
+#: How names of manifests begin; a manifest has the name of an archive a line.
+MANIFEST = "_manifest-"
 _ARROW = pa.schema(
     [("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
 )
@@ -189,7 +192,12 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(root)
         scheme = self.path[: self.path.index(root)] if root in self.path else ""
         if info.type == pafs.FileType.Directory:
-            found = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File and i.path.endswith((".warc", ".warc.gz"))]
+            files = [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File]
+            found = [i for i in files if i.path.endswith((".warc", ".warc.gz"))]
+            manifests = [i.path for i in files if i.base_name.startswith(MANIFEST)]
+            if manifests:
+                listed = {name for path in manifests for name in _lines_of(fs, path)}
+                found = [i for i in found if i.base_name in listed]
         else:
             found = [info] if info.type == pafs.FileType.File else []
         out, paths, size = [], [], 0
@@ -250,6 +258,11 @@ class WarcReader(DataSourceReader):
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def _lines_of(fs: pafs.FileSystem, path: str) -> list[str]:
+    with fs.open_input_stream(path) as f:
+        return f.read().decode().splitlines()
+
+
 def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -283,7 +296,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if stream is not None:
                         stream.close()
                     paths.append(f"{root}/part-{TaskContext.get().partitionId():06d}-{len(paths):04d}-{uuid.uuid4().hex}.warc{'.gz' * self.compress}")
-                    stream, size = fs.open_output_stream(paths[-1] + ".tmp", buffer_size=1 << 20), 0
+                    stream, size = fs.open_output_stream(paths[-1], compression=None, buffer_size=1 << 20), 0
                 data = record_bytes(row, self.date)
                 data = gzip_member(data) if self.compress else data
                 stream.write(data)
@@ -293,16 +306,16 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(paths)
 
     def commit(self, messages) -> None:
-        fs, _ = file_system(self.path)
-        for m in messages:
-            for p in m.paths if m else ():
-                fs.move(p + ".tmp", p)
+        fs, root = file_system(self.path)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}") as f:
+            f.write("".join(p.rpartition("/")[2] + "\n" for m in messages if m for p in m.paths).encode())
 
     def abort(self, messages) -> None:
         fs, _ = file_system(self.path)
         for m in messages:
             for p in m.paths if m else ():
-                fs.delete_file(p + ".tmp")
+                fs.delete_file(p)
 
 
 class WarcSource(DataSource):
