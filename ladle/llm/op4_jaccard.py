@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import SALTS, WordHashes, bound_batches, key_filter, materialize, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
+from ladle.llm.common import SALTS, WordHashes, bound_batches, discard, key_filter, materialize, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
 
 PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 1024
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
@@ -374,7 +374,9 @@ def verify(pairs: DataFrame, sets: DataFrame, m: Measure) -> DataFrame:
     right = sets.select(F.col("key").alias("b"), "segment", F.col("s").alias("sb"))
     partial = p.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "segment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
     whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    return whole.filter(F.col("c") * (m.den + m.num) >= (F.col("na") + F.col("nb")) * m.num).select("a", "b")
+    links = materialize(whole.filter(F.col("c") * (m.den + m.num) >= (F.col("na") + F.col("nb")) * m.num).select("a", "b"), "links")
+    discard(p)
+    return links
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -388,10 +390,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_total(both, "u", "v", F.min("v"), F.min("_part"), "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct()
         large = materialize(large, "edges")
+        discard(edges)
         # small star: u and its smaller neighbours are hung on the smallest of them
         small = with_total(large, "u", "v", F.min("v"), F.min("_part"), "m")
         small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = materialize(small, "edges")
+        discard(large)
         after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (before.n, before.h) == (after.n, after.h):
             break
@@ -401,34 +405,41 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def class_groups(made: DataFrame, m: Measure) -> DataFrame | None:
-    """key, root of all classes that link with another, from document_sets; None if there are none."""
+    """key, root of all classes that link with another, from document_sets; None if there are none.
+
+    Tables go as soon as nothing reads them any more; `made`, which holds all sets, is one of them.
+    """
     whole = class_sets(made, m)
     reps = materialize(prefixes(whole, m, heavy_shingles(made)), "classes")
     rows = materialize(buckets(reps, m), "buckets")
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
+        discard(made, reps, rows, found)
         return None
-    rows = materialize(rows.join(found.select("key").hint("merge"), "key", "left_semi"), "buckets")
+    every, rows = rows, materialize(rows.join(found.select("key").hint("merge"), "key", "left_semi"), "buckets")
     sets = materialize(segments(whole, found.select("key"), m), "segments")
+    discard(every, made)
     links: DataFrame | None = None
     groups: DataFrame | None = None
     for k in range(BEST_ROUNDS + 1):
         rooted = rows.withColumn("root", F.col("key")) if groups is None else rows.join(groups.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         if k < BEST_ROUNDS:
-            if k:
-                found = proposals(compared(rooted, reps), m)
-            pairs = found.select(F.explode(F.array("near", "low")).alias("o"), "key").select(F.least("o", "key").alias("a"), F.greatest("o", "key").alias("b")).filter("a != b").distinct()
+            near = proposals(compared(rooted, reps), m) if k else found
+            pairs = near.select(F.explode(F.array("near", "low")).alias("o"), "key").select(F.least("o", "key").alias("a"), F.greatest("o", "key").alias("b")).filter("a != b").distinct()
         else:
             pairs = all_pairs(compared(rooted, reps), m)
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             break
-        new = materialize(verify(pairs, sets, m), "links")
+        new = verify(pairs, sets, m)
+        discard(pairs)
         if new.isEmpty():
             continue
         # the stars of the groups so far stand for their links
         so_far = new if groups is None else new.unionAll(groups.filter("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
         groups = materialize(components(so_far), "groups")
+        discard(new)
+    discard(reps, rows, sets, found)
     return groups
 
 
@@ -437,8 +448,8 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure()) -> DataFrame:
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = materialize(document_sets(spread(docs), m), "sets")
+    rows = materialize(made.filter("n >= 0").drop("s"), "rows")
     groups = class_groups(made, m)
-    rows = made.filter("n >= 0").drop("s")
     firsts = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     if groups is not None:
         firsts = firsts.join(groups.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -465,7 +476,8 @@ def linked_classes(docs: DataFrame, m: Measure = Measure()) -> tuple[DataFrame,
     # each class is a group of its own: no pair is left out
     pairs = materialize(all_pairs(compared(rows.withColumn("root", F.col("key")), reps), m), "pairs")
     sets = materialize(segments(whole, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), m), "segments")
-    links = materialize(verify(pairs, sets, m), "links")
+    links = verify(pairs, sets, m)
+    discard(reps, rows, pairs, sets)
     return links, made.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
 
 
