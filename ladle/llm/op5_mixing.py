@@ -4,14 +4,18 @@ Each source has a share of the mix (its weight, capped at `max_epochs` times its
 and a schedule: its weight at training time t in [0, 1] is share * (1 + slope * (1 - 2t)), whose integral from 0 to t is
 share * (t + slope * (t - t^2)). A source's documents stand in a fixed pseudo-random order; the words before a document
 are the cumulative demand at which it is read, and inverting the integral gives its training position. The result is
-range-sorted by position.
+range-sorted by position. Each source's own rate is integrated, so a position is training time and no offset in the mixed
+stream: the rates of all sources at a time do not sum up to a constant.
 
 The running sum of a source is made in two steps (sums of hash ranges, then within one range), so that a source with a
-third of all rows is dealt over all tasks. One row a source meets in one task, to share out the weights.
+third of all rows is dealt over all tasks. One row a source meets in one task, to share out the weights, and one row a
+range of a source, for its offsets. Text is shuffled to its range and, by position, to its place: the words at a time vary
+by the slopes only, so equal spans of time are partitions of like size and nothing has to be sampled.
 
 Defined results: null and empty texts have size 0 and are not taken; a null source is a source of its own, sorted last;
 a repeated row is a row of its own (its place among equal rows does not matter); null doc_ids are kept; an empty table
-gives an empty table; extra columns are ignored.
+gives an empty table; extra columns are ignored by mix_sources and kept by mixed_documents, whatever their names (working
+columns begin with _mix_).
 """
 
 from __future__ import annotations
@@ -62,39 +66,52 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """docs with size and the place of its document in its source's order (_h)."""
-    return docs.withColumn("size", word_count(F.col("text").cast("string"))).withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    """docs with its documents' sizes, source keys (never null) and places in their sources' order."""
+    source = F.col("source").cast("string")
+    return docs.withColumns(
+        {
+            "_mix_size": word_count(F.col("text").cast("string")),
+            "_mix_key": F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)),
+            "_mix_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
+        }
+    )
 
 
 def _ranged(rows: DataFrame, n: int) -> DataFrame:
     """rows with the range of the order (one of n) that holds them."""
-    return rows.withColumn("_r", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n).cast("long"))
+    return rows.withColumn("_mix_r", F.floor(F.conv(F.substring("_mix_h", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n).cast("long"))
 
 
 def _offsets(sizes: DataFrame, n: int, weights: Sequence[float], slopes: Sequence[float], share: float, max_epochs: int) -> DataFrame:
     """For each source and range of its order: the words before it, and the source's target and slope."""
-    ranges = _ranged(sizes, n).groupBy("source", "_r").agg(F.sum("size").alias("_s"))
-    targets = source_targets(ranges.select("source", F.col("_s").alias("size")), weights, slopes, share, max_epochs)
-    before = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    return materialize(offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("o_source"), F.col("_r").alias("o_r"), "_before", "source_size", "target", "slope"), "mix-ranges")
+    source = F.when(F.col("_mix_key") != "n", F.substring("_mix_key", 2, 1 << 30))
+    ranges = materialize(_ranged(sizes, n).groupBy("_mix_key", "_mix_r").agg(F.sum("_mix_size").alias("_mix_s")), "mix-sums")
+    targets = source_targets(ranges.select(source.alias("source"), F.col("_mix_s").alias("size")), weights, slopes, share, max_epochs)
+    targets = targets.select(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_mix_key"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "slope")))
+    before = Window.partitionBy("_mix_key").orderBy("_mix_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.withColumn("_mix_before", F.coalesce(F.sum("_mix_s").over(before), F.lit(0))).drop("_mix_s")
+    return materialize(offsets.join(targets, "_mix_key"), "mix-ranges")
 
 
 def _placed(rows: DataFrame, offsets: DataFrame, max_epochs: int) -> DataFrame:
-    """rows with source_size, target and uses: (position, words taken) for each time that the mix takes the document."""
-    within = Window.partitionBy("source", "_r").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_c", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(offsets, placed["source"].eqNullSafe(F.col("o_source")) & (F.col("_r") == F.col("o_r")))
-    demand, a = F.round("target").cast("long"), F.col("slope")
+    """rows with their source's size and target and _mix_uses: (position, words taken) for each time that the mix takes the document.
+
+    The join and the sums within a range need the same, single shuffle of rows; offsets grow with the documents, so they are
+    never broadcast.
+    """
+    placed = rows.join(offsets.hint("shuffle_hash"), ["_mix_key", "_mix_r"])
+    within = Window.partitionBy("_mix_key", "_mix_r").orderBy("_mix_h", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_mix_c", F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
+    demand, a = F.round("_mix_target").cast("long"), F.col("_mix_slope")
 
     def use(epoch: int) -> Column:
-        start = F.col("source_size") * epoch + F.col("_before") + F.col("_c")
-        u = F.least(F.coalesce(F.try_divide(start.cast("double"), F.col("target")), F.lit(0.0)), F.lit(1.0))
+        start = F.col("_mix_source_size") * epoch + F.col("_mix_before") + F.col("_mix_c")
+        u = F.least(F.coalesce(F.try_divide(start.cast("double"), F.col("_mix_target")), F.lit(0.0)), F.lit(1.0))
         root = (1 + a) - F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * u, F.lit(0.0)))
         position = F.when(a == 0, u).otherwise(F.abs(F.try_divide(root, 2 * a)))
-        return F.struct(position.alias("position"), F.least(F.greatest(demand - start, F.lit(0)), F.col("size")).cast("long").alias("taken"))
+        return F.struct(position.alias("position"), F.least(F.greatest(demand - start, F.lit(0)), F.col("_mix_size")).cast("long").alias("taken"))
 
-    return placed.withColumn("uses", F.filter(F.array(*map(use, range(max_epochs))), lambda x: x["taken"] > 0))
+    return placed.withColumn("_mix_uses", F.filter(F.array(*map(use, range(max_epochs))), lambda x: x["taken"] > 0))
 
 
 def _check(weights: Sequence[float], slopes: Sequence[float]) -> None:
@@ -113,19 +130,26 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Seq
     sizes = materialize(base.drop("text"), "mix-sizes")
     n = max(64, sizes.count() // ROWS_A_RANGE)
     placed = _placed(_ranged(sizes, n), _offsets(sizes, n, weights, slopes, share, max_epochs), max_epochs)
-    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda s, x: s + x["taken"])
-    out = materialize(placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position")), "mix-placed")
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    taken = F.aggregate("_mix_uses", F.lit(0).cast("long"), lambda s, x: s + x["taken"])
+    named = {"size": "_mix_size", "source": "source", "source_size": "_mix_source_size", "target": "_mix_target"}
+    out = placed.select("doc_id", *(F.col(c).alias(name) for name, c in named.items()), taken.alias("taken"), F.get("_mix_uses", F.lit(0))["position"].alias("position"))
+    return materialize(out, "mix-placed").repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs, once for each time that the mix takes them whole or in part, range-sorted by training position."""
+    """The rows of docs, once for each time that the mix takes them whole or in part, range-sorted by training position.
+
+    Documents without words are never taken.
+    """
     _check(weights, slopes)
-    sizes = materialize(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
-    n = max(64, sizes.count() // ROWS_A_RANGE)
-    placed = _placed(_ranged(_sized(docs), n), _offsets(sizes, n, weights, slopes, share, max_epochs), max_epochs)
-    used = placed.select(*docs.columns, F.explode("uses.position").alias("_position"))
-    return used.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+    # words are counted once; what is read of the table for the offsets are its narrow columns
+    whole = materialize(_sized(docs), "mix-documents")
+    n = max(64, whole.count() // ROWS_A_RANGE)
+    placed = _placed(_ranged(whole, n), _offsets(whole, n, weights, slopes, share, max_epochs), max_epochs)
+    used = placed.select(*docs.columns, F.explode("_mix_uses.position").alias("_mix_position"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole.rdd.getNumPartitions())
+    part = F.least(F.floor(F.col("_mix_position") * parts), F.lit(parts - 1)).cast("int")
+    return used.repartitionById(parts, part).sortWithinPartitions("_mix_position", "doc_id").drop("_mix_position")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
