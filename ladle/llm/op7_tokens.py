@@ -4,7 +4,7 @@ The cache is a Parquet table of (content digest, tokenizer digest, bytes, tokens
 (null: empty); the tokenizer digest covers the vocabulary file and the library's version. Texts whose digest is not in
 the cache are encoded once each, whatever the number of copies, and appended to the cache; counts are then joined back
 to all documents. Copies within a task are dropped before the shuffle, so a text with a third of all rows crosses it
-once a task at most.
+once a task at most. Rows with many copies of one text are dealt by salts.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows and null doc_ids give a row each; an
 empty table gives an empty table; extra columns are ignored; very long texts are encoded whole.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import Emitter, bound_batches, materialize, rows_of, shared_dir
+from ladle.llm.common import SALTS, Emitter, bound_batches, materialize, rows_of, shared_dir
 
 CACHE = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 LIMIT = 512
@@ -102,8 +102,11 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version_digest)
     stored = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    keyed = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
-    return keyed.join(stored, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # counts go to the salts of a digest before rows do, so a text with a third of all rows is joined in many tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    keyed = materialize(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), salt.alias("salt")), "token-keys")
+    dealt = keyed.select("digest", "salt").distinct().join(stored.hint("merge"), "digest")
+    return keyed.join(dealt.hint("merge"), ["digest", "salt"], "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
