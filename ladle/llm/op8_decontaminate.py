@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted verification.
 
 Texts are read as runs of letters, digits and non-ASCII characters, A-Z lower-cased. An item of L words is compared with
-every window of L words of every document; a document of fewer words is one window. Windows that hold no 5-word shingle of any item have similarity 0 and are not
-fingerprinted. The other windows get a 64-bit SimHash of their shingles; the fingerprints of items are filed by four
+every window of L words of every document; a document of fewer words is one window. Windows that hold no 5-word shingle of any
+item have similarity 0 and are not fingerprinted. The other windows get a 64-bit SimHash of their shingles; the fingerprints of items are filed by four
 16-bit blocks, each with all values within `BLOCK_RADIUS` bits, so every item within `RADIUS` = 4 * BLOCK_RADIUS + 3 bits
 of a window is fetched. Those are verified: weighted Jaccard similarity of the two bags of shingles of at least
 `SIMILARITY`, where a shingle weighs log(1 + items / items that hold it).
 
-The items travel with the tasks in blocks of at most `ITEMS` (a pass over the documents for each block), so neither their
-number nor that of documents is limited, and nothing is shuffled.
+The items travel with the tasks in blocks of about `ITEMS` items and `ITEM_BYTES` bytes (a pass over the documents for
+each block; an index of `ITEMS` takes about 100 MB, and a worker builds it once), so neither their number nor that of
+documents is limited, and nothing is shuffled. Passes are what many items cost: a benchmark of a million items takes 200.
 
 Defined results: null and empty texts match nothing; an item without words matches nothing; an item of fewer than five
 words matches where it stands whole; repeated items and documents give a row each; null ids are kept; empty tables give
@@ -17,6 +18,7 @@ an empty table; extra columns are ignored; texts are read whole, whatever their
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import Emitter, WordHashes, bound_batches, mix, rows_of, shingle_hashes
+from ladle.llm.common import Emitter, WordHashes, bound_batches, mix, rows_of, shingle_hashes, spread
 
-SHINGLE, SIMILARITY, BLOCK_RADIUS, ITEMS = 5, 0.8, 3, 5_000
+SHINGLE, SIMILARITY, BLOCK_RADIUS, ITEMS, ITEM_BYTES = 5, 0.8, 3, 5_000, 8 << 20
 RADIUS = 4 * BLOCK_RADIUS + 3
 _TABLE = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MASKS = np.array([sum(1 << i for i in c) for k in range(BLOCK_RADIUS + 1) for c in combinations(range(16), k)], dtype=np.uint16)
@@ -72,7 +74,7 @@ class Items:
         """For each block: all values within reach of an item's block, sorted, and the item of each."""
         out = []
         for block in self.prints[ids].view(np.uint16).reshape(-1, 4).T:
-            values, owners = (block[:, None] ^ _MASKS).ravel(), np.repeat(ids, len(_MASKS))
+            values, owners = (block[:, None] ^ _MASKS).ravel(), np.repeat(ids.astype(np.int32), len(_MASKS))
             order = np.argsort(values, kind="stable")
             out.append((values[order], owners[order]))
         return out
@@ -87,7 +89,7 @@ class Items:
             n = right - left
             window = np.repeat(np.arange(len(prints)), n)
             at = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append(np.stack([window, owners[at]], axis=1))
+            found.append(np.stack([window, owners[at].astype(np.int64)], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         near = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]) <= RADIUS
         yield from map(tuple, pairs[near].tolist())
@@ -132,11 +134,27 @@ class Items:
         return best
 
 
+_built: dict[str, Items] = {}
+
+
+def _items_of(rows: list[tuple[int | None, str | None]], digest: str) -> Items:
+    """The index of a block of items, built once a worker; a worker holds one."""
+    if digest not in _built:
+        _built.clear()
+        _built[digest] = Items(rows)
+    return _built[digest]
+
+
+def _digest(rows: list[tuple[int | None, str | None]]) -> str:
+    return hashlib.sha256(repr(rows).encode()).hexdigest()
+
+
 def _match(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> DataFrame:
+    digest = _digest(rows)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known, out = Items(rows), WordHashes(), Emitter(schema)
+        items, known, out = _items_of(rows, digest), WordHashes(), Emitter(schema)
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             h = known.of(plain_words(text))
             for k, (similarity, start) in items.matches(h).items():
@@ -148,9 +166,10 @@ def _match(docs: DataFrame, rows: list[tuple[int | None, str | None]]) -> DataFr
 
 
 def _blocks_of_items(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, in blocks of ITEMS on average (by hash); the driver holds one at a time."""
+    """The items, in blocks of ITEMS items and ITEM_BYTES bytes on average (by hash); the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-items.count() // ITEMS))
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-total.n // ITEMS), -(-total.bytes // ITEM_BYTES))
     for k in range(passes):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         yield sorted(((r.item_id, r.text) for r in block), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
@@ -159,7 +178,7 @@ def _blocks_of_items(benchmark: DataFrame) -> Iterator[list[tuple[int | None, st
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document and item that match."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return reduce(DataFrame.unionAll, (_match(docs, rows) for rows in _blocks_of_items(benchmark)))
 
 
@@ -168,8 +187,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     for rows in _blocks_of_items(benchmark):
 
-        def run(batches: Iterable[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            items, known = Items(rows), WordHashes()
+        def run(batches: Iterable[pa.RecordBatch], rows=rows, digest=_digest(rows)) -> Iterator[pa.RecordBatch]:
+            items, known = _items_of(rows, digest), WordHashes()
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(known.of(plain_words(text))) for (text,) in rows_of([batch], "text")], pa.bool_()))
 
