@@ -1,6 +1,7 @@
 """Token-ID / binary output: documents as token ids in files of directly addressable codes (see dac.py).
 
-Documents are dealt by ranges of doc_id, sorted and encoded, one file a range; the manifest of the files that
+Documents are dealt by ranges of doc_id (rows of one doc_id, or of none, further by the first `SPLIT_CHARS` characters of
+their texts), sorted and encoded, one file a range, and as many ranges as the input has splits or a shuffle partitions; the manifest of the files that
 successful tasks wrote (one row a file) gives each file its place in the whole. A repeated or lost task writes a file of
 another name, and only the one in the manifest counts.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ladle.llm import dac
 from ladle.llm.common import Emitter, bound_batches, file_system, shared_dir
 
-END_ID = 2
+END_ID, SPLIT_CHARS = 2, 64
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -152,7 +153,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """Write the files and return the manifest: path, first id's place in the whole, number of ids, in order."""
     spark = docs.sparkSession
     bound_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
@@ -179,7 +180,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             out.add(part, path, writer.n_ids)
         yield out.take()
 
-    dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, SPLIT_CHARS)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest, at = [], 0
     for r in sorted(dealt.mapInArrow(write, "part int, path string, n_ids long").collect(), key=lambda r: r.part):
         manifest.append((r.path, at, r.n_ids))
