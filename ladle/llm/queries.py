@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from ladle.llm import op1_warc, op2_rules, op3_licenses, op4_jaccard, op5_mixing, op6_quality, op7_tokens, op8_decontaminate, op9_urls, op10_token_ids
+from ladle.llm import op1_warc, op2_rules, op3_licenses, op4_jaccard, op5_mixing, op6_quality, op7_tokens, op8_decontaminate, op9_urls, op10_token_ids, pipeline
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate.op8_decontaminate,
         "op9_url_filter": op9_urls.op9_url_filter,
         "op10_token_ids": op10_token_ids.op10_token_ids,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

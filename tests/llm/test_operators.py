@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,7 +15,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ladle.llm import dac, op1_warc, op2_rules, op3_licenses, op4_jaccard, op5_mixing, op6_quality, op7_tokens, op8_decontaminate, op9_urls, op10_token_ids
-from ladle.llm.common import WordHashes, shingle_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, n long, key string, `position` string"
 LONG = "lorem ipsum dolor " * 20_000
@@ -336,6 +336,20 @@ def test_mixing_against_sql(spark):
     assert used == Counter({r.doc_id: -(-r.taken // r.size) if r.size and r.taken else 0 for r in out if r.taken})
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 1 + k % 7), rng.choice(["a", "b", None]), f"s{k}", f"t{k}", -k, k / 3, f"u{k}") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target string, slope long, source_size double, uses string")
+    got = [tuple(r) for r in op5_mixing.mixed_documents(docs).collect()]
+    assert got and set(got) <= set(rows)
+    assert Counter(r[0] for r in got) == Counter({r.doc_id: -(-r.taken // r.size) for r in op5_mixing.mix_sources(docs).collect() if r.taken})
+    places = {r.doc_id: r.position for r in op5_mixing.mix_sources(docs).collect()}
+    first = {}
+    for r in got:
+        first.setdefault(r[0], len(first))
+    assert [places[i] for i in first] == sorted(places[i] for i in first)  # range-sorted over all partitions
+
+
 def test_mixing_on_odd_rows(spark):
     rows = op5_mixing.mix_sources(odd_documents(spark)).collect()
     assert len(rows) == 10 and all(r.taken <= 2 * r.size for r in rows)
@@ -362,6 +376,38 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_quality_score_by_hand(spark):
+    """Features from zstandard itself, the logistic fit by plain gradient steps, contradicting and repeated labels."""
+    import zstandard
+
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 70, 40) if k % 2 else " ".join(f"{rng.choice('xyz')}{rng.randint(0, 9)}@@" for _ in range(90)), k % 2) for k in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = [(k, q, 0) for k, _, q in rows] + [(4, 1, 0), (5, 1, 0), (5, 0, 0), (7, 3, 0), (9999, 1, 0), (None, 1, 0)]
+    model = op6_quality.fit(docs, labels(spark, marks))
+    tools = [zstandard.ZstdCompressor(level=op6_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def features(text):
+        data = text.encode()
+        blocks = [data[i : i + op6_quality.BLOCK_BYTES] for i in range(0, len(data), op6_quality.BLOCK_BYTES)]
+        good, bad = (sum(len(t.compress(b)) for b in blocks) for t in tools)
+        return [(bad - good) / len(data), good / len(data)]
+
+    fit = [(k, t, 1 if k in (4, 5) else q) for k, t, q in rows if zlib.crc32(str(k).encode()) % 5]  # of contradicting labels the larger counts
+    share = np.mean([q for _, _, q in fit])
+    x = np.array([features(t) for want in (0, 1) for _, t, _ in [r for r in fit if r[2] == want][1::2]])
+    y = np.array([want for want in (0, 1) for _ in [r for r in fit if r[2] == want][1::2]])
+    a = np.c_[np.ones(len(x)), (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)]
+    w = np.zeros(3)
+    for _ in range(60_000):
+        w += 0.02 * (a.T @ (y - 1 / (1 + np.exp(-a @ w))) - 0.01 * w)
+    w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    got = {r.doc_id: r.score for r in op6_quality.score(docs, model).collect()}
+    for k, t, _ in rows[::17]:
+        z = w[0] + np.dot(w[1:], (np.array(features(t)) - x.mean(axis=0)) / (x.std(axis=0) + 1e-9))
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=0.01)
+
+
 def test_quality_without_labels_and_on_odd_rows(spark):
     model = op6_quality.fit(odd_documents(spark), labels(spark))
     scores = op6_quality.score(odd_documents(spark), model).collect()
@@ -398,13 +444,34 @@ def test_token_counts(spark, tmp_path):
 # --- decontamination
 
 
+def plain(text):
+    return re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).split()
+
+
+def word_shingles(words):
+    n = op8_decontaminate.SHINGLE
+    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+
+
+def weighted(window, item, weight):
+    """Weighted Jaccard similarity of two bags of word tuples."""
+    a, b = Counter(window), Counter(item)
+    low, high = sum(weight(x) * min(a[x], b[x]) for x in a | b), sum(weight(x) * max(a[x], b[x]) for x in a | b)
+    return low / high
+
+
 def brute_best(text, items):
-    """Best weighted similarity of each item over all windows."""
-    index, known = op8_decontaminate.Items(items), WordHashes()
-    h, best = known.of(op8_decontaminate.plain_words(text.encode())), {}
-    for k, (item_id, n, _) in enumerate(index.items):
-        for i in range(max(0, len(h) - n + 1)):
-            best[item_id] = max(best.get(item_id, 0.0), index.similarity(shingle_hashes(h[i : i + n], op8_decontaminate.SHINGLE), k))
+    """Best weighted similarity of each item over all windows of its length; a shorter text is one window."""
+    bags = {i: word_shingles(plain(t)) for i, t in items if plain(t)}
+    holders = Counter(x for bag in bags.values() for x in set(bag))
+    weight = lambda x: math.log(1 + len(bags) / holders[x]) if x in holders else math.log(1 + len(bags))
+    words, best = plain(text), {}
+    for i, t in items:
+        n = len(plain(t))
+        if not n or not words or (n < op8_decontaminate.SHINGLE and len(words) < n):
+            continue
+        for k in range(max(1, len(words) - n + 1)):
+            best[i] = max(best.get(i, 0.0), weighted(word_shingles(words[k : k + n]), bags[i], weight))
     return {i: s for i, s in best.items() if s >= op8_decontaminate.SIMILARITY}
 
 
@@ -432,15 +499,13 @@ def test_decontamination_against_all_windows(spark):
 def test_decontamination_of_texts_shorter_than_an_item(spark):
     rng = random.Random(8)
     items = [(k, prose(rng, n, 300)) for k, n in enumerate((40, 25, 60, 14, 6))]
-    index, known = op8_decontaminate.Items(items), WordHashes()
     texts, want = [], {}
-    for k, (item_id, text) in enumerate(items):
+    for item_id, text in items:
         w = text.split()
         for cut in range(len(w) // 2):
             for part in (w[: len(w) - cut], w[cut:], w[cut // 2 : len(w) - (cut - cut // 2)]):
-                whole = shingle_hashes(known.of(op8_decontaminate.plain_words(" ".join(part).encode())), op8_decontaminate.SHINGLE)
-                if (s := index.similarity(whole, k)) >= op8_decontaminate.SIMILARITY:
-                    want[len(texts), item_id] = (len(part), s)
+                if item_id in (best := brute_best(" ".join(part), items)):
+                    want[len(texts), item_id] = (len(part), best[item_id])
                 texts.append(" ".join(part))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_words, r.similarity) for r in op8_decontaminate.benchmark_matches(docs, benchmark(spark, items)).collect()}

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from ladle.llm import op5_mixing, op6_quality, op8_decontaminate
+from ladle.llm import op5_mixing, op6_quality, op8_decontaminate, pipeline
 from ladle.llm.queries import oracle_sql, queries
 
 from .test_operators import brute_groups, brute_ids, prose
@@ -86,12 +86,27 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     near = lambda t: t + " more"
     rows = [(1, a), (5, near(a)), (5, b), (6, near(b)), (7, c), (7, c), (None, near(c)), (None, d), (None, near(d)), (8, None), (8, None), (8, ""), (8, "")]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], COLUMNS)
-    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
     last = [x for x in got if x[0] is None]
     assert len(last) == 1 and last[0][1] in (d, near(d))
     assert got == Counter({(1, a): 1, (5, b): 1, (7, c): 1, last[0]: 1, (8, None): 2, (8, ""): 2})
 
 
+def test_stages_of_empty_and_odd_tables(spark, corpus, tmp_path):
+    """No rows, nulls in all columns, repeated rows and columns that are not of documents."""
+    sf_dir, _ = corpus
+    wide = COLUMNS + ", size string, target string, key string, n long"
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "one two three", "en", "a", 3), (1, "one two three", "en", "a", 3)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in rows], wide)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            got = out.collect()
+            assert len(got) <= 2 * len(rows) and (k == 4 or out.columns == [c.split()[0] for c in COLUMNS.split(", ")])
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf_dir).collect()
+    assert mixed and {r.text for r in mixed} == {"one two three"}
+
+
 def test_run_is_the_stages(spark, corpus):
     sf_dir, _ = corpus
     rows = corpus_pipeline.run(spark, sf_dir).collect()
