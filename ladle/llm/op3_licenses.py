@@ -5,8 +5,9 @@ matches a block that contains at least `threshold` of its distinct words. The wo
 ordered by their frequency over all documents, rarest first. A pair that meets a template's least overlap a has its
 first common word among the template's first |T| - a + 1 words (prefix filter) and among the block's first |B| - a + 1
 template words; |B| >= a (length filter); and the words from there on must still suffice (positional filter). Survivors
-are verified exactly. Windows are looked at only for templates that the whole text meets as if it were one block. Templates are configuration, refused above `MAX_TEMPLATES`; their index is a literal of the plan,
-so documents are scanned in place and nothing but word counts (one row a template word) is shuffled.
+are verified exactly. Windows are looked at only for templates that the whole text meets as if it were one block. Templates
+are configuration, refused above `MAX_TEMPLATES`; their index is a literal of the plan, so documents are scanned in place
+and nothing but word counts (one row a template word) is shuffled.
 
 Beside the templates, fixed phrases are located as runs of whole words.
 
@@ -17,18 +18,30 @@ each; an empty table gives an empty table; extra columns are ignored; texts are
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ladle.llm.common import spread
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATES = 2_000
 THRESHOLD = 0.9
 #: Fixed values of the query's contract: phrase, label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Well-known license statements: label, words. Statements of under ten words must stand whole at this threshold.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def template(label: str, text: str) -> tuple[str, str]:
+    """A template of a text: its words in lower case."""
+    return label, " ".join(_WORD.findall(text.translate(str.maketrans(_UPPER, _LOWER))))
+
+
+#: Well-known license statements, and the whole notices that stand in files. Statements of under ten words must stand whole
+#: at this threshold.
 TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("agpl", "gnu affero general public license"),
@@ -44,6 +57,52 @@ TEMPLATES = (
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("reserved", "all rights reserved"),
+    template(
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    template(
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES.""",
+    ),
+    template(
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS.""",
+    ),
+    template(
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+    ),
+    template(
+        "gpl",
+        """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+    ),
 )
 
 
@@ -83,6 +142,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     score: 1 where a phrase stands, else the largest contained share of a matching template. matches: label and share of
     each match of a template in a line, and of the best window of a template whose label no line has with that share.
     """
+    docs = spread(docs)
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are planned as literals")
     vocabulary = sorted({w for _, t in templates for w in t.split()})
