@@ -2,7 +2,8 @@
 
 Each rule names literal tokens that stand in every URL it matches. Their frequencies over all URLs are counted once;
 a rule is filed under its rarest token, a URL's tokens fetch candidate rules, and only those run their regular
-expression. The rule set is configuration: it travels with the tasks and is refused above `MAX_RULES`.
+expression. The rule set is configuration, given as rules or as a table of them (`read_rules`); it is broadcast, and refused
+above `MAX_RULES` rules or `MAX_RULE_BYTES` bytes of their texts.
 
 Defined results: a null URL or one without "://" has empty host and path, fits no host rule, and gets the pattern
 verdict of its text (null: allow). Repeated rows give repeated rows. Extra input columns are ignored. An empty table
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import Emitter, bound_batches, rows_of
 
-MAX_RULES = 1_000_000
+MAX_RULES, MAX_RULE_BYTES = 1_000_000, 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -65,8 +66,34 @@ BASE_RULES = (
     host_rule("net", "/es/", "block"),
     host_rule("net", "/fr/", "block"),
 )
-#: The pattern rules of this engine: spam, gambling, tracking and adult sites.
-PATTERN_RULES = tuple(word_rule(w, "block") for w in ("casino", "casino win", "cheap pills", "ads track", "poker", "viagra", "porn", "xxx", "free money", "payday loan"))
+#: The pattern rules of this engine: spam, gambling, tracking and adult sites; then pages that are no documents: logins,
+#: sessions, searches, carts, calendars, feeds and downloads. Patterns keep to what both Python and RE2 know.
+PATTERN_RULES = (
+    *(word_rule(w, "block") for w in ("casino", "casino win", "cheap pills", "ads track", "poker", "viagra", "porn", "xxx", "free money", "payday loan")),
+    Rule("spam farm", "block", r"://(?:[^/?#]*\.)?spam-?farms?[0-9]*\.", ("spam",)),
+    Rule("wp login", "block", r"/wp-(?:login|admin|signup)(?:\.php|/|\z)", ("wp",)),
+    Rule("session id", "block", r"[?&;](?:phpsessid|jsessionid|sid|sessionid)=[0-9a-z]{16,}", ()),
+    Rule("site search", "block", r"[?&]search=[^&#]+", ("search",)),
+    Rule("add to cart", "block", r"[?&](?:add-to-cart|cart)=[0-9]+", ("cart",)),
+    Rule("calendar day", "block", r"/calendar/[0-9]{4}/(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])(?:/|\z)", ("calendar",)),
+    Rule("feed", "block", r"/(?:feed|rss|atom)(?:\.xml)?/?\z", ()),
+    Rule("download", "block", r"\.(?:zip|exe|iso|dmg|rar|7z|tar\.gz)(?:[?#]|\z)", ()),
+    Rule("redirect", "block", r"[?&](?:redirect|goto|returnurl)=https?(?::|%3a)", ()),
+)
+RULE_SCHEMA = "name string, verdict string, pattern string, literals array<string>, `on` string"
+
+
+def read_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table of RULE_SCHEMA, in the order of their names; its size is checked before it comes to the driver."""
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.length("name") + F.length("pattern")), F.lit(0))).first()
+    if n > MAX_RULES or size > MAX_RULE_BYTES:
+        raise ValueError(f"{n} rules of {size} bytes; at most {MAX_RULES} of {MAX_RULE_BYTES} are broadcast")
+    return tuple(Rule(r["name"], r["verdict"], r["pattern"], tuple(r["literals"] or ()), r["on"] or "url") for r in sorted(table.collect(), key=lambda r: r["name"]))
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    """\\z is the end of the text in RE2 and Java; Python calls it \\Z."""
+    return re.compile(pattern.replace(r"\z", r"\Z"), re.S)
 
 
 def _parts(url: bytes | None) -> tuple[str, str, str]:
@@ -105,14 +132,16 @@ def index_rules(rules: tuple[Rule, ...], frequency: dict[str, int]) -> tuple[dic
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, pattern_rule for each row. See the module's docstring for odd rows."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with the tasks")
+    size = sum(len(r.name) + len(r.pattern) for r in rules)
+    if len(rules) > MAX_RULES or size > MAX_RULE_BYTES:
+        raise ValueError(f"{len(rules)} rules of {size} bytes; at most {MAX_RULES} of {MAX_RULE_BYTES} are broadcast")
     bound_batches(pages.sparkSession)
     pages = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
-    by_token, always = index_rules(rules, token_frequencies(pages, {t for r in rules for t in r.literals}))
+    shared = pages.sparkSession.sparkContext.broadcast((rules, *index_rules(rules, token_frequencies(pages, {t for r in rules for t in r.literals}))))
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("pattern_rule", pa.string())])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, by_token, always = shared.value
         compiled: dict[int, re.Pattern] = {}
         out = Emitter(schema)
         for page, raw in rows_of(batches, "page_id", "url"):
@@ -125,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], key: str = "page_id",
             for i in sorted(candidates):
                 r = rules[i]
                 if i not in compiled:
-                    compiled[i] = re.compile(r.pattern, re.S)
+                    compiled[i] = _compiled(r.pattern)
                 if not compiled[i].search(host + path if r.on == "site" else whole):
                     continue
                 if r.on == "site":
@@ -147,7 +176,8 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
     lower = f"translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}')"
-    tests = ", ".join(f"CASE WHEN regexp_matches(whole, '(?s)(?:\\A|{sep}){(sep + '+').join(w.name.split(' '))}(?:{sep}|\\z)') THEN '{w.name}' END" for w in PATTERN_RULES)
+    words = lambda r: rf"(?:\A|{sep}){(sep + '+').join(r.name.split(' '))}(?:{sep}|\z)"
+    tests = ", ".join(f"CASE WHEN regexp_matches(whole, '(?s){words(r) if r == word_rule(r.name, r.verdict) else r.pattern}') THEN '{r.name}' END" for r in PATTERN_RULES)
     fits = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
     cases = []
     for name in sorted(fits, key=lambda n: -len(n)):
