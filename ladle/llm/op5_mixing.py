@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import materialize
+from ladle.llm.common import materialize, spread
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the query's contract.
@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Seq
     position: training time of its first use, from 0 to 1.
     """
     _check(weights, slopes)
-    base = _sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
+    base = _sized(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")))
     sizes = materialize(base.drop("text"), "mix-sizes")
     n = max(64, sizes.count() // ROWS_A_RANGE)
     placed = _placed(_ranged(sizes, n), _offsets(sizes, n, weights, slopes, share, max_epochs), max_epochs)

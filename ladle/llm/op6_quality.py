@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import Emitter, bound_batches, rows_of
+from ladle.llm.common import Emitter, bound_batches, rows_of, spread
 
 PER_CLASS, FIT_BYTES = 1500, 32_768
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 32_768, 1024, 3
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
     """The given columns of docs and the score of each text."""
     bound_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name in columns]
-    picked = docs.select(*columns, *(() if "text" in columns else ("text",)))
+    picked = spread(docs.select(*columns, *(() if "text" in columns else ("text",))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

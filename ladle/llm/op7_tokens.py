@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import SALTS, Emitter, bound_batches, materialize, rows_of, shared_dir
+from ladle.llm.common import SALTS, Emitter, bound_batches, materialize, rows_of, shared_dir, spread
 
 CACHE = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 LIMIT = 512
@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     """doc_id, n_bytes, n_tokens, over_limit for each document; new digests are appended to the cache folder."""
     spark, version_digest = docs.sparkSession, tokenizer_digest(path)
     bound_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     # the table exists from here on, though it may be empty
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version_digest)

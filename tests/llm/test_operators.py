@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -209,7 +210,7 @@ def test_licenses_across_line_breaks(spark):
     rng, texts, want = random.Random(2), [], []
     for label, t in op3_licenses.TEMPLATES:
         w = t.split()
-        for cut in range(1, len(w)):
+        for cut in range(1, len(w), max(1, len(w) // 12)):
             texts.append(f"{prose(rng, 6)} {' '.join(w[:cut])}\r\n * {' '.join(w[cut:])} {prose(rng, 6)}")
             want.append((label, 1.0))
         texts.append(prose(rng, 5) + "\n\n" + "\n# ".join(w) + "\n" + prose(rng, 5))  # a word a line
@@ -224,6 +225,23 @@ def test_licenses_across_line_breaks(spark):
     assert got[n + 1].labels == "bsd" and 0.9 <= got[n + 1].score < 1
 
 
+def test_whole_notices_wrapped_as_in_files(spark):
+    """Each template wrapped at 40 and at 76 columns, with a comment sign a line, words changed, and blank lines between paragraphs."""
+    rng, texts, want = random.Random(4), [], []
+    for label, t in op3_licenses.TEMPLATES:
+        for width in (40, 76):
+            w = t.split()
+            for k in rng.sample(range(len(w)), len(set(w)) // 25):
+                w[k] = f"changed{k}"
+            lines = textwrap.wrap(" ".join(w).capitalize() + ".", width)
+            lines.insert(len(lines) // 2, "")
+            texts.append(f"/*\n * {prose(rng, 4)}\n" + "\n".join(f" * {x}" for x in lines) + f"\n */\n{prose(rng, 30)}")
+            want.append(label)
+    got = {r.doc_id: r for r in op3_licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [k for k, label in enumerate(want) if label not in got[k].labels.split(",")] == []
+    assert {r.score for r in got.values()} != {1.0}
+
+
 # --- Jaccard join
 
 
@@ -540,7 +558,10 @@ def test_decontamination_in_passes_and_on_odd_rows(spark, monkeypatch):
 
 
 URLS = [None, "", "no scheme", "http://a.com", "http://a.com/", "HTTPS://WWW.Example.COM/en/x?y#z", "https://x.www.example.com/en/", "http://example.com/en", "http://myexample.com/en/1", "http://b.net/es/1", "http://b.net/ES/1",
-        "ftp://casino-win.example.org/de/", "http://a.org/x?poker#y", "http://com/x", "http://net/fr/", "x://?q", "http://a.com:80/en/", "http://cheap.pills.example.net/de/", "http://caſino.org/", "a\nb://c.com/d", "http://" + "a" * 50_000 + ".com/"]
+        "ftp://casino-win.example.org/de/",
+        "http://a.org/wp-login.php", "http://a.org/wp-content/x", "http://a.org/x?PHPSESSID=0123456789abcdef0", "http://a.org/x?sid=short", "http://a.org/?search=x", "http://a.org/?search=",
+        "http://a.org/calendar/2024/02/30/", "http://a.org/calendar/2024/13/01", "http://a.org/feed/", "http://a.org/feed/x", "http://a.org/a.tar.gz?x", "http://a.org/a.zipped", "http://a.org/x?goto=https%3A//b",
+        "http://my.spam-farm2.example.org/en/7", "http://spam.farm.org/", "http://a.org/?cart=12", "http://a.org/x?poker#y", "http://com/x", "http://net/fr/", "x://?q", "http://a.com:80/en/", "http://cheap.pills.example.net/de/", "http://caſino.org/", "a\nb://c.com/d", "http://" + "a" * 50_000 + ".com/"]
 
 
 def test_urls_against_sql(spark):
@@ -550,6 +571,21 @@ def test_urls_against_sql(spark):
     assert op9_urls.filter_urls(pages.limit(0), op9_urls.BASE_RULES).count() == 0
 
 
+def test_url_rules_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.literals), r.on) for r in op9_urls.PATTERN_RULES[::-1]], op9_urls.RULE_SCHEMA)
+    rules = op9_urls.read_rules(table)
+    assert set(rules) == set(op9_urls.PATTERN_RULES)
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    judged = lambda rules: {r.page_id: r.verdict for r in op9_urls.filter_urls(pages, rules).collect()}
+    assert judged(rules) == judged(op9_urls.PATTERN_RULES)
+    assert sum(v == "block" for v in judged(rules).values()) >= 10
+    monkeypatch.setattr(op9_urls, "MAX_RULE_BYTES", 20)
+    with pytest.raises(ValueError):
+        op9_urls.read_rules(table)
+    with pytest.raises(ValueError):
+        op9_urls.filter_urls(pages, rules)
+
+
 def test_url_index_runs_few_rules(spark):
     rules = (op9_urls.word_rule("rare common", "block"), op9_urls.word_rule("common", "block"), op9_urls.Rule("any", "block", r"\d{9}", ()))
     by_token, always = op9_urls.index_rules(rules, {"common": 50, "rare": 1})
