@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import SALTS, WordHashes, bound_batches, discard, key_filter, materialize, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
+from ladle.llm.common import SALTS, WordHashes, bound_batches, discard, key_filter, materialize, mix, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
 
 PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 1024
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
@@ -200,27 +200,54 @@ def prefixes(sets: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
     return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "light", "parity")))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """rows (sig, key, salt, ...) of buckets of two or more, with the number of their classes (c).
+def _sizes(rows: DataFrame) -> DataFrame:
+    """sig, c, most: the buckets of two or more classes, their number, and the largest salt of their rows."""
+    return rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("salt").alias("most")).filter("c > 1")
 
-    Buckets are counted before they are shuffled whole; those of frequent shingles, the only ones that may be large, are
-    dealt by salts, and their count goes to each salt.
+
+def _shared(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (sig, key, salt, ...) of the given buckets, with the number of their classes (c).
+
+    Buckets of frequent shingles, the only ones that may be large, are dealt by salts, and their size goes to each salt.
     """
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("salt").alias("_most")).filter("c > 1")
-    dealt = sizes.select("sig", "c", F.explode(F.when(F.col("_most") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("salt"))
-    return rows.join(dealt.hint("merge"), ["sig", "salt"])
+    salts = F.when(F.col("most") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.join(sizes.select("sig", "c", F.explode(salts).alias("salt")).hint("merge"), ["sig", "salt"])
+
+
+def _prefix_rows(reps: DataFrame, bloom: np.ndarray | None) -> DataFrame:
+    """sig, key, salt: a row for each prefix shingle that the filter of buckets may hold."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, flat = _rows_of_sets(batch)
+            n = np.diff(at)
+            owner, late = np.repeat(keys, n), np.arange(len(flat)) - np.repeat(at[:-1], n) >= np.repeat(batch.column(2).to_numpy(), n)
+            salt = np.where(late, (mix(owner.astype(np.uint64)) % np.uint64(SALTS)).astype(np.int32), np.int32(-1))
+            ok = probably_in(bloom, flat)
+            yield pa.record_batch({"sig": pa.array(flat[ok].astype(np.int64)), "key": pa.array(owner[ok]), "salt": pa.array(salt[ok])})
+
+    return reps.select("key", "prefix", "light").mapInArrow(run, "sig long, key long, salt int")
 
 
 def buckets(reps: DataFrame, m: Measure) -> DataFrame:
-    """sig, key, n, c: the classes of each bucket (prefix shingle) of two or more that may have a partner, and their number."""
-    salt = F.when(F.col("k") >= F.col("light"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(-1).cast("int")
-    rows = _shared(reps.select(F.posexplode("prefix").alias("k", "sig"), "key", "light").select("sig", "key", salt.alias("salt")))
-    rows = rows.join(reps.select("key", "n").hint("merge"), "key")
+    """sig, key, n, c: the classes of each bucket (prefix shingle) of two or more that may have a partner, and their number.
+
+    Most prefix shingles stand in one class only, so buckets are counted first, and rows of the others are not shuffled.
+    """
+    one = F.when(F.col("k") >= F.col("light"), 0).otherwise(-1)
+    sizes = materialize(_sizes(reps.select(F.posexplode("prefix").alias("k", "sig"), "light").select("sig", one.alias("salt"))), "sizes")
+    rows = _shared(_prefix_rows(reps, key_filter(sizes.select("sig"))), sizes).join(reps.select("key", "n").hint("merge"), "key")
+    rows = materialize(rows.drop("c"), "shared")
+    discard(sizes)
+    whole = rows
     for _ in range(PEELS):
         # a class has no more rows than its prefix has shingles
         enough = F.count("*").over(Window.partitionBy("key")) >= m.needed(F.col("n"))
-        rows = _shared(rows.withColumn("ok", enough).filter("ok").select("sig", "key", "n", "salt"))
-    return rows.drop("salt")
+        rows = rows.withColumn("ok", enough).filter("ok").select("sig", "key", "n", "salt")
+        rows = _shared(rows, _sizes(rows))
+    out = materialize(rows.drop("salt"), "buckets")
+    discard(whole)
+    return out
 
 
 def compared(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -411,7 +438,7 @@ def class_groups(made: DataFrame, m: Measure) -> DataFrame | None:
     """
     whole = class_sets(made, m)
     reps = materialize(prefixes(whole, m, heavy_shingles(made)), "classes")
-    rows = materialize(buckets(reps, m), "buckets")
+    rows = buckets(reps, m)
     found = materialize(proposals(compared(rows.withColumn("root", F.col("key")), reps), m), "proposals")
     if found.isEmpty():
         discard(made, reps, rows, found)
@@ -472,7 +499,7 @@ def linked_classes(docs: DataFrame, m: Measure = Measure()) -> tuple[DataFrame,
     made = materialize(document_sets(spread(docs), m), "sets")
     whole = class_sets(made, m)
     reps = materialize(prefixes(whole, m, heavy_shingles(made)), "classes")
-    rows = materialize(buckets(reps, m), "buckets")
+    rows = buckets(reps, m)
     # each class is a group of its own: no pair is left out
     pairs = materialize(all_pairs(compared(rows.withColumn("root", F.col("key")), reps), m), "pairs")
     sets = materialize(segments(whole, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), m), "segments")
