@@ -11,11 +11,19 @@ from functools import reduce, wraps
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ladle.functions.dictionaries import CLEANER_SECTIONS, FOOD_PHRASES, FOOD_WORDS, OCR_CORRECTIONS, SECTION_MODIFIERS, SECTION_WORDS
+from ladle.functions.dictionaries import CATEGORY_TITLES, CLEANER_SECTIONS, FOOD_PHRASES, FOOD_WORDS, OCR_CORRECTIONS
+
+#: A word boundary of ASCII words, whatever the Java version: \\b of the fixed patterns below.
+BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", BOUNDARY)
+
 
 # Patterns of prices.
 PRICE_ONLY = r"^[$€£¥]?\s*\d{1,4}(?:[.,]\d{1,2})?[\s.]*\z"
-HAS_PRICE = r"[$€£¥]\s*\d|\b\d{1,3}[.,]\d{1,2}\b"
+HAS_PRICE = ascii_words(r"[$€£¥]\s*\d|\b\d{1,3}[.,]\d{1,2}\b")
 TRAILING_PRICE = r"(?:^|\s)([$€£¥RsSs.]+\s*)?(\d{1,3}(?:[.,]\d{1,2})?|\d{1,3}\s+\d{2})[\s.]*\z"
 LEADING_PRICE = r"^[$€£¥Rs.]+\s*(\d{1,3}(?:[.,]\d{1,2})?)\s+"
 WORD_PRICE = r"(?i)^[$€£¥Rs.]+\s*(\d{1,3}(?:[.,]\d{1,2})?)\z"
@@ -39,8 +47,8 @@ NOISE_ANYWHERE = (
 # Noise for the line cleaner (case-insensitive).
 SUBTITLE = r"(?i)(est\.?\s*\d{3,4}|since\s*\d{3,4}|(?:19|20)\d{2})"
 VENUE = r"(?i)(pub|bistro|grill|grille|caf[eé]|restaurant|kitchen|tavern|eatery|diner|brewery|est\.|establish|house|fine dining|bar\s*&|bar\s*and)"
-HOURS = r"(?i)\b(open|closed|daily|monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun|weekdays|weekends)\b"
-HOURS_TIME = r"(?i)\b(\d{1,2}(:\d{2})?\s*(am|pm)|(?:19|20)\d{2})\b"
+HOURS = ascii_words(r"(?i)\b(open|closed|daily|monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun|weekdays|weekends)\b")
+HOURS_TIME = ascii_words(r"(?i)\b(\d{1,2}(:\d{2})?\s*(am|pm)|(?:19|20)\d{2})\b")
 CLEANER_NOISE = (
     r"\b\d{1,5}\s+[A-Za-z]+\s+(st|ave|rd|blvd|ln|dr|way|road|street|boulevard|avenue|place|ct)\.?\b|\b\d{5}(?:-\d{4})?\b",
     r"(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}\b",
@@ -51,9 +59,9 @@ CLEANER_NOISE = (
     r"[©®™]|copyright\s*\d{0,4}",
     r"^menu\z",
 )
-DISH_PREFIX = r"(?i)^(extra|serves?|for|with|choice|add|plus|and|side|to|feeds?|serving|one|two|three|four|half|full|large|small|medium|regular|double|kids?|choose|ask|please)\b"
-DESCRIPTION_START = r"^(with|in|on|served|topped|drizzled|accompanied|comes|available|choice|side|and|plus|add)\b"
-DESCRIPTION_CODE = r"\b(gf|v|vg|df|contains|allergen|nut)\b"
+DISH_PREFIX = ascii_words(r"(?i)^(extra|serves?|for|with|choice|add|plus|and|side|to|feeds?|serving|one|two|three|four|half|full|large|small|medium|regular|double|kids?|choose|ask|please)\b")
+DESCRIPTION_START = ascii_words(r"^(with|in|on|served|topped|drizzled|accompanied|comes|available|choice|side|and|plus|add)\b")
+DESCRIPTION_CODE = ascii_words(r"\b(gf|v|vg|df|contains|allergen|nut)\b")
 DESCRIPTION_WORDS = ("with", "fresh", "sautéed", "roasted", "grilled", "baked", "served", "topped", "drizzled", "alongside", "accompanied", "choice", "side", "in", "on", "and", "plus")
 GENERIC_WORDS = ("the", "and", "with", "for", "our", "all", "your", "from")
 # Category by a word of the name, in order.
@@ -99,7 +107,7 @@ def words(c: Column) -> Column:
 
 def _any(c: Column, patterns: Sequence[str], prefix: str = "") -> Column:
     """One alternation instead of a chain of tests."""
-    return c.rlike(prefix + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+    return c.rlike(ascii_words(prefix + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"))
 
 
 @bound
@@ -182,7 +190,7 @@ def clean_name(raw: Column) -> Column:
 @bound
 def correct_ocr(c: Column, table: Sequence[tuple[str, str]] = OCR_CORRECTIONS) -> Column:
     """Misread words corrected, in the table's order. The whole table is tried only on texts that any entry touches."""
-    fixed = reduce(lambda x, r: F.regexp_replace(x, f"(?i){r[0]}", r[1]), table, c)
+    fixed = reduce(lambda x, r: F.regexp_replace(x, ascii_words(f"(?i){r[0]}"), r[1]), table, c)
     return F.when(_any(c, [p for p, _ in table], "(?i)"), fixed).otherwise(c)
 
 
@@ -197,13 +205,9 @@ def food_count(c: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[st
 
 
 @bound
-def is_section(text: Column, sections: Sequence[str] = SECTION_WORDS, modifiers: Sequence[str] = SECTION_MODIFIERS) -> Column:
+def is_section(text: Column, titles: Sequence[str] = CATEGORY_TITLES) -> Column:
     """Whether a lower-case text is a section title (also with one final s less)."""
-
-    def known(t: Column) -> Column:
-        return F.exists(words(t), lambda w: w.isin(*sections)) & F.forall(words(t), lambda w: w.isin(*sections, *modifiers))
-
-    return known(text) | known(F.regexp_replace(text, r"s\z", ""))
+    return text.isin(*titles) | F.regexp_replace(text, r"s\z", "").isin(*titles)
 
 
 @bound
@@ -226,17 +230,17 @@ def is_header(line: Column, has_price: Column, centred: Column | None = None) ->
 
 def _header(t: Column, w: Column, has_price: Column, centred: Column) -> Column:
     low = F.lower(t)
-    ends = F.lower(F.get(w, F.lit(0))).isin(*SECTION_WORDS) | F.lower(F.get(w, F.size(w) - 1)).isin(*SECTION_WORDS)
+    ends = F.lower(F.get(w, F.lit(0))).isin(*CATEGORY_TITLES) | F.lower(F.get(w, F.size(w) - 1)).isin(*CATEGORY_TITLES)
     bare = ~F.exists(w, lambda x: is_food(x))
     looks = ends | ((F.size(w) <= 3) & (t == F.upper(t)) & bare) | (centred & (F.size(w) <= 4) & ~low.rlike(r"\d") & t.rlike("^[A-Z]") & bare)
-    return ~has_price & F.length(t).between(2, 80) & (is_section(low) | (~low.rlike(r"[$€£¥]\s*\d|\b\d+[.,]\d") & looks))
+    return ~has_price & F.length(t).between(2, 80) & (is_section(low) | (~low.rlike(ascii_words(r"[$€£¥]\s*\d|\b\d+[.,]\d")) & looks))
 
 
 @bound
 def header_category(line: Column) -> Column:
     """The first word of a title of three to five section words, else the title."""
     w = words(line)
-    return F.when(F.size(w).between(3, 5) & F.forall(w, lambda x: F.lower(x).isin(*SECTION_WORDS)), F.get(w, F.lit(0))).otherwise(strip(line))
+    return F.when(F.size(w).between(3, 5) & F.forall(w, lambda x: F.lower(x).isin(*CATEGORY_TITLES)), F.get(w, F.lit(0))).otherwise(strip(line))
 
 
 @bound
@@ -265,7 +269,7 @@ def category_of(name: Column) -> Column:
     low = F.lower(name)
     out = F
     for category, alternatives in CATEGORY_BY_WORD:
-        out = out.when(low.rlike(rf"\b({alternatives})\b"), category)
+        out = out.when(low.rlike(ascii_words(rf"\b({alternatives})\b")), category)
     return out.otherwise("other")
 
 
