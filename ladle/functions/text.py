@@ -49,12 +49,14 @@ SUBTITLE = r"(?i)(est\.?\s*\d{3,4}|since\s*\d{3,4}|(?:19|20)\d{2})"
 VENUE = r"(?i)(pub|bistro|grill|grille|caf[eé]|restaurant|kitchen|tavern|eatery|diner|brewery|est\.|establish|house|fine dining|bar\s*&|bar\s*and)"
 HOURS = ascii_words(r"(?i)\b(open|closed|daily|monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun|weekdays|weekends)\b")
 HOURS_TIME = ascii_words(r"(?i)\b(\d{1,2}(:\d{2})?\s*(am|pm)|(?:19|20)\d{2})\b")
-CLEANER_NOISE = (
+CLEANER_NOISE_DIGITS = (
     r"\b\d{1,5}\s+[A-Za-z]+\s+(st|ave|rd|blvd|ln|dr|way|road|street|boulevard|avenue|place|ct)\.?\b|\b\d{5}(?:-\d{4})?\b",
     r"(?:\(\d{3}\)|\d{3})[\s.-]\d{3}[\s.-]\d{4}\b",
+    r"\bpage\s*\d+\s*(of|/|-)\s*\d+\b|^\s*p\.?\s*\d+\s*\z",
+)
+CLEANER_NOISE = (
     r"(uber eats|doordash|grubhub|order online|online order|delivery|take[- ]?out|curbside|pick[- ]?up|reservation|book a table|to[- ]?go|gift card|gift certificate)",
     r"(all rights reserved|may contain|allergen|please inform|for allergy|gluten[- ]free option|consuming raw|undercooked|copyright)",
-    r"\bpage\s*\d+\s*(of|/|-)\s*\d+\b|^\s*p\.?\s*\d+\s*\z",
     r"(@[a-z0-9_.]+|facebook\.com|instagram\.com|twitter\.com|tiktok\.com|www\.\S+|https?://\S+)",
     r"[©®™]|copyright\s*\d{0,4}",
     r"^menu\z",
@@ -309,21 +311,22 @@ def line_kind(line: Column, sections: Sequence[str] = ()) -> Column:
 
 def _kind(t: Column, low: Column, sections: Sequence[str]) -> Column:
     known = low.isin(*sections) | F.regexp_replace(low, r"s\z", "").isin(*sections)
-    noise = (t.rlike(SUBTITLE) & t.rlike(VENUE)) | (t.rlike(HOURS) & t.rlike(HOURS_TIME)) | _any(t, CLEANER_NOISE, "(?i)")
+    dated = (t.rlike(SUBTITLE) & t.rlike(VENUE)) | (t.rlike(HOURS_TIME) & t.rlike(HOURS)) | _any(t, CLEANER_NOISE_DIGITS, "(?i)")
+    noise = (t.rlike("[0-9]") & dated) | _any(t, CLEANER_NOISE, "(?i)")
     return F.when(t.rlike(r"^[\W_\s]*\z"), "noise").when(t.rlike(PRICE_ONLY), "price").when(known | all_caps(t), "header").when(noise, "noise").otherwise("dish")
 
 
 @bound
 def all_caps(text: Column) -> Column:
     """At least three letters, none in lower case."""
-    return (F.length(F.regexp_replace(text, "[^a-zA-Z]", "")) >= 3) & (text == F.upper(text))
+    return (text == F.upper(text)) & (F.length(F.regexp_replace(text, "[^a-zA-Z]", "")) >= 3)
 
 
 @bound
 def attachable(line: Column) -> Column:
     """Whether a dish line may take the price that stands alone on the next line."""
     t = strip(line)
-    return (F.length(t) >= 3) & ~t.rlike(HAS_PRICE) & ~all_caps(t) & t.rlike("[a-zA-Z]{3,}")
+    return (F.length(t) >= 3) & t.rlike("[a-zA-Z]{3,}") & ~t.rlike(HAS_PRICE) & ~all_caps(t)
 
 
 def norm_name(c: Column) -> Column:

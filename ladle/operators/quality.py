@@ -167,9 +167,11 @@ def best_candidate(candidates: DataFrame, doc: str = "doc_id", deskewed: int = 0
     score = F.col("alpha_word_count") * 10 + F.col("word_count") + F.col("avg_conf") / 10 + F.when(F.col("has_words"), 25).otherwise(0) + t.count_price_lines(F.col("text")) * 4
     score = score + F.when(F.col("ix") < deskewed, 1).otherwise(0) + F.when(F.col("is_rapid"), 2).otherwise(0)
     fit = (F.col("alpha_word_count") >= 3) & (F.col("avg_conf") >= 40)
-    ranked = candidates.withColumn("score", score).withColumn("_fit", fit)
-    w = Window.partitionBy(doc).orderBy(F.desc("_fit"), F.desc(F.when(F.col("_fit"), F.col("score"))), F.desc(F.col("word_count") > 0), "ix")
-    return ranked.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_fit")
+    ranked = candidates.withColumn("score", score)
+    # pre-aggregated: of a document's readings one a task is shuffled
+    place = F.struct(~fit, F.when(fit, -F.col("score")), F.col("word_count") <= 0, "ix")
+    best = F.min_by(F.struct(*(c for c in ranked.columns if c != doc)), place)
+    return ranked.groupBy(doc).agg(best.alias("_b")).select(doc, "_b.*")
 
 
 def best_parse(parsed: DataFrame, doc: str, candidate: str, base: str, price: str = "price") -> DataFrame:

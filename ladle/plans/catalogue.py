@@ -44,13 +44,26 @@ _find("find_range", "orders", {"o_totalprice": {"$gte": 1000, "$lt": 50000}}, OR
 _find("find_ne", "orders", {"o_orderstatus": {"$ne": "F"}}, ORDER, "o_orderstatus IS DISTINCT FROM 'F'")
 _find("find_in", "orders", {"o_orderstatus": {"$in": ["F", "P"]}}, ORDER, "o_orderstatus IN ('F', 'P')")
 _find("find_nin", "orders", {"o_orderstatus": {"$nin": ["F", "P"]}}, ORDER, "coalesce(o_orderstatus NOT IN ('F', 'P'), true)")
-_find("find_exists", "customer", {"c_mktsegment": {"$exists": True}, "c_name": {"$exists": True}}, "c_custkey, c_name", "c_mktsegment IS NOT NULL AND c_name IS NOT NULL")
 _find("find_regex_i", "part", {"p_name": {"$regex": "^[a-m].*E", "$options": "i"}}, "p_partkey, p_name", "regexp_matches(coalesce(p_name, ''), '(?i)^[a-m].*E')")
 _find("find_multi_op", "part", {"p_size": {"$gt": 5, "$lte": 30, "$ne": 20}, "p_brand": {"$in": ["Brand#1", "Brand#2", "Brand#11"]}}, "p_partkey, p_size, p_brand", "p_size > 5 AND p_size <= 30 AND p_size <> 20 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#11')")
-_find("find_null", "customer", {"c_mktsegment": None}, "c_custkey", "c_mktsegment IS NULL")
 _find("find_all_rows", "nation", {}, "n_nationkey, n_name", "true")
 
 
+def _customers(spark, d) -> DataFrame:
+    """Customers, of whom those in machinery have no segment."""
+    return table(spark, d, "customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY")))
+
+
+@query("SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'MACHINERY') IS NULL")
+def find_null(spark, d):
+    return c.find(_customers(spark, d), {"c_mktsegment": None}).select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE nullif(c_mktsegment, 'MACHINERY') IS NOT NULL AND c_name IS NOT NULL")
+def find_exists(spark, d):
+    return c.find(_customers(spark, d), {"c_mktsegment": {"$exists": True}, "c_name": {"$exists": True}}).select("c_custkey", "c_name")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1")
 def find_one(spark, d):
     return c.find_one(table(spark, d, "orders"), {"o_orderstatus": "O"}, "o_orderkey").select("o_orderkey", "o_custkey")
@@ -123,9 +136,11 @@ def exists_semi(spark, d):
     return c.existing(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def missing_anti(spark, d):
-    return c.missing(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    # customers without a large order
+    large = c.find(table(spark, d, "orders"), {"o_totalprice": {"$gt": 450000}})
+    return c.missing(table(spark, d, "customer"), large, "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
 _COLOURS = ("red", "green", "blue", "small", "large", "steel", "brass", "copper")
@@ -240,11 +255,56 @@ def _lines(spark, d) -> DataFrame:
 _LINES = "(SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r?\\n'), lambda x: trim(x, e' \\t\\n\\x0B\\f\\r')), lambda x: x <> '')) AS line FROM documents)"
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN NULL WHEN value < 10 THEN floor(value * 100) / 100 ELSE NULL END AS price FROM events WHERE event_type IS NOT NULL AND value >= 0 AND value < 10")
+# SQL of the text rules. RE2 keeps \\b and \\s to ASCII, as the rules do; what strips lines knows all white space.
+_WS = r"[\s\x0B\x{85}\pZ]"
+
+
+def _rx(column: str, pattern: str) -> str:
+    return "regexp_matches(" + column + ", '" + pattern.replace(t.BOUNDARY, r"\b").replace("'", "''") + "')"
+
+
+def _any_of(column: str, patterns, prefix: str = "") -> str:
+    return _rx(column, prefix + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+
+
+def _among(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _words_of(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{_WS}+'), lambda w: w <> '')"
+
+
+_AT = rf"""t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: {_stripped('x')}), lambda x: x <> '') AS l FROM documents),
+r AS (SELECT doc_id, unnest(range(len(l))) AS ix, unnest(l) AS line FROM t)"""
+
+
+def _food(w: str) -> str:
+    return f"(lower({w}) IN {_among(t.FOOD_WORDS)} OR {_rx(f'lower({w})', '^(?:' + '|'.join(t.FOOD_PHRASES) + ')$')})"
+
+
+def _price_steps(source: str, line: str = "line") -> str:
+    """CTEs that add price (null: none) to a table with a stripped line."""
+    digits = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_stripped(x)}, '(?i)^[$€£¥Rs.\s]+', ''), '(?i)[$€£¥.\s]+\z', ''), '^(\d{{1,3}}),(\d{{1,2}})\z', '\1.\2'), '[^\d.]', '', 'g')"
+    whole = lambda x: f"TRY_CAST({x} AS DOUBLE)"
+    value = lambda x: rf"CASE WHEN {x} = '' THEN NULL WHEN length({x}) >= 4 AND NOT contains({x}, '.') THEN CASE WHEN {whole(x)} < 1000 THEN {whole(x)} WHEN floor({whole(x)} / 100) < 200 THEN floor({whole(x)} / 100) + round(({whole(x)} % 100) / 100, 2) ELSE {whole(x)} END ELSE TRY_CAST(regexp_extract({x}, '^(\d*\.?\d*)', 1) AS DOUBLE) END"
+    return f"""p1 AS (SELECT *, regexp_extract({line}, '{t.TRAILING_PRICE}', 0) AS tail, regexp_extract({line}, '{t.LEADING_PRICE}', 0) AS head FROM {source}),
+p2 AS (SELECT *, {digits('tail')} AS dt, {digits('head')} AS dh FROM p1), p3 AS (SELECT *, {value('dt')} AS vt, {value('dh')} AS vh FROM p2),
+priced AS (SELECT *, CASE WHEN tail <> '' AND vt < {t.MOST_PRICE} THEN vt WHEN head <> '' AND vh < {t.MOST_PRICE} THEN vh END AS price FROM p3)"""
+
+
+_PRICE_FORMS = """CASE event_id % 6 WHEN 0 THEN 'Soup of the day $' || v WHEN 1 THEN '€' || v || ' Soup' WHEN 2 THEN 'Soup Rs. ' || v || '.' WHEN 3 THEN 'Soup ' || replace(v, '.', ',') WHEN 4 THEN 'Soup of ' || v || ' people' ELSE 'Soup £ ' || split_part(v, '.', 1) END"""
+
+
+@query("WITH e AS (SELECT event_id, (CASE WHEN value < 1000 THEN floor(value * 100) / 100 END)::DECIMAL(9, 2)::VARCHAR AS v FROM events), r AS (SELECT event_id, " + _PRICE_FORMS + " AS line FROM e), " + _price_steps("r") + " SELECT event_id, price FROM priced")
 def price_find(spark, d):
-    e = table(spark, d, "events").filter("event_type IS NOT NULL AND value >= 0 AND value < 10")
-    line = F.concat(F.lit("Soup of the day $"), F.format_string("%.2f", F.floor(F.col("value") * 100) / 100))
-    return e.select("event_id", t.find_price(line)["price"].alias("price"))
+    # every event, in six ways to write a price: before or after the name, with and without sign, decimal comma, no price, no cents
+    v = F.when(F.col("value") < 1000, F.floor(F.col("value") * 100) / 100).cast("decimal(9,2)").cast("string")
+    return table(spark, d, "events").withColumn("v", v).withColumn("line", F.expr(_PRICE_FORMS)).select("event_id", t.find_price(F.col("line"))["price"].alias("price"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 0 AND value < 1000 THEN floor(value * 100) / 100 END AS price FROM events")
@@ -254,49 +314,98 @@ def price_find_all(spark, d):
     return table(spark, d, "events").select("event_id", t.find_price(line)["price"].alias("price"))
 
 
-@query("SELECT p_partkey, p_size::DOUBLE + 0.5 AS price FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN p_size + 0.25 WHEN 2 THEN CASE WHEN p_size < 10 THEN p_size * 100 ELSE p_size END WHEN 3 THEN p_size END::DOUBLE AS price FROM part")
 def price_normalise(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.price_value(F.concat(F.lit("€"), F.col("p_size").cast("string"), F.lit(",5"))).alias("price"))
+    # €5,5 and $5.25 and 1200 (cents) and Rs. 5 and free
+    n = F.col("p_size").cast("string")
+    forms = F.array(F.concat(F.lit("€"), n, F.lit(",5")), F.concat(F.lit("$"), n, F.lit(".25")), F.concat(n, F.lit("00")), F.concat(F.lit("Rs. "), n), F.lit("free"))
+    return table(spark, d, "part").select("p_partkey", t.price_value(F.get(forms, (F.col("p_partkey") % 5).cast("int"))).alias("price"))
 
 
-@query(r"SELECT p_partkey, trim(regexp_replace(p_name, '(?i)^new\s+', '')) AS name FROM part WHERE length(p_name) > 3")
+_NAME_FORMS = """CASE p_partkey % 8 WHEN 0 THEN '★ ' || p_name || ' .. GF' WHEN 1 THEN '[house] ' || p_name || ' (v)' WHEN 2 THEN '12. ' || p_name WHEN 3 THEN 'SIGNATURE ' || p_name || ' --' WHEN 4 THEN p_name || ' SPICY' WHEN 5 THEN '$4.50 ' || p_name || ';' WHEN 6 THEN replace(p_name, ' ', '__') ELSE p_name || ' S' END"""
+
+
+@query(r"SELECT p_partkey, CASE WHEN p_partkey % 8 IN (0, 4, 7) THEN regexp_replace(p_name, '(?i)^new\s+', '') ELSE p_name END AS name FROM part")
 def name_cleanup(spark, d):
-    return table(spark, d, "part").filter("length(p_name) > 3").select("p_partkey", t.clean_name(F.concat(F.lit("★ "), "p_name", F.lit(" .. GF"))).alias("name"))
+    # every part, with bullets, brackets, numbers, prices, signs and closing tokens around its name; NEW goes where it comes first
+    return table(spark, d, "part").select("p_partkey", t.clean_name(F.expr(_NAME_FORMS)).alias("name"))
 
 
-@query()
+def _noise_sql(x: str) -> str:
+    low = f"lower({x})"
+    tests = [f"length({x}) < 3", _any_of(low, t.NOISE_STARTS, "^"), _any_of(low, t.NOISE_ANYWHERE), f"({_rx(low, '^www[a-z]')} AND NOT contains({x}, '.'))", f"(length({x}) <= 3 AND {_rx(x, '^[A-Z][a-z]*$')})", _rx(x, r"^[^\p{L}\p{N}]+$"), f"length(regexp_replace({x}, '[^0-9]', '', 'g')) * 2 > length({x})"]
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query(f"WITH {_AT} SELECT doc_id, ix, {_noise_sql('line')} AS noise FROM r")
 def noise_line(spark, d):
     return _lines(spark, d).select("doc_id", "ix", t.is_noise(F.col("line")).alias("noise"))
 
 
-@query()
+_SECTION = lambda low: f"({low} IN {_among(t.CATEGORY_TITLES)} OR regexp_replace({low}, 's$', '') IN {_among(t.CATEGORY_TITLES)})"
+
+
+@query(rf"""
+WITH {_AT}, w AS (SELECT *, lower(line) AS low, {_words_of('line')} AS w FROM r), {_price_steps('w')}
+SELECT doc_id, ix, price IS NULL AND length(line) BETWEEN 2 AND 80 AND ({_SECTION('low')} OR (NOT {_rx('low', r'[$€£¥]\s*\d|\b\d+[.,]\d')}
+  AND (lower(w[1]) IN {_among(t.CATEGORY_TITLES)} OR lower(w[-1]) IN {_among(t.CATEGORY_TITLES)} OR (len(w) <= 3 AND line = upper(line) AND len(list_filter(w, lambda x: {_food('x')})) = 0)))) AS header
+FROM priced""")
 def header_like(spark, d):
     return _lines(spark, d).select("doc_id", "ix", t.is_header(F.col("line"), t.find_price(F.col("line")).isNotNull()).alias("header"))
 
 
-@query()
+@query(rf"""
+WITH {_AT}, w AS (SELECT doc_id, ix, lower(line) AS x, {_words_of('lower(line)')} AS w FROM r)
+SELECT doc_id, ix, {_rx('x', t.DESCRIPTION_START)} OR {_rx('x', t.DESCRIPTION_CODE)} OR length(x) > 100 OR (len(list_filter(w, lambda v: v IN {_among(t.DESCRIPTION_WORDS)})) >= 2 AND len(w) <= 10) AS description FROM w""")
 def description_line(spark, d):
     return _lines(spark, d).select("doc_id", "ix", t.is_description(F.col("line")).alias("description"))
 
 
-@query("""
-WITH w AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: regexp_matches(x, '\\pL')) AS w FROM part)
-SELECT p_partkey, len(w) > 0 AND len(list_filter(w, lambda x: regexp_matches(x, '\\pL{3,}'))) >= greatest(1, ceil(len(w) * 0.6)) AS ok FROM w""")
+_MIXED = "CASE p_partkey % 4 WHEN 0 THEN 'ab c2 x ' || p_name WHEN 1 THEN 'ab 12 ' || p_name WHEN 2 THEN '12 7' ELSE p_name END"
+
+
+@query(rf"""
+WITH w AS (SELECT p_partkey, list_filter(string_split({_MIXED}, ' '), lambda x: regexp_matches(x, '\pL')) AS w FROM part)
+SELECT p_partkey, len(w) > 0 AND len(list_filter(w, lambda x: regexp_matches(x, '\pL{{3,}}'))) >= greatest(1, ceil(len(w) * 0.6)) AS ok FROM w""")
 def real_words(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.real_words(F.col("p_name")).alias("ok"))
+    return table(spark, d, "part").select("p_partkey", t.real_words(F.expr(_MIXED)).alias("ok"))
+
 
+_DISH = "CASE event_id % 9 WHEN 0 THEN 'Pizza Verde' WHEN 1 THEN 'Garden bowl' WHEN 2 THEN 'Soup' WHEN 3 THEN 'Submarine' WHEN 4 THEN 'wrap and steak' WHEN 5 THEN 'Rib eye' WHEN 6 THEN 'Apple pie' WHEN 7 THEN 'Iced tea' ELSE event_type END || ' ' || props"
 
-@query("SELECT event_id, CASE " + " ".join(f"WHEN regexp_matches(lower(event_type || ' ' || props), '\\b({w})\\b') THEN '{k}'" for k, w in t.CATEGORY_BY_WORD) + " ELSE 'other' END AS category FROM events")
+
+@query(f"SELECT event_id, CASE " + " ".join(f"WHEN regexp_matches(lower({_DISH}), '\\b({w})\\b') THEN '{k}'" for k, w in t.CATEGORY_BY_WORD) + " ELSE 'other' END AS category FROM events")
 def guess_category(spark, d):
-    return table(spark, d, "events").select("event_id", t.category_of(F.concat_ws(" ", "event_type", "props")).alias("category"))
+    return table(spark, d, "events").select("event_id", t.category_of(F.expr(_DISH)).alias("category"))
 
 
-@query()
+_MISREAD = "p_name || ' ' || CASE p_partkey % 12 WHEN 0 THEN 'chlcken' WHEN 1 THEN 'bvrger' WHEN 2 THEN 'Pizzs' WHEN 3 THEN 'sandwish' WHEN 4 THEN 'grilld' WHEN 5 THEN 'jalapeno cheez' WHEN 6 THEN 'frid mushro0m' WHEN 7 THEN 'tiramisv' WHEN 8 THEN 'espressoo' WHEN 9 THEN '2 Ib sai mon' WHEN 10 THEN 'stout  float [pa]' ELSE 'plain' END"
+
+
+def _corrections(x: str) -> str:
+    for pattern, to in t.OCR_CORRECTIONS:
+        x = f"regexp_replace({x}, '(?i){pattern}', '{to}', 'g')"
+    return x
+
+
+@query(f"SELECT p_partkey, {_corrections(_MISREAD)} AS name FROM part")
 def ocr_corrections(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.correct_ocr(F.col("p_name")).alias("name"))
+    return table(spark, d, "part").select("p_partkey", t.correct_ocr(F.expr(_MISREAD)).alias("name"))
 
 
-@query()
+_KIND = f"""CASE WHEN {_rx('line', '^[\\W_]*$')} THEN 'noise' WHEN {_rx('line', t.PRICE_ONLY)} THEN 'price'
+  WHEN lower(line) IN {_among(t.CLEANER_SECTIONS)} OR regexp_replace(lower(line), 's$', '') IN {_among(t.CLEANER_SECTIONS)} OR (line = upper(line) AND length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 3) THEN 'header'
+  WHEN ({_rx('line', t.SUBTITLE)} AND {_rx('line', t.VENUE)}) OR ({_rx('line', t.HOURS)} AND {_rx('line', t.HOURS_TIME)}) OR {_any_of('line', t.CLEANER_NOISE_DIGITS, '(?i)')} OR {_any_of('line', t.CLEANER_NOISE, '(?i)')} THEN 'noise' ELSE 'dish' END"""
+
+
+@query(rf"""
+WITH {_AT}, k AS (SELECT *, CASE WHEN ix = 0 AND line = upper(line) AND length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 3 AND coalesce({_rx('lead(line) OVER (PARTITION BY doc_id ORDER BY ix)', t.SUBTITLE)}, false) THEN 'noise' ELSE {_KIND} END AS kind FROM r),
+g AS (SELECT *, sum(CASE WHEN kind = 'price' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ix) AS run FROM k WHERE kind <> 'noise'),
+h AS (SELECT *, first_value(line) OVER w AS head, first_value(kind) OVER w AS head_kind, row_number() OVER w AS place, count(*) FILTER (kind = 'price' AND {_rx('line', t.HAS_PRICE)}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g WINDOW w AS (PARTITION BY doc_id, run ORDER BY ix)),
+m AS (SELECT *, kind = 'price' AND head_kind = 'dish' AND length(head) >= 3 AND {_rx('head', '[a-zA-Z]{3,}')} AND NOT {_rx('head', t.HAS_PRICE)} AND before = 0 AND (place = 2 OR NOT {_rx('head', r'[$€£¥]\s*$')}) AS merges FROM h),
+j AS (SELECT doc_id, substr(string_agg(CASE WHEN merges THEN ' ' ELSE chr(10) END || line, '' ORDER BY ix), 2) AS text, count(*) FILTER (merges) AS merged FROM m GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS dropped FROM k WHERE kind = 'noise' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(j.text, '') AS text, coalesce(merged, 0) AS merged, coalesce(dropped, 0) AS dropped FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id LEFT JOIN n ON d.doc_id = n.doc_id""")
 def clean_text(spark, d):
     return lines.clean_text(table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "text", "merged", F.size("dropped").alias("dropped"))
 
@@ -365,9 +474,21 @@ def adaptive_threshold(spark, d):
     return quality.adaptive_threshold(s, "doc").select("doc", F.round("threshold", 6).alias("threshold"))
 
 
-@query()
+_CALLED = "CASE p_partkey % 6 WHEN 0 THEN 'grilled chicken' WHEN 1 THEN 'the and for with all' WHEN 2 THEN 'fish' WHEN 3 THEN 'no 5 of the big plates that come with all of it' WHEN 4 THEN 'pasta 12.50 with garlic cheese' ELSE p_name END"
+_CONFIDENCE = f"""
+WITH n AS (SELECT p_partkey, p_size > 10 AS priced, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS category, p_size % 3 = 0 AS caps, p_size % 4 = 0 AS centred,
+  CASE p_partkey % 7 WHEN 0 THEN 'fastfood' WHEN 1 THEN 'descriptive' ELSE 'compact' END AS layout, {_CALLED} AS name FROM part),
+w AS (SELECT *, string_split(lower(name), ' ') AS w FROM n), f AS (SELECT *, len(list_filter(w, lambda x: {_food('x')})) AS food, len(list_filter(w, lambda x: x IN {_among(t.GENERIC_WORDS)})) AS generic FROM w)
+SELECT p_partkey, round(greatest(0, least(1, CASE WHEN priced THEN 0.4 ELSE 0 END + least(food * 0.15, 0.35) + CASE WHEN category <> '' THEN 0.15 ELSE 0 END + CASE WHEN len(w) BETWEEN 2 AND 6 THEN 0.1 WHEN len(w) > 8 THEN -0.15 ELSE 0 END
+  - CASE WHEN caps AND NOT priced THEN 0.15 ELSE 0 END - CASE WHEN regexp_matches(name, '\\d') AND NOT regexp_matches(name, '\\d+\\.\\d{{2}}') THEN 0.1 ELSE 0 END - CASE WHEN length(name) < 5 THEN 0.1 ELSE 0 END - CASE WHEN generic > len(w) * 0.5 THEN 0.2 ELSE 0 END
+  - CASE WHEN centred THEN 0.1 ELSE 0 END - CASE WHEN layout = 'fastfood' AND NOT priced THEN 0.1 ELSE 0 END + CASE WHEN layout = 'descriptive' AND len(w) <= 3 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS score FROM f"""
+
+
+@query(_CONFIDENCE)
 def confidence(spark, d):
-    score = t.confidence(F.col("p_size") > 10, F.col("p_name"), F.col("p_brand"), F.lit(False), F.lit(False), F.lit("compact"))
+    layout = F.when(F.col("p_partkey") % 7 == 0, "fastfood").when(F.col("p_partkey") % 7 == 1, "descriptive").otherwise("compact")
+    category = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_brand"))
+    score = t.confidence(F.col("p_size") > 10, F.expr(_CALLED), category, F.col("p_size") % 4 == 0, F.col("p_size") % 3 == 0, layout)
     return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
@@ -419,11 +540,14 @@ def fuzzy_match_pairs(spark, d):
     return quality.fuzzy_pairs(table(spark, d, "part"), "p_name")
 
 
-@query("""
-WITH x AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9&'']+'), lambda w: length(w) >= 3) AS w, list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9&'']+'), lambda w: length(w) >= 3) AS k FROM part)
+_RAW = "p_type || ' ' || CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN translate(p_name, 'ae', 'oe') WHEN 2 THEN split_part(p_name, ' ', 1) ELSE 'nothing' END"
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9&'']+'), lambda w: length(w) >= 3) AS w, list_filter(regexp_split_to_array(lower({_RAW}), '[^a-z0-9&'']+'), lambda w: length(w) >= 3) AS k FROM part)
 SELECT p_partkey, len(w) > 0 AND len(list_filter(w, lambda a: len(list_filter(k, lambda b: levenshtein(a, b) <= 1)) > 0)) = len(w) AS grounded FROM x""")
 def grounded_words(spark, d):
-    return table(spark, d, "part").select("p_partkey", quality.grounded(F.col("p_name"), F.col("p_type")).alias("grounded"))
+    return table(spark, d, "part").select("p_partkey", quality.grounded(F.col("p_name"), F.expr(_RAW)).alias("grounded"))
 
 
 _HOSTS = ("example.net", "example.org", "example.com")
@@ -439,10 +563,47 @@ def image_rank_topk(spark, d):
     return p.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("host", "page_id", "rank")
 
 
-@query()
+_PICTURE = "url || CASE page_id % 6 WHEN 0 THEN '/grilled-salmon.jpg?w=1200&h=500' WHEN 1 THEN '/recipe/fresh_seafood.png?q=salmon' WHEN 2 THEN '/logo-brand-icon.svg' WHEN 3 THEN '/plating/dish.webp?width=900&height=1000' WHEN 4 THEN '/salmon-grill/dinner?w=400&h=180' ELSE '' END"
+
+
+def _image_steps(source: str, url: str = "url", wanted: str = "'grilled salmon'") -> str:
+    """CTEs that add base (the score of a URL) and food (whether it is a dish's image) to a table of URLs without fragments."""
+    shared = lambda parts: f"len(list_filter(q, lambda w: len(list_filter({parts}, lambda p: contains(p, w) OR contains(w, p))) > 0))"
+    number = lambda a, b: f"coalesce(TRY_CAST(nullif(regexp_extract(url_query, '(?:^|&){a}=([^&]*)', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(url_query, '(?:^|&){b}=([^&]*)', 1), '') AS DOUBLE))"
+    points = " + ".join(f"CASE WHEN {_rx('low', '(?i)' + p)} THEN 10 ELSE 0 END" for p in food.FOOD_PATTERNS)
+    non = "[" + _among(food.NON_FOOD)[1:-1] + "]"
+    words = "|".join(food.FOOD_EXCLUSION)
+    return f"""i1 AS (SELECT *, lower({url} || ' ' || {wanted}) AS low, lower(regexp_extract({url}, '^[^:]+://[^/?#]*([^?#]*)', 1)) AS url_path, lower(regexp_extract({url}, '[?]([^#]*)', 1)) AS url_query, string_split(lower({wanted}), ' ') AS q FROM {source}),
+i2 AS (SELECT *, len(list_filter({non}, lambda x: contains(low, x))) AS hits, {shared("regexp_split_to_array(url_path, '[/_-]+')")} AS in_path, {shared("regexp_split_to_array(CASE WHEN url_query <> '' THEN '?' || url_query ELSE '' END, '[?&=+/_-]+')")} AS in_query, {number('w', 'width')} / nullif({number('h', 'height')}, 0) AS ratio FROM i1),
+scored AS (SELECT *, greatest(0, least(100, 50 - hits * 15 + {points} + in_path * 6 + in_query * 2 - CASE WHEN in_path = 0 AND in_query = 0 THEN 20 ELSE 0 END
+  - CASE WHEN ratio > 2.1 OR ratio < 0.45 THEN 15 WHEN ratio > 1.8 OR ratio < 0.55 THEN 8 ELSE 0 END))::INT AS base, hits < 3 AND NOT {_rx('low', '(?:^|[^A-Za-z0-9_])(?:' + words + ')(?:$|[^A-Za-z0-9_])')} AS food FROM i2)"""
+
+
+_PAGES = f"SELECT page_id, split_part({_PICTURE}, '#', 1) AS url FROM pages"
+
+
+def _pictures(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.expr(f"split_part({_PICTURE}, '#', 1)").alias("url"))
+
+
+@query(f"WITH r AS ({_PAGES}), {_image_steps('r')} SELECT page_id, base AS score, food FROM scored")
 def image_score(spark, d):
-    p = table(spark, d, "pages").filter("url IS NOT NULL")
-    return p.select("page_id", food.image_score(F.col("url"), F.lit("grilled salmon")).alias("score"), food.is_food_image(F.col("url"), F.lit("grilled salmon")).alias("food"))
+    wanted = F.lit("grilled salmon")
+    return _pictures(spark, d).select("page_id", food.image_score(F.col("url"), wanted).alias("score"), food.is_food_image(F.col("url"), wanted).alias("food"))
+
+
+@query(f"""
+WITH p AS ({_PAGES}), s AS (SELECT page_id, url, 'a' AS source, 0 AS source_ix, 35 AS weight FROM p UNION ALL SELECT page_id, url || '/salmon', 'b', 1, 25 FROM p UNION ALL SELECT page_id, url || '/dish', 'c', 2, 20 FROM p),
+r AS (SELECT *, CASE page_id % 3 WHEN 0 THEN 'grilled salmon' WHEN 1 THEN 'seafood dinner' ELSE 'apple pie' END AS dish FROM s), {_image_steps('r', 'url', 'dish')},
+e AS (SELECT *, coalesce(max(CASE WHEN base >= 70 AND weight >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY dish ORDER BY source_ix, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM scored WHERE food),
+k AS (SELECT dish, source, page_id, base + weight AS score, row_number() OVER (PARTITION BY dish ORDER BY base + weight DESC, source_ix, page_id) AS rank FROM e WHERE done = 0)
+SELECT * FROM k WHERE rank <= 10""")
+def rank_images(spark, d):
+    # three sources, merged by weight; the first good result ends the search
+    p = _pictures(spark, d).withColumn("dish", F.when(F.col("page_id") % 3 == 0, "grilled salmon").when(F.col("page_id") % 3 == 1, "seafood dinner").otherwise("apple pie"))
+    sides = {"a": p, "b": p.withColumn("url", F.concat("url", F.lit("/salmon"))), "c": p.withColumn("url", F.concat("url", F.lit("/dish")))}
+    merged = food.union_sources(sides).withColumns({"weight": F.element_at(F.array(*map(F.lit, (35, 25, 20))), F.col("source_ix") + 1), "_pos": F.col("page_id")})
+    return food.rank_images(merged).select("dish", "source", "page_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -483,18 +644,27 @@ def recipe_unpivot(spark, d):
     return part.select("p_partkey", F.size(found).cast("long").alias("n"), F.array_join(F.transform(found, lambda x: x["name"]), "|").alias("names"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(lower(p_name || ' ' || p_type), 'pork|alcohol|wine|a') ".replace("|a'", "'"))
+_SERVED = "CASE p_partkey % 5 WHEN 0 THEN 'with Pork belly' WHEN 1 THEN 'in red wine' WHEN 2 THEN 'rice and egg' ELSE p_type END"
+
+
+@query(f"SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(lower(p_name || ' ' || {_SERVED}), 'pork|alcohol|wine')")
 def dietary_filter(spark, d):
-    keep = food.fits_diets(["halal"], F.col("p_name"), F.col("p_type"), F.array().cast("array<string>"))
+    keep = food.fits_diets(["halal"], F.col("p_name"), F.expr(_SERVED), F.array().cast("array<string>"))
     return table(spark, d, "part").filter(keep).select("p_partkey", "p_name")
 
 
-@query("""
-SELECT event_id, array_to_string(list_filter([CASE WHEN NOT event_type IN ('fish', 'ham') THEN 'vegetarian' END, CASE WHEN NOT event_type IN ('fish', 'ham') THEN 'vegan' END, CASE WHEN regexp_matches(lower(props), 'spicy|hot') THEN 'spicy' END], lambda x: x IS NOT NULL), ',') AS tags
-FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL""")
+_MAIN = "CASE event_id % 5 WHEN 0 THEN 'Fish' WHEN 1 THEN 'goat cheese' WHEN 2 THEN 'ham' WHEN 3 THEN 'lentils' END"
+_SAYS = "CASE event_id % 7 WHEN 0 THEN 'Vegan and gluten free' WHEN 1 THEN 'hot' WHEN 2 THEN 'nut-free, dairy free' ELSE props END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, lower({_MAIN}) AS i, lower(coalesce({_SAYS}, '')) AS s FROM events),
+v AS (SELECT *, i IS NULL OR i NOT IN ('fish', 'ham') AS veg FROM e)
+SELECT event_id, array_to_string(list_filter([CASE WHEN veg THEN 'vegetarian' END, CASE WHEN veg AND (contains(s, 'vegan') OR NOT regexp_matches(coalesce(i, ''), 'cheese|cream|butter|milk|egg|yogurt|honey')) THEN 'vegan' END,
+  CASE WHEN regexp_matches(s, 'gluten-free|gluten free') THEN 'gluten-free' END, CASE WHEN regexp_matches(s, 'dairy-free|dairy free') THEN 'dairy-free' END, CASE WHEN regexp_matches(s, 'nut-free|nut free') THEN 'nut-free' END, CASE WHEN regexp_matches(s, 'spicy|hot') THEN 'spicy' END], lambda x: x IS NOT NULL), ',') AS tags
+FROM v""")
 def dietary_tags(spark, d):
-    e = table(spark, d, "events").filter("event_type IS NOT NULL AND props IS NOT NULL")
-    return e.select("event_id", F.array_join(food.dietary_tags(F.array("event_type"), F.col("props")), ",").alias("tags"))
+    return table(spark, d, "events").select("event_id", F.array_join(food.dietary_tags(F.array(F.coalesce(F.expr(_MAIN), F.lit("greens"))), F.expr(_SAYS)), ",").alias("tags"))
 
 
 @query("""
@@ -534,7 +704,15 @@ def rate_limit_fixed_window(spark, d):
     return jobs.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", _DAY_MS, 3)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) / 1000.0 AS ms, coalesce(value < 50, false) AS ok, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS k FROM events WHERE event_type IS NOT NULL),
+r AS (
+  SELECT event_type, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS failures, 0::DOUBLE AS until, '' AS met FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.event_type, e.k, e.event_id, CASE WHEN e.ms < r.until THEN r.failures WHEN e.ok THEN 0 ELSE r.failures + 1 END,
+         CASE WHEN e.ms < r.until THEN r.until WHEN e.ok OR r.failures + 1 < 3 THEN 0 ELSE e.ms + 600000 END, CASE WHEN e.ms < r.until THEN 'open' WHEN r.failures >= 3 THEN 'half-open' ELSE 'closed' END
+  FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1)
+SELECT event_type, event_id, met FROM r WHERE k > 0""")
 def circuit_breaker(spark, d):
     e = table(spark, d, "events").withColumn("ok", F.coalesce(F.col("value") < 50, F.lit(False)))
     return jobs.circuit_breaker(e, "event_type", "ts", "event_id", "ok", 3, 600_000)
@@ -548,9 +726,12 @@ def debounce(spark, d):
     return jobs.debounce(table(spark, d, "events"), "user_id", "ts", "value", "1 hour").select("user_id", "start", "n")
 
 
-@query("SELECT event_id, regexp_matches(event_type, '(?i)timeout|busy|internal|e') AS x FROM events".replace("|e'", "'"))
+_ERROR = "CASE event_id % 7 WHEN 0 THEN 'connect ECONNRESET' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'Service busy' WHEN 3 THEN 'bad request 4290' WHEN 4 THEN 'code 429' WHEN 5 THEN event_type END"
+
+
+@query(f"SELECT event_id, coalesce({_rx(_ERROR, t.TRANSIENT)}, false) AS x FROM events")
 def transient_errors(spark, d):
-    return table(spark, d, "events").filter("event_type IS NOT NULL").select("event_id", t.is_transient(F.col("event_type")).alias("x"))
+    return table(spark, d, "events").select("event_id", t.is_transient(F.expr(_ERROR)).alias("x"))
 
 
 @query("SELECT o_orderkey AS id, coalesce(nullif(o_orderstatus, ''), 'completed') AS status, CASE WHEN o_custkey IS NULL THEN 'anonymous' ELSE o_custkey::VARCHAR END AS user_id FROM orders")
@@ -571,19 +752,28 @@ def union_sources(spark, d):
     return food.union_sources(sides).select("id", "name", "source")
 
 
-@query("SELECT c_custkey AS k FROM customer UNION SELECT DISTINCT o_custkey FROM orders")
+@query("SELECT c_custkey AS k, 'first' AS side FROM customer UNION ALL SELECT DISTINCT o_custkey + 500, 'second' FROM orders WHERE o_custkey + 500 NOT IN (SELECT c_custkey FROM customer)")
 def fallback_union(spark, d):
-    return food.with_fallback(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), "k")
+    first = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("first").alias("side"))
+    return food.with_fallback(first, table(spark, d, "orders").select((F.col("o_custkey") + 500).alias("k"), F.lit("second").alias("side")).distinct(), "k")
 
 
-@query()
+@query(rf"""
+WITH w AS (SELECT source, doc_id, coalesce(text, '') AS text, {_words_of("coalesce(text, '')")} AS w, doc_id % 3 * 30 + 20.0 AS conf FROM documents),
+n AS (SELECT source AS doc_id, doc_id AS ix, len(w) AS words, len(list_filter(w, lambda v: regexp_matches(v, '[a-zA-Z]{{3,}}'))) AS alpha, conf, len(list_filter(string_split(text, chr(10)), lambda x: {_rx('x', t.HAS_PRICE)})) AS priced FROM w),
+s AS (SELECT *, alpha * 10 + words + conf / 10 + 25 + priced * 4 + CASE WHEN ix < 0 THEN 1 ELSE 0 END AS score, alpha >= 3 AND conf >= 40 AS fit FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fit DESC, CASE WHEN fit THEN score END DESC NULLS LAST, words > 0 DESC, ix) AS rn FROM s)
+SELECT doc_id, ix, score::DOUBLE AS score FROM k WHERE rn = 1""")
 def best_candidate(spark, d):
     w = t.words(F.coalesce("text", F.lit("")))
-    x = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ix"), "text", F.size(w).alias("word_count"), F.size(F.filter(w, lambda v: v.rlike("[a-zA-Z]{3,}"))).alias("alpha_word_count"), F.lit(90.0).alias("avg_conf"), F.lit(True).alias("has_words"), F.lit(False).alias("is_rapid"))
+    x = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("ix"), "text", F.size(w).alias("word_count"), F.size(F.filter(w, lambda v: v.rlike("[a-zA-Z]{3,}"))).alias("alpha_word_count"), (F.col("doc_id") % 3 * 30 + 20.0).alias("avg_conf"), F.lit(True).alias("has_words"), F.lit(False).alias("is_rapid"))
     return quality.best_candidate(x).select("doc_id", "ix", "score")
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id, list_reduce(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {'n': 0::BIGINT, 'cur': length(x)::BIGINT}),
+  lambda a, b: CASE WHEN a.cur = 0 THEN {'n': a.n, 'cur': b.cur} WHEN a.cur + b.cur + 1 <= 6000 THEN {'n': a.n, 'cur': a.cur + b.cur + 1} ELSE {'n': a.n + 1, 'cur': b.cur} END) AS c FROM documents)
+SELECT doc_id, c.n + CASE WHEN c.cur > 0 THEN 1 ELSE 0 END AS n FROM c""")
 def text_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(quality.chunks(F.coalesce("text", F.lit("")), 6000)).alias("n"))
 
