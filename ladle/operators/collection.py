@@ -166,11 +166,25 @@ def status_counts(df: DataFrame, status: str, values: Sequence[str], at: str) ->
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order; where that is of plain columns, one row a key and task is shuffled."""
+    if all(isinstance(o, str) for o in order):
+        rest = [c for c in df.columns if c not in keys]
+        first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+        return first.select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns)) if rest else first.select(*keys)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def recent_scans(df: DataFrame, most: int = 10, order: str = "_pos") -> DataFrame:
+    """Summaries of the first `most` rows in insertion order (not the latest ones), latest first."""
+    return scan_summary(find_all(df, most, order)).orderBy(F.desc("created_at"))
+
+
+def health(results: DataFrame, ok: str = "ok") -> DataFrame:
+    """healthy (any ok), all_healthy, checked: one row, also of no results."""
+    return results.agg(F.coalesce(F.bool_or(ok), F.lit(False)).alias("healthy"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_healthy"), F.count("*").alias("checked"))
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Limits and times.
@@ -65,6 +65,25 @@ def admin_retry(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.withColumns({"status": F.when(hit, "queued").otherwise(F.col("status")), "retries": F.when(hit, 0).otherwise(F.col("retries")), "retry_at": F.when(hit, None).otherwise(F.col("retry_at"))})
 
 
+def process_next(jobs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The jobs with the oldest eligible one in processing, and that one."""
+    job = pick(jobs, now, 1)
+    at = job.select(F.col("_id").alias("_next"))
+    marked = jobs.join(F.broadcast(at), F.col("_id") == F.col("_next"), "left")  # one row
+    return marked.withColumn("status", F.when(F.col("_next").isNotNull(), "processing").otherwise(F.col("status"))).drop("_next"), job
+
+
+def reset_failed(jobs: DataFrame) -> DataFrame:
+    """Failed jobs are queued from the start, without their errors."""
+    hit = F.col("status") == "failed"
+    return jobs.withColumns({"retries": F.when(hit, 0).otherwise(F.col("retries")), "error": F.when(hit, "").otherwise(F.col("error")), "status": F.when(hit, "queued").otherwise(F.col("status"))})
+
+
+def clear_finished(jobs: DataFrame) -> DataFrame:
+    """Without completed and failed jobs."""
+    return jobs.filter(~F.coalesce(F.col("status").isin("completed", "failed"), F.lit(False)))
+
+
 def clear_failed(jobs: DataFrame) -> DataFrame:
     return jobs.filter(~F.col("status").isin("failed", "dlq"))
 
@@ -141,6 +160,14 @@ def first_success(calls: DataFrame, request: str, priority: str, ok: str) -> Dat
     return calls.filter(F.col(ok)).groupBy(request).agg(F.min(priority).alias(priority))
 
 
+def provider_chain(calls: DataFrame, request: str, priority: str, model: str, ts: str, order: str, ok: str, window_ms: float = RATE_WINDOW_MS, most: int = RATE_LIMIT, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
+    """The provider of the highest priority that answered each request, without those whose circuit was open at the call and
+    those over their limit."""
+    met = circuit_breaker(calls, model, ts, order, ok, limit, open_ms).filter("met != 'open'").select(order)
+    allowed = rate_limit(calls, model, ts, order, window_ms, most).filter("allowed").select(order)
+    return first_success(calls.join(met, order, "left_semi").join(allowed, order, "left_semi"), request, priority, ok)
+
+
 def attempts_delay(attempt: Column, base_ms: int = 500) -> Column:
     """Wait before a repeated request, in ms."""
     return (F.pow(F.lit(2.0), attempt.cast("double")) * base_ms).cast("long")
@@ -160,6 +187,23 @@ def cached_hits(lookups: DataFrame, key: str, ts: str, order: str, ttl_s: int) -
     return _fold(lookups.filter(F.col(key).isNotNull()).select(key, order, _ms(ts)), key, order, -1.0, step, "hit boolean")
 
 
+def bounded_cache(lookups: DataFrame, shard: str, key: str, ts: str, order: str, ttl_s: int = 300, most: int = 100) -> DataFrame:
+    """shard, order, hit of each lookup in caches (one a shard) of at most `most` keys: the key stored first goes first."""
+
+    def step(held: dict | None, row) -> tuple[dict, bool]:
+        held = dict(held or {})
+        if row.key in held and row.ms - held[row.key] < ttl_s * 1000:
+            return held, True
+        held.pop(row.key, None)
+        if len(held) >= most:
+            held.pop(next(iter(held)))
+        held[row.key] = row.ms
+        return held, False
+
+    rows = lookups.filter(F.col(shard).isNotNull()).select(shard, order, F.col(key).cast("string").alias("key"), _ms(ts))
+    return _fold(rows, shard, order, None, step, "hit boolean")
+
+
 # Progress of a scan's steps.
 PROGRESS = (5, 10, 20, 35, 50, 60, 65, 70, 100)
 
@@ -172,5 +216,7 @@ def progress_events(steps: DataFrame, job: str, step: str) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The last row of each key; one row a key and task is shuffled."""
+    rest = [c for c in df.columns if c != key]
+    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("_last"))
+    return last.select(*(F.col(c) if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,14 +74,32 @@ def delete_many(df: DataFrame, query: Mapping, allow_all: bool = False) -> DataF
     return df.filter(~F.coalesce(compile_filter(df, query), F.lit(False)))
 
 
-def upsert(df: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of a known key replace its columns, others are inserted: a full outer join."""
-    new = rows.select(F.col(key).alias("_k"), F.struct(*columns).alias("_u"))
+def upsert(df: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of a known key replace its columns, others are inserted: a full outer join. Of several new rows of a key the last
+    by `order` counts (without order the largest, so that reruns agree)."""
+    new = rows.groupBy(F.col(key).alias("_k")).agg((F.max(F.struct(*columns)) if order is None else F.max_by(F.struct(*columns), order)).alias("_u"))
     joined = df.join(new, F.col(key) == F.col("_k"), "full")
     values = {c: F.when(F.col("_k").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(values | {key: F.coalesce(F.col(key), F.col("_k"))}).select(*df.columns)
 
 
+def find_one_and_update(df: DataFrame, query: Mapping, values: Mapping, on_insert: Mapping | None = None, upsert: bool = False, order: str = "_pos", at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table after `values` are set in the first match, and that row as it is then (no row where nothing matches).
+
+    With upsert, where nothing matches, a row of the query's plain fields, `values` and `on_insert` is inserted.
+    """
+    hit = first_match(df, query, order)
+    updated = update_one(df, query, values, order, at)
+    found = updated.crossJoin(F.broadcast(hit)).filter(F.col(order) == F.col("_hit")).drop("_hit")  # one row
+    if not upsert:
+        return updated, found
+    fields = {k: v for k, v in query.items() if not isinstance(v, Mapping)} | dict(values) | dict(on_insert or {})
+    place = df.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("_place"))
+    given = {"_id": F.lit(uuid.uuid4().hex), "created_at": _now(at), "updated_at": _now(at), order: F.col("_place")} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
+    new = hit.filter("_hit IS NULL").crossJoin(F.broadcast(place)).select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema))
+    return updated.unionByName(new), found.unionByName(new)
+
+
 def save_scan(scans: DataFrame, scan: DataFrame, at: Column | None = None) -> DataFrame:
     """Insert completed scans with the number of their dishes."""
     return insert_many(scans, scan.withColumn("items_count", F.coalesce(F.nullif(F.size("dishes"), F.lit(-1)), F.lit(0))).withColumn("status", F.lit("completed")), at)

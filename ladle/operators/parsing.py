@@ -74,12 +74,12 @@ def _threshold(rows: list[tuple]) -> float:
     return max(0.35, mean * 0.7) if priced > 0.7 else min(0.25, median * 0.8) if priced < 0.2 else max(0.2, mean * 0.6)
 
 
-def _per_document(docs: DataFrame, doc: str, columns: list[str], extract: Callable[[pd.Series], list[tuple]]) -> DataFrame:
+def _per_document(docs: DataFrame, doc: str, columns: list[str], extract: Callable[[dict], list[tuple]]) -> DataFrame:
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d[doc], *r) for _, d in pdf.iterrows() for r in extract(d)]
+            rows = [(key, *r) for key, *values in zip(pdf[doc], *(pdf[c] for c in columns), strict=True) for r in extract(dict(zip(columns, values, strict=True)))]
             yield pd.DataFrame(rows, columns=[doc, "ix", "name", "description", "price", "category", "confidence"])
 
     return docs.select(doc, *columns).mapInPandas(run, f"{doc} {kind}, {ITEM}")
@@ -95,7 +95,7 @@ def sequential_parse(docs: DataFrame, doc: str, text: str, most: int = 50) -> Da
     lines = F.flatten(F.transform("_blocks", lambda b, k: F.transform(F.filter(F.transform(F.split(b, r"\r?\n"), t.strip), lambda x: F.length(x) > 1), lambda x: _line_struct(x, k, F.col("_layout")))))
     work = many.filter("_many").withColumn("_layout", layout).withColumn("_lines", lines)
 
-    def extract(d: pd.Series) -> list[tuple]:
+    def extract(d: dict) -> list[tuple]:
         rows = _sequential([dict(x) if not isinstance(x, dict) else x for x in d["_lines"]], d["_layout"])
         least = _threshold(rows)
         kept = [r for r in rows if r[3] >= least][:most]
@@ -240,7 +240,7 @@ def parse_columns(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     cells = F.sort_array(F.collect_list(F.struct("column", "y", "x", "line", "segment", *(c for c in rows.columns if c not in (doc, "column", "y", "x", "line", "segment")))))
     work = rows.groupBy(doc).agg(cells.alias("_cells"))
 
-    def extract(d: pd.Series) -> list[tuple]:
+    def extract(d: dict) -> list[tuple]:
         columns: dict[int, list[dict]] = {}
         for x in d["_cells"]:
             x = dict(x)
@@ -302,7 +302,7 @@ def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
         weak = x["kind"] in ("description", "garbage") or (x["kind"] == "dish" and x["score"] < 25)
         return weak and x["letters"] > 6 and not x["priced"] and 3 < len(x["text"]) < 60
 
-    def extract(d: pd.Series) -> list[tuple]:
+    def extract(d: dict) -> list[tuple]:
         rows, out, category, i = [dict(x) for x in d["_lines"]], [], "menu", 0
         while i < len(rows):
             x = rows[i]
@@ -323,6 +323,20 @@ def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return _per_document(docs.withColumn("_lines", lines), doc, ["_lines"], extract)
 
 
+def run_local(docs: DataFrame, doc: str, text: str, most: int = 50) -> DataFrame:
+    """Text in, dishes out: lines are cleaned, dishes extracted, prices far off made null, similar names merged, fused lines
+    split; doc, _pos, part, name, description, price, category, confidence of at most `most` dishes of each document.
+
+    doc tells documents apart; give each row a value of its own.
+    """
+    from ladle.operators.lines import basic_extract, clean_text, split_items
+
+    items = basic_extract(clean_text(docs, doc, F.col(text)), doc, F.col("text"), most).withColumn("_pos", F.col("ix").cast("long")).drop("ix")
+    items = split_items(quality.greedy_dedup(quality.three_sigma_null(items, [doc], "price"), doc))
+    place = Window.partitionBy(doc).orderBy("_pos", "part")
+    return items.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= most).drop("_rn")
+
+
 def register_parse_menu(spark) -> None:
     """SQL: SELECT * FROM parse_menu(text) gives ix, name and price of each line that ends with a price; lighter than the extractors."""
     from pyspark.sql.functions import udtf

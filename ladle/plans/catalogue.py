@@ -393,13 +393,14 @@ def ocr_corrections(spark, d):
     return table(spark, d, "part").select("p_partkey", t.correct_ocr(F.expr(_MISREAD)).alias("name"))
 
 
+_MENU = "coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'Smoked Brisket' || chr(10) || '$18.50' || chr(10) || '$3' WHEN 1 THEN chr(10) || 'Soup' || chr(10) || '18' || chr(10) || 'www.a.example' || chr(10) || '$20' WHEN 2 THEN chr(10) || 'Tart $' || chr(10) || '7' || chr(10) || '8' || chr(10) || 'DESSERTS' || chr(10) || '9' ELSE '' END"
 _KIND = f"""CASE WHEN {_rx('line', '^[\\W_]*$')} THEN 'noise' WHEN {_rx('line', t.PRICE_ONLY)} THEN 'price'
   WHEN lower(line) IN {_among(t.CLEANER_SECTIONS)} OR regexp_replace(lower(line), 's$', '') IN {_among(t.CLEANER_SECTIONS)} OR (line = upper(line) AND length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 3) THEN 'header'
   WHEN ({_rx('line', t.SUBTITLE)} AND {_rx('line', t.VENUE)}) OR ({_rx('line', t.HOURS)} AND {_rx('line', t.HOURS_TIME)}) OR {_any_of('line', t.CLEANER_NOISE_DIGITS, '(?i)')} OR {_any_of('line', t.CLEANER_NOISE, '(?i)')} THEN 'noise' ELSE 'dish' END"""
 
 
 @query(rf"""
-WITH {_AT}, k AS (SELECT *, CASE WHEN ix = 0 AND line = upper(line) AND length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 3 AND coalesce({_rx('lead(line) OVER (PARTITION BY doc_id ORDER BY ix)', t.SUBTITLE)}, false) THEN 'noise' ELSE {_KIND} END AS kind FROM r),
+WITH {_AT.replace("coalesce(text, '')", _MENU)}, k AS (SELECT *, CASE WHEN ix = 0 AND line = upper(line) AND length(regexp_replace(line, '[^a-zA-Z]', '', 'g')) >= 3 AND coalesce({_rx('lead(line) OVER (PARTITION BY doc_id ORDER BY ix)', t.SUBTITLE)}, false) THEN 'noise' ELSE {_KIND} END AS kind FROM r),
 g AS (SELECT *, sum(CASE WHEN kind = 'price' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ix) AS run FROM k WHERE kind <> 'noise'),
 h AS (SELECT *, first_value(line) OVER w AS head, first_value(kind) OVER w AS head_kind, row_number() OVER w AS place, count(*) FILTER (kind = 'price' AND {_rx('line', t.HAS_PRICE)}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g WINDOW w AS (PARTITION BY doc_id, run ORDER BY ix)),
 m AS (SELECT *, kind = 'price' AND head_kind = 'dish' AND length(head) >= 3 AND {_rx('head', '[a-zA-Z]{3,}')} AND NOT {_rx('head', t.HAS_PRICE)} AND before = 0 AND (place = 2 OR NOT {_rx('head', r'[$€£¥]\s*$')}) AS merges FROM h),
@@ -407,7 +408,8 @@ j AS (SELECT doc_id, substr(string_agg(CASE WHEN merges THEN ' ' ELSE chr(10) EN
 n AS (SELECT doc_id, count(*) AS dropped FROM k WHERE kind = 'noise' GROUP BY doc_id)
 SELECT d.doc_id, coalesce(j.text, '') AS text, coalesce(merged, 0) AS merged, coalesce(dropped, 0) AS dropped FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id LEFT JOIN n ON d.doc_id = n.doc_id""")
 def clean_text(spark, d):
-    return lines.clean_text(table(spark, d, "documents"), "doc_id", F.col("text")).select("doc_id", "text", "merged", F.size("dropped").alias("dropped"))
+    # whole texts, most of them with dishes whose prices stand on the next lines
+    return lines.clean_text(table(spark, d, "documents"), "doc_id", F.expr(_MENU)).select("doc_id", "text", "merged", F.size("dropped").alias("dropped"))
 
 
 @query()
@@ -415,6 +417,42 @@ def basic_extract(spark, d):
     return lines.basic_extract(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
+@query()
+def local_dishes(spark, d):
+    return parsing.run_local(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "_pos", "part", "name", "price", "category")
+
+
+@query("SELECT bool_or(value < 50) AS healthy, bool_and(value < 50) AS all_healthy, count(*) AS checked FROM events")
+def provider_health(spark, d):
+    return c.health(table(spark, d, "events").withColumn("ok", F.col("value") < 50))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
+def first_ten_scans(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("_id"), F.lit(None).cast("int").alias("items_count"), F.lit(None).cast("array<string>").alias("dishes"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderdate").alias("created_at"))
+    return c.recent_scans(o, 10, "_id").select("id", "status")
+
+
+@query("SELECT l_orderkey AS doc, sum(l_discount * l_quantity) / sum(l_quantity) * 100 AS confidence FROM lineitem GROUP BY 1")
+def weighted_confidence(spark, d):
+    return quality.weighted_confidence(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "doc"), "doc", "l_discount", F.col("l_quantity"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_acctbal > 9000) THEN 'Gold' ELSE c_name END AS c_name FROM customer UNION ALL SELECT max(c_custkey) + 1, 'New' FROM customer")
+def find_one_and_update(spark, d):
+    # the first rich customer gets a name; one that nobody has is inserted
+    people = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    once, _ = mutate.find_one_and_update(people, {"c_acctbal": {"$gt": 9000}}, {"c_name": "Gold"}, order="c_custkey")
+    twice, _ = mutate.find_one_and_update(once, {"c_mktsegment": "nobody's"}, {"c_name": "New"}, {"c_acctbal": 0.0}, True, "c_custkey")
+    return twice.select("c_custkey", "c_name")
+
+
+@query()
+def provider_chain(spark, d):
+    e = table(spark, d, "events").withColumn("ok", F.coalesce(F.col("value") < 50, F.lit(False)))
+    return jobs.provider_chain(e, "user_id", "event_id", "event_type", "ts", "event_id", "ok", 3_600_000, 10, 3, 600_000)
+
+
 @query()
 def sequential_parse(spark, d):
     return parsing.sequential_parse(table(spark, d, "documents"), "doc_id", "text")
@@ -499,29 +537,27 @@ def three_sigma_null(spark, d):
     return quality.three_sigma_null(table(spark, d, "events"), ["event_type"], "value").select("event_id", "value")
 
 
-def _headings(spark, d) -> DataFrame:
-    return table(spark, d, "documents").filter("length(text) > 0").select("doc_id", F.col("source").alias("block"), F.substring_index("text", "\n", 1).alias("name"))
+_TEXT_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B\\x{85}\\pZ]+'), lambda x: x <> ''))"
 
 
-@query("""
-WITH h AS (SELECT doc_id, source AS block, list_distinct(string_split(lower(string_split(text, chr(10))[1]), ' ')) AS w FROM documents WHERE length(text) > 0)
-SELECT l.block, l.doc_id AS a, r.doc_id AS b, round(len(list_intersect(l.w, r.w)) / len(list_distinct(l.w || r.w)), 9) AS similarity
-FROM h l JOIN h r ON l.block = r.block AND l.doc_id < r.doc_id WHERE len(list_intersect(l.w, r.w)) / len(list_distinct(l.w || r.w)) >= 0.7""")
-def jaccard_pairs(spark, d):
-    h = _headings(spark, d)
-    return quality.similar_pairs(h, "block", "doc_id", F.array_distinct(F.split(F.lower("name"), " "))).withColumn("similarity", F.round("similarity", 9))
+def _similar(block: str) -> str:
+    return f"""
+WITH h AS (SELECT doc_id, {block} AS block, {_TEXT_WORDS} AS w FROM documents WHERE length(text) > 0),
+p AS (SELECT l.block, l.doc_id AS a, r.doc_id AS b, len(l.w) + len(r.w) AS n, len(list_intersect(l.w, r.w)) AS c
+      FROM h l JOIN h r ON l.block = r.block AND l.doc_id < r.doc_id WHERE len(l.w) > 0 AND len(r.w) > 0 AND least(len(l.w), len(r.w)) >= 0.69 * greatest(len(l.w), len(r.w)))
+SELECT block, a, b, round(c / (n - c), 9) AS similarity FROM p WHERE c / (n - c) >= 0.7"""
 
 
-_TEXT_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B\\x{85}\\pZ]+'), lambda x: x <> ''))"
+@query(_similar("lang"))
+def jaccard_pairs(spark, d):
+    # whole texts by language
+    return quality.similar_texts(lines.spread(table(spark, d, "documents")), "lang", "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"""
-WITH h AS (SELECT doc_id, source AS block, {_TEXT_WORDS} AS w FROM documents WHERE length(text) > 0),
-p AS (SELECT l.block, l.doc_id AS a, r.doc_id AS b, len(l.w) + len(r.w) AS n, len(list_intersect(l.w, r.w)) AS c
-      FROM h l JOIN h r ON l.block = r.block AND l.doc_id < r.doc_id WHERE len(l.w) > 0 AND len(r.w) > 0)
-SELECT block, a, b, round(c / (n - c), 9) AS similarity FROM p WHERE c / (n - c) >= 0.7""")
+@query(_similar("source"))
 def jaccard_pairs_text(spark, d):
-    return quality.similar_texts(table(spark, d, "documents"), "source", "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
+    # whole texts by source
+    return quality.similar_texts(lines.spread(table(spark, d, "documents")), "source", "doc_id", "text").withColumn("similarity", F.round("similarity", 9))
 
 
 @query()

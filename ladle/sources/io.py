@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +21,39 @@ def empty_collection(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of all versions, each with its number first, oldest first."""
+    try:
+        return sorted(r[0] for r in spark.read.text(f"{root}/_pointers").collect())
+    except AnalysisException:  # nothing was written yet
+        return []
+
+
 def write_collection(df: DataFrame, root: str) -> str:
-    """Write a new version below root and point to it last, so readers see the old rows or the new ones."""
-    version = f"v-{uuid.uuid4().hex}"
+    """Write a new version below root and then append a pointer to it; pointers are never changed, so readers see the old
+    rows or the new ones at any moment."""
+    known = _pointers(df.sparkSession, root)
+    version = f"v{int(known[-1][1:13]) + 1 if known else 0:012d}-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").text(f"{root}/_pointers")
     return version
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/_current').first()[0]}")
+    """The version of the last pointer."""
+    return spark.read.parquet(f"{root}/{_pointers(spark, root)[-1]}")
+
+
+def remove_old(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete what stands below root and is none of the last `keep` versions: older ones, and what failed writes left behind."""
+    fs, path = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    known = _pointers(spark, root)
+    kept = set(known[-keep:])
+    # a version beyond the last pointer may be about to be pointed to
+    gone = [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("v") and f.base_name not in kept and f.base_name < (known[-1] if known else "")]
+    for f in gone:
+        fs.delete_dir(f.path)
+    return [f.base_name for f in gone]
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ def _keyed(stream: DataFrame, key: str, ts: str, *columns: str) -> DataFrame:
 
 
 def rate_limit(stream: DataFrame, key: str, ts: str, order: str, window_ms: float = jobs.RATE_WINDOW_MS, most: int = jobs.RATE_LIMIT, idle_ms: int = 600_000) -> DataFrame:
-    """key, order, allowed of each request; a key's state goes after idle_ms of event time."""
+    """key, order, allowed of each request; a key's state goes when nothing came for idle_ms (of processing time)."""
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,10 +37,13 @@ def rate_limit(stream: DataFrame, key: str, ts: str, order: str, window_ms: floa
     return rows.groupBy("key").applyInPandasWithState(step, f"key string, {order} {stream.schema[order].dataType.simpleString()}, allowed boolean", "until double, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def circuit_breaker(stream: DataFrame, key: str, ts: str, order: str, ok: str, limit: int = jobs.CIRCUIT_FAILURES, open_ms: float = jobs.CIRCUIT_MS) -> DataFrame:
-    """key, order, met of each call."""
+def circuit_breaker(stream: DataFrame, key: str, ts: str, order: str, ok: str, limit: int = jobs.CIRCUIT_FAILURES, open_ms: float = jobs.CIRCUIT_MS, idle_ms: int = 600_000) -> DataFrame:
+    """key, order, met of each call; a key's state goes when nothing came for idle_ms (of processing time)."""
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(frames)).sort_values(["ms", order], kind="stable")
         held = tuple(state.get) if state.exists else (0, 0.0)
         out = []
@@ -48,10 +51,11 @@ def circuit_breaker(stream: DataFrame, key: str, ts: str, order: str, ok: str, l
             held, met = jobs.circuit_step(held, ms, bool(good), limit, open_ms)
             out.append(met)
         state.update((int(held[0]), float(held[1])))
+        state.setTimeoutDuration(max(idle_ms, int(open_ms)))
         yield pd.DataFrame({"key": k[0], order: pdf[order], "met": out})
 
     rows = _keyed(stream.withColumn("ok", F.col(ok)), key, ts, order, "ok")
-    return rows.groupBy("key").applyInPandasWithState(step, f"key string, {order} {stream.schema[order].dataType.simpleString()}, met string", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, f"key string, {order} {stream.schema[order].dataType.simpleString()}, met string", "failures int, until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_in_ttl(stream: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
