@@ -107,6 +107,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def among(c: Column, values: Sequence[str]) -> Column:
+    """Whether c is one of the values, none of which holds a comma. One literal, so plans stay small with long lists."""
+    return F.find_in_set(c, F.lit(",".join(values))) > 0
+
+
 def _any(c: Column, patterns: Sequence[str], prefix: str = "") -> Column:
     """One alternation instead of a chain of tests."""
     return c.rlike(ascii_words(prefix + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"))
@@ -199,7 +204,7 @@ def correct_ocr(c: Column, table: Sequence[tuple[str, str]] = OCR_CORRECTIONS) -
 def is_food(word: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[str] = FOOD_PHRASES) -> Column:
     """Whether a text as a whole is a food word or phrase."""
     w = F.lower(word)
-    return w.isin(*food) | w.rlike("(?U)^(?:" + "|".join(phrases) + r")\z")
+    return among(w, food) | w.rlike("(?U)^(?:" + "|".join(phrases) + r")\z")
 
 
 def food_count(c: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[str] = FOOD_PHRASES) -> Column:
@@ -209,7 +214,7 @@ def food_count(c: Column, food: Sequence[str] = FOOD_WORDS, phrases: Sequence[st
 @bound
 def is_section(text: Column, titles: Sequence[str] = CATEGORY_TITLES) -> Column:
     """Whether a lower-case text is a section title (also with one final s less)."""
-    return text.isin(*titles) | F.regexp_replace(text, r"s\z", "").isin(*titles)
+    return among(text, titles) | among(F.regexp_replace(text, r"s\z", ""), titles)
 
 
 @bound
@@ -232,7 +237,7 @@ def is_header(line: Column, has_price: Column, centred: Column | None = None) ->
 
 def _header(t: Column, w: Column, has_price: Column, centred: Column) -> Column:
     low = F.lower(t)
-    ends = F.lower(F.get(w, F.lit(0))).isin(*CATEGORY_TITLES) | F.lower(F.get(w, F.size(w) - 1)).isin(*CATEGORY_TITLES)
+    ends = among(F.lower(F.get(w, F.lit(0))), CATEGORY_TITLES) | among(F.lower(F.get(w, F.size(w) - 1)), CATEGORY_TITLES)
     bare = ~F.exists(w, lambda x: is_food(x))
     looks = ends | ((F.size(w) <= 3) & (t == F.upper(t)) & bare) | (centred & (F.size(w) <= 4) & ~low.rlike(r"\d") & t.rlike("^[A-Z]") & bare)
     return ~has_price & F.length(t).between(2, 80) & (is_section(low) | (~low.rlike(ascii_words(r"[$€£¥]\s*\d|\b\d+[.,]\d")) & looks))
@@ -242,7 +247,7 @@ def _header(t: Column, w: Column, has_price: Column, centred: Column) -> Column:
 def header_category(line: Column) -> Column:
     """The first word of a title of three to five section words, else the title."""
     w = words(line)
-    return F.when(F.size(w).between(3, 5) & F.forall(w, lambda x: F.lower(x).isin(*CATEGORY_TITLES)), F.get(w, F.lit(0))).otherwise(strip(line))
+    return F.when(F.size(w).between(3, 5) & F.forall(w, lambda x: among(F.lower(x), CATEGORY_TITLES)), F.get(w, F.lit(0))).otherwise(strip(line))
 
 
 @bound
@@ -350,7 +355,7 @@ def fenced_json(c: Column, schema: str, most: int = 300) -> Column:
     """struct(value, text): the JSON in a Markdown code fence or plain; text is the start of what cannot be parsed."""
     body = strip(F.regexp_replace(c, r"(?i)```(?:json)?", ""))
     value = F.from_json(body, schema)
-    ok = F.is_variant_null(F.try_parse_json(body)).isNotNull()
+    ok = F.try_parse_json(body).isNotNull()
     return F.struct(F.when(ok, value).alias("value"), F.when(~F.coalesce(ok, F.lit(False)), F.substring(c, 1, most)).alias("text"))
 
 

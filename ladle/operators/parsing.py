@@ -216,7 +216,7 @@ def _column_features(lines: DataFrame, doc: str) -> DataFrame:
     c = F.col("text")
     bare = t.clean_name(t.strip(F.regexp_replace(c, r"\s*[$€£¥]?\s*\d+(?:[.,]\d{1,2})?[\s.]*\z", "")))
     clean = t.clean_name(c)
-    caps_word = F.get(F.filter(t.words(c), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & F.lower(w).isin(*t.CATEGORY_TITLES)), F.lit(0))
+    caps_word = F.get(F.filter(t.words(c), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & t.among(F.lower(w), t.CATEGORY_TITLES)), F.lit(0))
     share = F.avg(F.col("priced").cast("double")).over(Window.partitionBy(doc, "column"))
     length = F.avg(F.length("text")).over(Window.partitionBy(doc, "column"))
     rows = lines.withColumn("layout", F.when(share < 0.15, "fastfood").when(length > 45, "descriptive").when(length < 25, "compact").otherwise("unknown"))
