@@ -5,7 +5,8 @@ do the same stage by stage. Every stage keeps the rows that it does not reject a
 columns of documents).
 
 Defined results: rows of a null doc_id are treated as others. Null and empty texts pass the first three stages unless the
-classifier rejects them (it scores all of them alike); the mixing stage, which counts in words, drops texts without words.
+classifier rejects them (it scores all of them alike); the mixing stage, which counts in words, drops texts without words,
+and of a source whose target is less than its size the documents beyond the target.
 Rows that repeat doc_id and text count as copies: one stays. Columns beyond those of documents are dropped. An empty table
 gives an empty table at every stage.
 """
@@ -57,7 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix uses it, whole or in part: 0 (those without words), 1 or 2 rows, range-sorted by position."""
+    """Each document as often as the mix uses it, whole or in part: 0 (without words, or beyond its source's target), 1 or 2 rows, range-sorted by position."""
     return op5_mixing.mixed_documents(docs.select(*COLUMNS))
 
 
