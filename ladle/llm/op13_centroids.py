@@ -41,7 +41,7 @@ def first_centroids(vectors: DataFrame, k: int = CLUSTERS, seed: int = SEED) ->
     """The vectors of the k smallest hashes of seed and id."""
     by = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit("null"))), 256)
     rows = vectors.select(by.alias("by"), "v").orderBy("by", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1 if rows else DIMENSIONS)
 
 
 def _matrix(batch: pa.RecordBatch, dimensions: int) -> np.ndarray:
