@@ -28,6 +28,7 @@ TRAILING_PRICE = r"(?:^|\s)([$€£¥RsSs.]+\s*)?(\d{1,3}(?:[.,]\d{1,2})?|\d{1,3
 LEADING_PRICE = r"^[$€£¥Rs.]+\s*(\d{1,3}(?:[.,]\d{1,2})?)\s+"
 WORD_PRICE = r"(?i)^[$€£¥Rs.]+\s*(\d{1,3}(?:[.,]\d{1,2})?)\z"
 SIZE_VARIANT = r"(Small|Regular|Single|Large|Double|Medium)\s+[$€£¥]?\s*\d"
+SIZES_PRICED = r"(Small|Regular|Single|Large|Double|Medium|Kids?)\s+[$€£¥]?\s*\d"
 MOST_PRICE = 2000
 
 # Lines that are no dishes (tested on the line in lower case).

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ladle.functions import text as t
+from ladle.operators import folds
+
 # Limits and times.
 MAX_RETRIES, BACKOFF_MS, CONCURRENT_JOBS = 3, 5_000, 3
 RATE_WINDOW_MS, RATE_LIMIT = 60_000, 10
@@ -97,62 +97,25 @@ def client_ip(forwarded: Column, real: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.get(F.split(forwarded, ","), F.lit(0))), F.lit("")), F.nullif(F.trim(real), F.lit("")), F.lit("unknown"))
 
 
-def rate_step(state: tuple[float, int] | None, ms: float, window: float, most: int) -> tuple[tuple[float, int], bool]:
-    """Window end and count after a request at ms, and whether it is allowed. The first request opens a window."""
-    if state is None or ms > state[0]:
-        return (ms + window, 1), True
-    return (state[0], state[1] + 1), state[1] + 1 <= most
-
-
-def circuit_step(state: tuple[int, float], ms: float, ok: bool, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> tuple[tuple[int, float], str]:
-    """Failures in a row and end of the open time after a call, and what the call met: closed, half-open or open (not made)."""
-    failures, until = state
-    if ms < until:
-        return state, "open"
-    met = "half-open" if failures >= limit else "closed"
-    if ok:
-        return (0, 0.0), met
-    failures += 1
-    return (failures, ms + open_ms if failures >= limit else 0.0), met
-
-
-def _fold(rows: DataFrame, key: str, order: str, start, step, column: str) -> DataFrame:
-    """key, order and what step gives for each row, over a key's rows by ms and order.
-
-    Rows stream through sorted partitions with the state of one key at a time, so memory does not grow with a key.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state = object(), start
-        for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                k = getattr(row, key)
-                if k != held:
-                    held, state = k, start
-                state, value = step(state, row)
-                out.append(value)
-            yield pd.DataFrame({key: pdf[key], order: pdf[order], column.split()[0]: out})
-
-    dealt = rows.repartition(key).sortWithinPartitions(key, "ms", order)
-    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {column}")
-
-
 def _ms(ts: str) -> Column:
     return (F.unix_micros(F.col(ts).cast("timestamp")) / 1000).alias("ms")
 
 
+def _timed(rows: DataFrame, key: str, ts: str, *columns: Column | str) -> DataFrame:
+    """key, columns and ms of the rows that have a key and a time."""
+    return rows.select(key, *columns, _ms(ts)).filter(F.col(key).isNotNull() & F.col("ms").isNotNull())
+
+
 def rate_limit(requests: DataFrame, key: str, ts: str, order: str, window_ms: float = RATE_WINDOW_MS, most: int = RATE_LIMIT) -> DataFrame:
-    """key, order, allowed of each request (of a null key: none). Windows begin with a request, so requests are taken in order."""
-    rows = requests.filter(F.col(key).isNotNull()).select(key, order, _ms(ts))
-    return _fold(rows, key, order, None, lambda state, row: rate_step(state, row.ms, window_ms, most), "allowed boolean")
+    """key, order, allowed of each request (of a null key or time: none). Windows begin with a request, so requests are taken in order."""
+    rows = folds.dealt_in_order(_timed(requests, key, ts, order), key, ["ms", order])
+    return folds.fold(rows, key, [order], folds.Windows(window_ms)).select(key, order, (F.col("place") < most).alias("allowed"))
 
 
 def circuit_breaker(calls: DataFrame, key: str, ts: str, order: str, ok: str, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
     """key, order, met of each call: what state the call met."""
-    rows = calls.filter(F.col(key).isNotNull()).select(key, order, _ms(ts), F.col(ok).alias("ok"))
-    return _fold(rows, key, order, (0, 0.0), lambda state, row: circuit_step(state, row.ms, bool(row.ok), limit, open_ms), "met string")
+    rows = folds.dealt_in_order(_timed(calls, key, ts, order, F.coalesce(F.col(ok), F.lit(False)).alias("ok")), key, ["ms", order])
+    return folds.fold(rows, key, [order], folds.Circuit(limit, open_ms))
 
 
 def first_success(calls: DataFrame, request: str, priority: str, ok: str) -> DataFrame:
@@ -160,12 +123,30 @@ def first_success(calls: DataFrame, request: str, priority: str, ok: str) -> Dat
     return calls.filter(F.col(ok)).groupBy(request).agg(F.min(priority).alias(priority))
 
 
-def provider_chain(calls: DataFrame, request: str, priority: str, model: str, ts: str, order: str, ok: str, window_ms: float = RATE_WINDOW_MS, most: int = RATE_LIMIT, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
-    """The provider of the highest priority that answered each request, without those whose circuit was open at the call and
-    those over their limit."""
-    met = circuit_breaker(calls, model, ts, order, ok, limit, open_ms).filter("met != 'open'").select(order)
-    allowed = rate_limit(calls, model, ts, order, window_ms, most).filter("allowed").select(order)
-    return first_success(calls.join(met, order, "left_semi").join(allowed, order, "left_semi"), request, priority, ok)
+# What a limit, and a model that does not exist, answer.
+LIMITED, MISSING = r"(?i)\b429\b|rate limit|quota", "404"
+
+
+def provider_chain(calls: DataFrame, process: str, request: str, priority: str, model: str, access: str, ts: str, error: str, limit: int = CIRCUIT_FAILURES, open_ms: float = CIRCUIT_MS) -> DataFrame:
+    """process, request, priority, model, outcome of each call: what becomes of it if providers are tried by priority until one answers.
+
+    calls: a row for each provider that a request could use, with what it would answer (null error: an answer). Outcomes: answered,
+    failed, open (the model's circuit), limited (a provider with the same access key met a limit in this request), missing (the
+    model did not exist in this request), unused (the request has its answer). Circuits are a process's own.
+    """
+    e = F.col(error)
+    columns = [F.col(request).alias("request"), F.col(priority).alias("priority"), F.col(model).alias("model"), F.col(access).alias("access"), e.isNull().alias("ok")]
+    says = lambda test: F.coalesce(test, F.lit(False))
+    columns += [says(t.is_transient(e)).alias("passing"), says(e.rlike(LIMITED)).alias("limited"), says(F.contains(e, F.lit(MISSING))).alias("missing")]
+    rows = folds.dealt_in_order(_timed(calls.withColumnRenamed(process, "process"), "process", ts, *columns), "process", ["ms", "request"], ["priority"])
+    out = folds.fold(rows, "process", ["request", "priority", "model"], folds.Chain(limit, open_ms))
+    return out.select(F.col("process").alias(process), F.col("request").alias(request), F.col("priority").alias(priority), F.col("model").alias(model), "outcome")
+
+
+def chain_answers(chain: DataFrame, request: str, priority: str, model: str) -> DataFrame:
+    """request, model (that answered; null: all failed) and calls (made) of each request of provider_chain()."""
+    made = F.col("outcome").isin("answered", "failed")
+    return chain.groupBy(request).agg(F.max(F.when(F.col("outcome") == "answered", F.col(model))).alias(model), F.count_if(made).alias("calls"))
 
 
 def attempts_delay(attempt: Column, base_ms: int = 500) -> Column:
@@ -180,28 +161,24 @@ def debounce(events: DataFrame, key: str, ts: str, value: str, gap: str) -> Data
 
 def cached_hits(lookups: DataFrame, key: str, ts: str, order: str, ttl_s: int) -> DataFrame:
     """key, order, hit: whether the value that an earlier lookup of the key stored is still alive (each miss stores one)."""
+    rows = folds.dealt_in_order(_timed(lookups, key, ts, order), key, ["ms", order])
+    return folds.fold(rows, key, [order], folds.Windows(ttl_s * 1000, strict=False)).select(key, order, (F.col("place") > 0).alias("hit"))
 
-    def step(until: float, row) -> tuple[float, bool]:
-        return (until, True) if row.ms < until else (row.ms + ttl_s * 1000, False)
 
-    return _fold(lookups.filter(F.col(key).isNotNull()).select(key, order, _ms(ts)), key, order, -1.0, step, "hit boolean")
+# Lives of what was found and of what was not, and the number of entries.
+FOUND_S, NOT_FOUND_S, CACHE_KEYS = 7 * 86_400, 600, 500
 
 
-def bounded_cache(lookups: DataFrame, shard: str, key: str, ts: str, order: str, ttl_s: int = 300, most: int = 100) -> DataFrame:
-    """shard, order, hit of each lookup in caches (one a shard) of at most `most` keys: the key stored first goes first."""
+def bounded_cache(lookups: DataFrame, shard: str, key: str, ts: str, order: str, ttl_s: int = 300, most: int = 100, found: str | None = None, miss_ttl_s: int | None = None) -> DataFrame:
+    """shard, order, hit of each lookup in caches (one a shard) of at most `most` keys: the key stored first goes first.
 
-    def step(held: dict | None, row) -> tuple[dict, bool]:
-        held = dict(held or {})
-        if row.key in held and row.ms - held[row.key] < ttl_s * 1000:
-            return held, True
-        held.pop(row.key, None)
-        if len(held) >= most:
-            held.pop(next(iter(held)))
-        held[row.key] = row.ms
-        return held, False
-
-    rows = lookups.filter(F.col(shard).isNotNull()).select(shard, order, F.col(key).cast("string").alias("key"), _ms(ts))
-    return _fold(rows, shard, order, None, step, "hit boolean")
+    found: what the lookup would find if it were made; its absence lives miss_ttl_s (ttl_s if none is given). A lookup of a
+    stored key whose time has ended removes it and stores it anew; a full cache makes room before a key is stored.
+    """
+    known = F.lit(True) if found is None else F.coalesce(F.col(found), F.lit(False))
+    rows = _timed(lookups.withColumn("_key", F.col(key).cast("string")), shard, ts, order, F.col("_key").alias("key"), known.alias("found"))
+    lives = (ttl_s if miss_ttl_s is None else miss_ttl_s) * 1000, ttl_s * 1000
+    return folds.fold(folds.dealt_in_order(rows, shard, ["ms", order]), shard, [order], folds.Cache(lives, most))
 
 
 # Progress of a scan's steps.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ladle.functions import text as t
 from ladle.operators import quality
+from ladle.session import written
 
 ITEM = "ix INT, name STRING, description STRING, price DOUBLE, category STRING, confidence DOUBLE"
 LINE_ONLY_PRICE = r"^[$€£¥]?\s*\d+(?:[.,]\d{1,2})?[\s.]*\z"
@@ -278,15 +279,6 @@ def paragraph_parse(words: DataFrame, doc: str = "doc_id", paragraph: str = "par
     return parse_columns(lines, doc)
 
 
-def route_readings(readings: DataFrame) -> DataFrame:
-    """Readings with `parser`: paragraph, smart, sequential or basic, by the words and positions that they hold."""
-    good = F.filter(F.coalesce("words", F.array().cast(readings.schema["words"].dataType)), lambda w: F.coalesce(w["confidence"], F.lit(0.0)) >= 25)
-    placed = F.exists(good, lambda w: (w["x"] != 0) | (w["y"] != 0)) & (F.size(F.filter(good, lambda w: w["confidence"] > 50)) >= 3)
-    blocks = F.size(F.split(F.col("text"), r"\n\s*\n")) >= 2
-    paragraphs = (F.col("n_paragraphs") >= 2) & F.col("paragraph_words")
-    return readings.withColumn("parser", F.when(paragraphs, "paragraph").when((F.size(good) > 3) & placed, "smart").when((F.size(good) > 3) | blocks, "sequential").otherwise("basic"))
-
-
 def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Dishes by additive line scores: sections give the category, up to two describing lines or a price line may follow a dish."""
     from ladle.operators.lines import score_line
@@ -329,14 +321,89 @@ def run_local(docs: DataFrame, doc: str, text: str, most: int = 50) -> DataFrame
 
     doc tells documents apart; give each row a value of its own.
     """
-    from ladle.operators.lines import basic_extract, clean_text, split_items
+    from ladle.operators.lines import basic_extract, clean_text
+
+    return checked(basic_extract(clean_text(docs, doc, F.col(text)), doc, F.col("text"), most), doc, most)
+
+
+#: The least confidence of a word, and what positions must bear to be trusted: words above a confidence.
+LEAST_CONFIDENCE, SURE_CONFIDENCE, SURE_WORDS = 25, 50, 3
+WORD = "array<struct<text:string,x:double,y:double,w:double,h:double,confidence:double>>"
+
+
+def _boxes(words):
+    """Words of a reading (text, bbox, confidence) as placed words."""
+    edge = lambda w, k: F.coalesce(w["bbox"][k].cast("double"), F.lit(0.0))
+    return F.transform(
+        F.coalesce(words, F.array().cast(words_type := "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>")).cast(words_type),
+        lambda w: F.struct(F.coalesce(w["text"], F.lit("")).alias("text"), edge(w, "x0").alias("x"), edge(w, "y0").alias("y"), (edge(w, "x1") - edge(w, "x0")).alias("w"), (edge(w, "y1") - edge(w, "y0")).alias("h"), F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence")),
+    )
+
+
+def routed(readings: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """doc, clean (the text's lines that stay), cells (arrays of placed words) and parser of each reading.
+
+    readings: doc, text, words and, as their reader gives them, paragraphs or blocks of paragraphs. parser: paragraph (two or
+    more paragraphs with words, of which one has three), smart (more than three words of LEAST_CONFIDENCE whose places and
+    confidence can be trusted), sequential (so many words without that, or a text of several blocks) or basic.
+    """
+    from ladle.operators.lines import cleaned
+
+    nested = F.flatten(F.transform("blocks", lambda b: F.coalesce(b["paragraphs"], F.array())))
+    filled = lambda paragraphs: F.filter(F.coalesce(paragraphs, F.array()), lambda p: (t.strip(F.coalesce(p["text"], F.lit(""))) != "") & (F.size(F.coalesce(p["words"], F.array())) > 0))
+    direct = filled(F.col("paragraphs"))
+    rows = readings.select(
+        doc,
+        cleaned(F.col(text))["text"].alias("clean"),
+        F.filter(_boxes(F.col("words")), lambda w: w["confidence"] >= LEAST_CONFIDENCE).alias("_words"),
+        F.transform(F.when(F.size(direct) > 0, direct).otherwise(filled(nested)), lambda p: _boxes(p["words"])).alias("_paragraphs"),
+    )
+    placed = F.exists("_words", lambda w: (w["x"] != 0) | (w["y"] != 0))
+    sure = F.size(F.filter("_words", lambda w: w["confidence"] > SURE_CONFIDENCE)) >= SURE_WORDS
+    many = F.size("_words") > 3
+    parser = F.when((F.size("_paragraphs") >= 2) & F.exists("_paragraphs", lambda p: F.size(p) >= 3), "paragraph").when(many & placed & sure, "smart")
+    parser = parser.when(many | (F.size(F.split("clean", r"\n\s*\n")) >= 2), "sequential").otherwise("basic")
+    cells = F.when(F.col("parser") == "paragraph", F.col("_paragraphs")).when(F.col("parser") == "smart", F.array("_words"))
+    return rows.withColumn("parser", parser).select(doc, "clean", cells.alias("cells"), "parser")
+
+
+def placed_dishes(rows: DataFrame, doc: str) -> DataFrame:
+    """Dishes of the cells of routed() readings: a paragraph is a column of its own, the words of a whole page may make two."""
+    from ladle.operators.lines import detect_columns, text_lines
+
+    words = rows.select(doc, "parser", F.posexplode("cells").alias("cell", "ws")).select(F.struct(F.col(doc).alias("doc"), "cell", (F.col("parser") == "paragraph").alias("own")).alias("_cell"), F.inline("ws"))
+    lines = detect_columns(text_lines(words, "_cell"), "_cell")
+    lines = lines.withColumns({doc: F.col("_cell.doc"), "column": F.when(F.col("_cell.own"), F.col("_cell.cell")).otherwise(F.col("column"))}).drop("_cell")
+    return parse_columns(lines, doc)
 
-    items = basic_extract(clean_text(docs, doc, F.col(text)), doc, F.col("text"), most).withColumn("_pos", F.col("ix").cast("long")).drop("ix")
+
+def checked(items: DataFrame, doc: str, most: int = 50) -> DataFrame:
+    """Items (doc, ix, name, price, ...) with prices far off made null, similar names merged and fused lines split: at most `most` of each doc, by _pos and part."""
+    from ladle.operators.lines import split_items
+
+    items = items.withColumn("_pos", F.col("ix").cast("long")).drop("ix")
     items = split_items(quality.greedy_dedup(quality.three_sigma_null(items, [doc], "price"), doc))
     place = Window.partitionBy(doc).orderBy("_pos", "part")
     return items.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= most).drop("_rn")
 
 
+def parse_readings(readings: DataFrame, doc: str, text: str = "text", most: int = 50) -> DataFrame:
+    """Readings in, dishes out, each by the parser that its words and text allow: doc, parser, _pos, part, name, description,
+    price, category, confidence.
+
+    readings are read once: routed rows are written in a folder for each parser, and each parser reads its own. Null texts and words are
+    empty. doc tells readings apart; give each row a value of its own.
+    """
+    from ladle.operators.lines import basic_extract
+
+    rows = written("readings", routed(readings, doc, text), by=("parser",))
+    of = lambda *parsers: rows.filter(F.col("parser").isin(*parsers))
+    found = (placed_dishes(of("paragraph", "smart"), doc), sequential_parse(of("sequential"), doc, "clean"), basic_extract(of("basic"), doc, F.col("clean")))
+    # dishes are written before they are checked, as the rules of all parsers make too large a plan together
+    items = written("dishes", *(f.select(doc, *(c.split()[0] for c in ITEM.split(", "))) for f in found))
+    return checked(items, doc, most).join(rows.select(doc, "parser"), doc)
+
+
 def register_parse_menu(spark) -> None:
     """SQL: SELECT * FROM parse_menu(text) gives ix, name and price of each line that ends with a price; lighter than the extractors."""
     from pyspark.sql.functions import udtf

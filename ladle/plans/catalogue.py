@@ -447,10 +447,45 @@ def find_one_and_update(spark, d):
     return twice.select("c_custkey", "c_name")
 
 
-@query()
+# Providers by priority: model and access key. Two of them share a model, two share a key.
+_PROVIDERS = ((1, 1, "a"), (2, 2, "a"), (3, 3, "b"), (4, 2, "c"), (5, 4, "d"))
+_ANSWER = """CASE (event_id * 7 + priority * 5 + user_id) % 12 WHEN 0 THEN 'returned 429: slow down' WHEN 1 THEN 'returned 404: no such model' WHEN 2 THEN 'returned 400: bad request'
+  WHEN 3 THEN 'The operation was aborted due to timeout' WHEN 4 THEN 'returned 503: overloaded' WHEN 5 THEN 'returned 503: busy' WHEN 6 THEN 'read ECONNRESET' WHEN 7 THEN 'quota is used up' END"""
+_CHAIN_MS = 2 * 86_400_000
+_CHAIN = f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, priority, model, access, message, epoch_us(ts) / 1000.0 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id, priority) AS k,
+         coalesce({_rx("message", t.TRANSIENT)}, false) AS passing, coalesce(regexp_matches(message, '\\b429\\b|rate limit|quota'), false) AS limited, coalesce(contains(message, '404'), false) AS missing
+  FROM (SELECT *, {_ANSWER} AS message FROM events, (VALUES {', '.join(map(str, _PROVIDERS))}) p(priority, model, access)) WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (
+  SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 0 AS priority, 0 AS model, '' AS outcome, [0, 0, 0, 0] AS failures, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS until, []::VARCHAR[] AS spent, []::INTEGER[] AS gone, false AS answered
+  FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, priority, model, outcome,
+    list_transform(failures, lambda f, i: CASE WHEN i <> model THEN f WHEN outcome = 'answered' THEN 0 WHEN outcome = 'failed' AND passing THEN f + 1 ELSE f END),
+    list_transform(until, lambda u, i: CASE WHEN i <> model THEN u WHEN outcome = 'answered' THEN 0.0 WHEN outcome = 'failed' AND passing AND failures[i] + 1 >= 3 THEN ms + {_CHAIN_MS} ELSE u END),
+    CASE WHEN outcome = 'failed' AND limited THEN list_append(spent, access) ELSE spent END, CASE WHEN outcome = 'failed' AND missing AND NOT limited THEN list_append(gone, model) ELSE gone END,
+    answered OR outcome = 'answered'
+  FROM (SELECT *, CASE WHEN answered THEN 'unused' WHEN ms < until[model] THEN 'open' WHEN list_contains(spent, access) THEN 'limited' WHEN list_contains(gone, model) THEN 'missing' WHEN message IS NULL THEN 'answered' ELSE 'failed' END AS outcome
+        FROM (SELECT e.*, r.failures, r.until, CASE WHEN e.priority = 1 THEN [] ELSE r.spent END AS spent, CASE WHEN e.priority = 1 THEN [] ELSE r.gone END AS gone, e.priority <> 1 AND r.answered AS answered
+              FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))
+"""
+
+
+def _chain(spark, d) -> DataFrame:
+    providers = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(m).alias("model"), F.lit(a).alias("access")) for p, m, a in _PROVIDERS))
+    calls = table(spark, d, "events").select("event_id", "user_id", "ts", F.inline(providers)).withColumn("message", F.expr(_ANSWER))
+    return jobs.provider_chain(calls, "user_id", "event_id", "priority", "model", "access", "ts", "message", 3, _CHAIN_MS)
+
+
+@query(f"{_CHAIN} SELECT user_id, event_id, priority, model, outcome FROM r WHERE k > 0")
 def provider_chain(spark, d):
-    e = table(spark, d, "events").withColumn("ok", F.coalesce(F.col("value") < 50, F.lit(False)))
-    return jobs.provider_chain(e, "user_id", "event_id", "event_type", "ts", "event_id", "ok", 3_600_000, 10, 3, 600_000)
+    return _chain(spark, d)
+
+
+@query(f"{_CHAIN} SELECT event_id, max(CASE WHEN outcome = 'answered' THEN model END) AS model, count(*) FILTER (WHERE outcome IN ('answered', 'failed')) AS calls FROM r WHERE k > 0 GROUP BY event_id")
+def chain_answers(spark, d):
+    return jobs.chain_answers(_chain(spark, d), "event_id", "priority", "model")
 
 
 @query()
@@ -484,6 +519,22 @@ def smart_parse(spark, d):
     return parsing.smart_parse(_placed_words(spark, d))
 
 
+@query()
+def readings_dishes(spark, d):
+    # documents as readings of four kinds: in paragraphs, with places, with words alone, and as a text alone
+    kind, told = F.col("doc_id") % 4, "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>"
+    lines_ = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: t.strip(x) != "")
+    box = lambda w, k, y: F.struct(w.alias("text"), F.struct((k * 60.0).alias("x0"), y.alias("y0"), (k * 60.0 + 50).alias("x1"), (y + 12).alias("y1")).alias("bbox"), F.lit(90.0).alias("confidence"))
+    paragraph = lambda x, i: F.struct(x.alias("text"), F.transform(t.words(x), lambda w, k: box(w, k, i * 30.0)).alias("words"))
+    words = F.transform(lines_words(), lambda w, k: box(w, k % 8, F.floor(k / 8) * 30.0))
+    bare = F.transform(lines_words(), lambda w: F.struct(w.alias("text"), F.lit(None).alias("bbox"), F.lit(60.0).alias("confidence")))
+    readings = table(spark, d, "documents").select(
+        "doc_id", "text", F.when(kind == 1, words.cast(told)).when(kind == 2, bare.cast(told)).alias("words"),
+        F.when(kind == 0, F.transform(lines_, paragraph)).cast(f"array<struct<text:string,words:{told}>>").alias("paragraphs"), F.lit(None).cast(f"array<struct<paragraphs:array<struct<text:string,words:{told}>>>>").alias("blocks"),
+    )
+    return parsing.parse_readings(readings, "doc_id").select("doc_id", "parser", "_pos", "part", "name", "price", "category")
+
+
 @query()
 def text_lines(spark, d):
     return lines.text_lines(_placed_words(spark, d)).select("doc_id", "line", "segment", "text", "price", "centred", "header")

@@ -9,7 +9,6 @@ from ladle.operators import collection as c
 from ladle.operators import jobs, mutate, quality
 from ladle.schemas import COLLECTIONS
 from ladle.sources import io
-from ladle.streaming import stateful
 
 AT = F.lit("2026-01-02 00:00:00").cast("timestamp")
 TABLE = "_pos long, _id string, s string, n int, created_at timestamp, updated_at timestamp"
@@ -94,20 +93,6 @@ def test_images_are_bounded(spark, tmp_path):
     assert io.read_images(spark, str(tmp_path), 50).count() == 1
 
 
-def test_rate_limit_opens_windows_with_requests(spark):
-    base = dt.datetime(2026, 1, 1)
-    times = [k * 5 for k in range(11)] + [60.001]
-    df = spark.createDataFrame([("ip", k, base + dt.timedelta(seconds=s)) for k, s in enumerate(times)], "ip string, k int, ts timestamp")
-    assert [r.allowed for r in jobs.rate_limit(df, "ip", "ts", "k").orderBy("k").collect()] == [True] * 10 + [False, True]
-
-
-def test_circuit_opens_and_tries_again(spark):
-    base = dt.datetime(2026, 1, 1)
-    calls = [(0, False), (1, False), (2, False), (30, True), (62.5, True), (63, False), (64, True)]
-    df = spark.createDataFrame([("m", k, base + dt.timedelta(seconds=s), ok) for k, (s, ok) in enumerate(calls)], "m string, k int, ts timestamp, ok boolean")
-    assert [r.met for r in jobs.circuit_breaker(df, "m", "ts", "k", "ok").orderBy("k").collect()] == ["closed", "closed", "closed", "open", "half-open", "closed", "closed"]
-
-
 def test_backoff_and_dead_letters(spark):
     df = spark.createDataFrame([(str(r), "s", "processing", r, 3, dt.datetime(2026, 1, 1)) for r in range(4)], "_id string, scan_id string, status string, retries int, max_retries int, created_at timestamp")
     after, dead = jobs.fail(df, AT, F.lit("e" * 3000), F.lit("s"))
@@ -116,22 +101,6 @@ def test_backoff_and_dead_letters(spark):
     assert [(r.job_id, len(r.error)) for r in dead.collect()] == [("3", 2000)] and {r.status for r in after.collect()} == {"queued", "failed"}
 
 
-def test_streams_agree_with_batches(spark, tmp_path):
-    base = dt.datetime(2026, 1, 1)
-    batch = spark.createDataFrame([(f"u{k % 3}", k, base + dt.timedelta(seconds=7 * k), k % 4 == 0) for k in range(60)], "u string, k int, ts timestamp, ok boolean")
-    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    for name, make in {
-        "rate": lambda s: stateful.rate_limit(s, "u", "ts", "k", 60_000, 3),
-        "circuit": lambda s: stateful.circuit_breaker(s, "u", "ts", "k", "ok"),
-    }.items():
-        stateful.to_table(make(stream), str(tmp_path / name), str(tmp_path / f"{name}-c")).awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "rate"))
-    assert rows(got, "k", "allowed") == rows(jobs.rate_limit(batch, "u", "ts", "k", 60_000, 3), "k", "allowed")
-    got = spark.read.parquet(str(tmp_path / "circuit"))
-    assert rows(got, "k", "met") == rows(jobs.circuit_breaker(batch, "u", "ts", "k", "ok"), "k", "met")
-
-
 def test_thresholds(spark):
     d = [("none", 0.5, None)] * 3 + [("mix", x, 1.0 if k < 8 else None) for k, x in enumerate([0.6] * 10)] + [("few", 0.2 + k / 100, None) for k in range(10)]
     got = {r.doc: r.threshold for r in quality.adaptive_threshold(spark.createDataFrame(d, "doc string, confidence double, price double"), "doc").collect()}
@@ -149,12 +118,6 @@ def test_greedy_dedup_keeps_the_shortest(spark):
     assert rows(quality.greedy_dedup(df, "doc"), "_pos", "name") == [(0, "a b c"), (2, "x y")]
 
 
-def test_cache_hits_end_with_their_time(spark):
-    base = dt.datetime(2026, 1, 1)
-    df = spark.createDataFrame([("k", k, base + dt.timedelta(seconds=s)) for k, s in enumerate([0, 5, 10, 11, 21])], "key string, n int, ts timestamp")
-    assert [r.hit for r in jobs.cached_hits(df, "key", "ts", "n", 10).orderBy("n").collect()] == [False, True, False, True, False]
-
-
 def test_fuzzy_pairs_are_all_pairs_that_match(spark):
     import random
 

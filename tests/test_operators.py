@@ -88,15 +88,6 @@ def test_bounded_cache(spark):
     assert [got[i] for i in range(7)] == [False, False, True, False, False, False, False]
 
 
-def test_provider_chain(spark):
-    # m1 fails three times, so its circuit is open for the fourth request, which m2 answers
-    calls = [(1, 0, "m1", 0, False), (1, 1, "m2", 1, True), (2, 0, "m1", 2, False), (2, 1, "m2", 3, True), (3, 0, "m1", 4, False), (3, 1, "m2", 5, True), (4, 0, "m1", 6, True), (4, 1, "m2", 7, True), (5, 0, "m1", 100, True)]
-    df = spark.createDataFrame([(*x, i) for i, x in enumerate(calls)], "req int, pri int, model string, s int, ok boolean, i int").withColumn("ts", F.timestamp_seconds("s"))
-    got = jobs.provider_chain(df, "req", "pri", "model", "ts", "i", "ok", most=50)
-    assert rows(got, "req", "pri") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)]
-    assert rows(jobs.provider_chain(df, "req", "pri", "model", "ts", "i", "ok", most=1), "req") == [(1,), (5,)]
-
-
 def test_groups_by_height(spark):
     w = [(1, "a", 0, 10, 8, 0, 0), (1, "b", 9, 12, 8, 0, 0), (1, "c", 0, 40, 8, 0, 0), (1, "top", 0, 1, 0, 1, 0)]
     got = lines.group_by_height(spark.createDataFrame(w, "doc_id int, text string, x int, y int, h int, block int, line int"))
@@ -109,9 +100,6 @@ def test_readings(spark):
     para = lambda k, *x: ("text", [word(y, k) for y in x])
     df = spark.createDataFrame([(1, [para(0, "Soup"), ("  ", [word("gone", 1)])], None), (2, [], [([para(3, "Pie", "$4")],), (None,)])], schema)
     assert rows(lines.flatten_reading(df), "doc_id", "paragraph", "text", "h") == [(1, 0, "Soup", 8.0), (2, 0, "$4", 8.0), (2, 0, "Pie", 8.0)]
-    routes = [(1, 2, True, [("a", 1.0, 0.0, 90.0)], "x"), (2, 0, False, [("a", 1.0, 0.0, 90.0)] * 4, "x"), (3, 0, False, [("a", 0.0, 0.0, 90.0)] * 4, "x"), (4, 0, False, None, "a\n\nb"), (5, 0, False, [("a", 1.0, 1.0, 10.0)] * 9, "x")]
-    routed = parsing.route_readings(spark.createDataFrame(routes, "doc_id int, n_paragraphs int, paragraph_words boolean, words array<struct<text:string,x:double,y:double,confidence:double>>, text string"))
-    assert [r.parser for r in routed.orderBy("doc_id").collect()] == ["paragraph", "smart", "sequential", "sequential", "basic"]
     noisy = spark.createDataFrame([(1, float(k)) for k in (90, 80, 20, 70)] + [(2, 4.0), (2, 6.0)], "doc_id int, confidence double")
     assert rows(quality.filter_words(noisy), "doc_id", "confidence") == [(1, 70.0), (1, 80.0), (1, 90.0), (2, 4.0), (2, 6.0)]
     (cut,) = spark.range(1).select(lines.slice_line(F.lit("ab  c"), F.lit(10.0), F.lit(40.0)).alias("s")).first()
