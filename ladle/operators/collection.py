@@ -39,6 +39,11 @@ def count_documents(df: DataFrame, query: Mapping | None = None) -> DataFrame:
     return find(df, query).agg(F.count("*").alias("n"))
 
 
+def totals(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and total: the number of rows of each key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("total"))
+
+
 def page(df: DataFrame, query: Mapping | None, sort: str, limit: int = 50, offset: int = 0, tie: str = "_pos") -> DataFrame:
     """Latest first; limit is held to 1..200 and offset to 0 or more."""
     return find(df, query).orderBy(F.desc(sort), F.asc(tie)).offset(max(0, offset)).limit(min(200, max(1, limit)))
@@ -152,8 +157,9 @@ def missing(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame
     return df.join(other, df[left] == other[right], "left_anti")
 
 
-def daily_counts(df: DataFrame, ts: str, days: int = 7, until: Column | None = None) -> DataFrame:
-    """day, n for the last days up to `until` (default: the latest row's day), zero-filled."""
+def daily_counts(df: DataFrame, ts: str, days: int = 7, until: Column | None = None, most: int | None = None, order: str = "_pos") -> DataFrame:
+    """day, n for the last days up to `until` (default: the latest row's day), zero-filled; with most, of the first rows in insertion order only."""
+    df = find_all(df, most, order) if most is not None else df
     per = df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
     anchor = per.agg(F.max("day").alias("d")) if until is None else df.sparkSession.range(1).select(F.to_date(until).alias("d"))
     calendar = anchor.select(F.explode(F.sequence(F.date_sub("d", days - 1), F.col("d"), F.expr("interval 1 day"))).alias("day"))
@@ -199,6 +205,12 @@ def fill_forward(df: DataFrame, keys: Sequence[str], value: Column, order: str,
     return F.when(F.col(order) - at <= most, filled)
 
 
+def neighbours(keys: Sequence[str], value: Column, *order: str, before: int = 1, after: int = 1) -> dict[str, Column]:
+    """before and after: a value of the row that stands so many places before and after each row of its keys."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return {"before": F.lag(value, before).over(w), "after": F.lead(value, after).over(w)}
+
+
 def sessionise(keys: Sequence[str], order: Column, gap: Column, *ties: str) -> Column:
     """Number of the session of each row: a new one starts where order rises by more than gap."""
     w = Window.partitionBy(*keys).orderBy(order, *ties)

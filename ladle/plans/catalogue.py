@@ -86,7 +86,7 @@ def history_page(spark, d):
 
 @query("SELECT o_custkey, count(*) AS total FROM orders GROUP BY o_custkey")
 def total_count(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"))
+    return c.totals(table(spark, d, "orders"), "o_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey LIMIT 100 OFFSET 10")
@@ -148,8 +148,7 @@ _COLOURS = ("red", "green", "blue", "small", "large", "steel", "brass", "copper"
 
 @query(f"SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda w: w IN {_COLOURS})) AS hits FROM part")
 def dictionary_join(spark, d):
-    hits = F.size(F.filter(t.words(F.lower("p_name")), lambda w: w.isin(*_COLOURS)))
-    return table(spark, d, "part").select("p_partkey", hits.cast("long").alias("hits"))
+    return table(spark, d, "part").select("p_partkey", food.dictionary_hits(F.col("p_name"), _COLOURS).cast("long").alias("hits"))
 
 
 _TYPES = ("click", "view", "purchase", "login")
@@ -193,8 +192,8 @@ def fill_forward(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, lag(l_quantity) OVER w AS before, lead(l_quantity) OVER w AS after FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)")
 def lead_lag_merge(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lag("l_quantity").over(w).alias("before"), F.lead("l_quantity").over(w).alias("after"))
+    near = c.neighbours(["l_orderkey"], F.col("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return table(spark, d, "lineitem").withColumns(near).select("l_orderkey", "l_linenumber", "before", "after")
 
 
 @query("""
@@ -646,8 +645,30 @@ r AS (SELECT page_id, host, len, row_number() OVER (PARTITION BY host ORDER BY l
 SELECT host, page_id, rank FROM r WHERE rank <= 10""")
 def image_rank_topk(spark, d):
     p = table(spark, d, "pages").filter("url IS NOT NULL").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.length("url").alias("len"))
-    w = Window.partitionBy("host").orderBy(F.desc("len"), "page_id")
-    return p.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("host", "page_id", "rank")
+    return food.first_results(p, "host", F.desc("len"), "page_id", most=10).select("host", "page_id", F.col("rank").cast("long").alias("rank"))
+
+
+_SHOWN = "CASE page_id % 5 WHEN 0 THEN url || '/plate.JPG' WHEN 1 THEN 'https://images.unsplash.com/' || page_id WHEN 2 THEN 'https://cdn.upload.wikimedia.org/x/' || page_id WHEN 3 THEN 'https://notimages.pexels.com/x/' || page_id ELSE 'http://a.example/b.svg?v=' || page_id END"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {_SHOWN} AS u FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(u, '://([^/?#]*)', 1)) AS host, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host <> '' AND (list_contains({list(food.IMAGE_HOSTS)}, host) OR len(list_filter({list(food.IMAGE_HOSTS)}, lambda x: ends_with(host, '.' || x))) > 0 OR regexp_matches(path, '(?i)\.(jpg|jpeg|png|gif|webp|svg)$')) AS image FROM h""")
+def image_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", food.is_image_url(F.expr(_SHOWN)).alias("image"))
+
+
+@query(f"SELECT event_type AS search, event_id, rank::INTEGER AS rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= {food.PRODUCTS}")
+def first_results(spark, d):
+    return food.first_results(table(spark, d, "events").withColumnRenamed("event_type", "search"), "search", F.desc_nulls_last("value"), "event_id").select("search", "event_id", "rank")
+
+
+@query("""
+WITH f AS (SELECT * FROM events ORDER BY event_id LIMIT 500), p AS (SELECT ts::DATE AS day, count(*) AS n FROM f GROUP BY 1), m AS (SELECT max(day) AS d FROM p)
+SELECT day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(d - INTERVAL 6 DAY, d, INTERVAL 1 DAY))::DATE AS day FROM m) LEFT JOIN p USING (day)""")
+def daily_volume_first_500(spark, d):
+    return c.daily_counts(table(spark, d, "events"), "ts", most=500, order="event_id")
 
 
 _PICTURE = "url || CASE page_id % 6 WHEN 0 THEN '/grilled-salmon.jpg?w=1200&h=500' WHEN 1 THEN '/recipe/fresh_seafood.png?q=salmon' WHEN 2 THEN '/logo-brand-icon.svg' WHEN 3 THEN '/plating/dish.webp?width=900&height=1000' WHEN 4 THEN '/salmon-grill/dinner?w=400&h=180' ELSE '' END"
