@@ -68,11 +68,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[
 def _sized(docs: DataFrame) -> DataFrame:
     """docs with its documents' sizes, source keys (never null) and places in their sources' order."""
     source = F.col("source").cast("string")
-    return docs.withColumns(
+    # the text decides where there is no id, and between rows of one id
+    return docs.withColumn("_mix_t", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).withColumns(
         {
             "_mix_size": word_count(F.col("text").cast("string")),
             "_mix_key": F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)),
-            "_mix_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
+            "_mix_h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("_mix_t")).cast("binary")),
         }
     )
 
@@ -100,7 +101,7 @@ def _placed(rows: DataFrame, offsets: DataFrame, max_epochs: int) -> DataFrame:
     never broadcast.
     """
     placed = rows.join(offsets.hint("shuffle_hash"), ["_mix_key", "_mix_r"])
-    within = Window.partitionBy("_mix_key", "_mix_r").orderBy("_mix_h", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_mix_key", "_mix_r").orderBy("_mix_h", "doc_id", "_mix_size", "_mix_t").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_mix_c", F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
     demand, a = F.round("_mix_target").cast("long"), F.col("_mix_slope")
 
@@ -158,7 +159,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> ''))::BIGINT AS size
+  SELECT doc_id, source, md5(coalesce(text, '')) AS t, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> ''))::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS k, source_size * 2.0::DOUBLE AS cap FROM s),
@@ -171,7 +172,7 @@ t AS (
          least(cap, coalesce((SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, source IS NULL, source LIMIT 1) * w, cap)) AS target
   FROM l),
 p AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, t)), doc_id, size, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
   FROM d),
 u AS (
   SELECT doc_id, size, source_size, target, slope, c / target AS u,

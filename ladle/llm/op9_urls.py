@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Each rule names literal tokens that stand in every URL it matches. Their frequencies over all URLs are counted once;
-a rule is filed under its rarest token, a URL's tokens fetch candidate rules, and only those run their regular
-expression. The rule set is configuration, given as rules or as a table of them (`read_rules`); it is broadcast, and refused
+Tokens are runs of letters (and non-ASCII characters) and runs of digits. Each rule names literals whose tokens stand whole in
+every URL it matches (a rule without any is refused: it would have to run on every URL). Their frequencies over all URLs
+are counted once; a rule is filed under its rarest token, a URL's tokens fetch candidate rules, and only those run their
+regular expression. The rule set is configuration, given as rules or as a table of them (`read_rules`); it is broadcast, and refused
 above `MAX_RULES` rules or `MAX_RULE_BYTES` bytes of their texts.
 
 Defined results: a null URL or one without "://" has empty host and path, fits no host rule, and gets the pattern
@@ -26,7 +27,7 @@ from ladle.llm.common import Emitter, bound_batches, rows_of
 MAX_RULES, MAX_RULE_BYTES = 1_000_000, 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
-_TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_TOKEN = re.compile(r"[0-9]+|[^\x00-\x60\x7B-\x7F]+")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
@@ -35,8 +36,7 @@ _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 class Rule:
     """A rule on `on` ("site": lower-cased host + path; "url": the URL with A-Z lower-cased).
 
-    `literals`: tokens that stand whole in every match. A rule without them is tried on every URL.
-    Among rules on "site" that fit, the longest name wins; they go before rules on "url".
+    `literals`: words whose tokens stand whole in every match, at least one. Among rules on "site" that fit, the longest name wins; they go before rules on "url".
     """
 
     name: str
@@ -48,10 +48,15 @@ class Rule:
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits the host and its subdomains where the URL's path starts with `path`."""
-    whole = [t.group() for t in _TOKEN.finditer(path) if t.end() < len(path)]
+    whole = [t.group() for t in _TOKEN.finditer(path) if t.end() < len(path)]  # the last one may be the start of a longer token
     return Rule(host + path, verdict, rf"\A(?:[^/]*\.)?{re.escape(host)}(?=/|\Z){re.escape(path)}", tuple(t.translate(_ASCII_LOWER) for t in _TOKEN.findall(host) + whole), "site")
 
 
+def alternatives(name: str, verdict: str, before: str, words: Iterable[str], after: str) -> tuple[Rule, ...]:
+    """A rule for each of several words that may stand between two patterns, as each has literals of its own."""
+    return tuple(Rule(name, verdict, before + re.escape(w) + after, tuple(_TOKEN.findall(w))) for w in words)
+
+
 def word_rule(words: str, verdict: str) -> Rule:
     """Fits where the space-separated words stand one after another between separators, e.g. cheap-pills."""
     tokens = words.split(" ")
@@ -70,15 +75,15 @@ BASE_RULES = (
 #: sessions, searches, carts, calendars, feeds and downloads. Patterns keep to what both Python and RE2 know.
 PATTERN_RULES = (
     *(word_rule(w, "block") for w in ("casino", "casino win", "cheap pills", "ads track", "poker", "viagra", "porn", "xxx", "free money", "payday loan")),
-    Rule("spam farm", "block", r"://(?:[^/?#]*\.)?spam-?farms?[0-9]*\.", ("spam",)),
-    Rule("wp login", "block", r"/wp-(?:login|admin|signup)(?:\.php|/|\z)", ("wp",)),
-    Rule("session id", "block", r"[?&;](?:phpsessid|jsessionid|sid|sessionid)=[0-9a-z]{16,}", ()),
+    *alternatives("spam farm", "block", r"://(?:[^/?#]*\.)?", ("spamfarm", "spamfarms", "spam-farm", "spam-farms"), r"[0-9]*\."),
+    *alternatives("wp login", "block", r"/", ("wp-login", "wp-admin", "wp-signup"), r"(?:\.php|/|\z)"),
+    *alternatives("session id", "block", r"[?&;]", ("phpsessid", "jsessionid", "sid", "sessionid"), r"=[0-9a-z]{16,}"),
     Rule("site search", "block", r"[?&]search=[^&#]+", ("search",)),
     Rule("add to cart", "block", r"[?&](?:add-to-cart|cart)=[0-9]+", ("cart",)),
     Rule("calendar day", "block", r"/calendar/[0-9]{4}/(?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])(?:/|\z)", ("calendar",)),
-    Rule("feed", "block", r"/(?:feed|rss|atom)(?:\.xml)?/?\z", ()),
-    Rule("download", "block", r"\.(?:zip|exe|iso|dmg|rar|7z|tar\.gz)(?:[?#]|\z)", ()),
-    Rule("redirect", "block", r"[?&](?:redirect|goto|returnurl)=https?(?::|%3a)", ()),
+    *alternatives("feed", "block", r"/", ("feed", "rss", "atom"), r"(?:\.xml)?/?\z"),
+    *alternatives("download", "block", r"\.", ("zip", "exe", "iso", "dmg", "rar", "7z", "tar.gz"), r"(?:[?#]|\z)"),
+    *alternatives("redirect", "block", r"[?&]", ("redirect", "goto", "returnurl"), r"=https?(?::|%3a)"),
 )
 RULE_SCHEMA = "name string, verdict string, pattern string, literals array<string>, `on` string"
 
@@ -118,16 +123,20 @@ def token_frequencies(pages: DataFrame, tokens: set[str], url: str = "url") -> d
     return {r.token: r.n for r in rows}
 
 
-def index_rules(rules: tuple[Rule, ...], frequency: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
-    """Rules by their rarest literal (ties: the token that sorts first), and those that have none."""
+def tokens_of(rule: Rule) -> list[str]:
+    """The tokens that every match of a rule holds."""
+    found = [t for w in rule.literals for t in _TOKEN.findall(w.translate(_ASCII_LOWER))]
+    if not found:
+        raise ValueError(f"rule {rule.name} names no literal, so it would run on every URL")
+    return found
+
+
+def index_rules(rules: tuple[Rule, ...], frequency: dict[str, int]) -> dict[str, list[int]]:
+    """Rules by their rarest token (ties: the token that sorts first)."""
     by_token: dict[str, list[int]] = {}
-    always = []
     for i, r in enumerate(rules):
-        if r.literals:
-            by_token.setdefault(min(r.literals, key=lambda t: (frequency.get(t, 0), t)), []).append(i)
-        else:
-            always.append(i)
-    return by_token, always
+        by_token.setdefault(min(tokens_of(r), key=lambda t: (frequency.get(t, 0), t)), []).append(i)
+    return by_token
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -137,16 +146,16 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], key: str = "page_id",
         raise ValueError(f"{len(rules)} rules of {size} bytes; at most {MAX_RULES} of {MAX_RULE_BYTES} are broadcast")
     bound_batches(pages.sparkSession)
     pages = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
-    shared = pages.sparkSession.sparkContext.broadcast((rules, *index_rules(rules, token_frequencies(pages, {t for r in rules for t in r.literals}))))
+    shared = pages.sparkSession.sparkContext.broadcast((rules, index_rules(rules, token_frequencies(pages, {t for r in rules for t in tokens_of(r)}))))
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("pattern_rule", pa.string())])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, by_token, always = shared.value
+        rules, by_token = shared.value
         compiled: dict[int, re.Pattern] = {}
         out = Emitter(schema)
         for page, raw in rows_of(batches, "page_id", "url"):
             host, path, whole = _parts(raw)
-            candidates = set(always)
+            candidates: set[int] = set()
             for token in set(_TOKEN.findall(whole)):
                 candidates.update(by_token.get(token, ()))
             best: Rule | None = None

@@ -376,6 +376,20 @@ def test_mixing_on_odd_rows(spark):
     assert op5_mixing.mixed_documents(odd_documents(spark)).columns == odd_documents(spark).columns
 
 
+def test_mixing_of_rows_without_ids_is_spread_and_agrees_between_runs(spark):
+    rng = random.Random(14)
+    rows = [(None if rng.random() < 0.9 else k % 5, prose(rng, rng.choice([3, 7])), "en", "s", 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ranges = op5_mixing._ranged(op5_mixing._sized(docs), 64).groupBy("_mix_r").count().collect()
+    assert len(ranges) > 50 and max(r["count"] for r in ranges) < 60
+    runs = [Counter(map(tuple, op5_mixing.mixed_documents(docs.repartition(n, c)).collect())) for n, c in ((3, "text"), (11, "n_chars"))]
+    assert runs[0] == runs[1] and sum(runs[0].values()) < 1_200
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())  # pandas would make numbers with points of the ids
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    assert Counter(map(tuple, op5_mixing.mix_sources(docs).select(*columns).collect())) == Counter(con.sql(op5_mixing.SQL).select(*columns).fetchall())
+
+
 # --- quality classifier
 
 
@@ -561,7 +575,7 @@ URLS = [None, "", "no scheme", "http://a.com", "http://a.com/", "HTTPS://WWW.Exa
         "ftp://casino-win.example.org/de/",
         "http://a.org/wp-login.php", "http://a.org/wp-content/x", "http://a.org/x?PHPSESSID=0123456789abcdef0", "http://a.org/x?sid=short", "http://a.org/?search=x", "http://a.org/?search=",
         "http://a.org/calendar/2024/02/30/", "http://a.org/calendar/2024/13/01", "http://a.org/feed/", "http://a.org/feed/x", "http://a.org/a.tar.gz?x", "http://a.org/a.zipped", "http://a.org/x?goto=https%3A//b",
-        "http://my.spam-farm2.example.org/en/7", "http://spam.farm.org/", "http://a.org/?cart=12", "http://a.org/x?poker#y", "http://com/x", "http://net/fr/", "x://?q", "http://a.com:80/en/", "http://cheap.pills.example.net/de/", "http://caſino.org/", "a\nb://c.com/d", "http://" + "a" * 50_000 + ".com/"]
+        "http://my.spam-farm2.example.org/en/7", "http://spamfarm.org/x", "http://a.spamfarms77.org/", "http://a.org/b.7z", "http://a.org/atom.xml", "http://spam.farm.org/", "http://a.org/?cart=12", "http://a.org/x?poker#y", "http://com/x", "http://net/fr/", "x://?q", "http://a.com:80/en/", "http://cheap.pills.example.net/de/", "http://caſino.org/", "a\nb://c.com/d", "http://" + "a" * 50_000 + ".com/"]
 
 
 def test_urls_against_sql(spark):
@@ -587,9 +601,47 @@ def test_url_rules_from_a_table(spark, monkeypatch):
 
 
 def test_url_index_runs_few_rules(spark):
-    rules = (op9_urls.word_rule("rare common", "block"), op9_urls.word_rule("common", "block"), op9_urls.Rule("any", "block", r"\d{9}", ()))
-    by_token, always = op9_urls.index_rules(rules, {"common": 50, "rare": 1})
-    assert by_token == {"rare": [0], "common": [1]} and always == [2]
+    rules = (op9_urls.word_rule("rare common", "block"), op9_urls.word_rule("common", "block"), op9_urls.Rule("archive", "block", r"\.7z", ("7z",)))
+    assert op9_urls.index_rules(rules, {"common": 50, "rare": 1, "7": 3, "z": 2}) == {"rare": [0], "common": [1], "z": [2]}
+    with pytest.raises(ValueError):
+        op9_urls.index_rules((op9_urls.Rule("any", "block", r"\d{9}", ()),), {})
+
+
+@pytest.mark.parametrize("rule", op9_urls.BASE_RULES + op9_urls.PATTERN_RULES, ids=lambda r: r.name + r.pattern[-20:])
+def test_every_match_of_a_rule_holds_its_tokens(rule):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    need = set(op9_urls.tokens_of(rule))
+
+    @settings(max_examples=150, database=None, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(op9_urls._compiled(rule.pattern)))
+    def holds(text):
+        low = text.translate(op9_urls._ASCII_LOWER)
+        if op9_urls._compiled(rule.pattern).search(low):
+            assert need <= set(op9_urls._TOKEN.findall(low))
+
+    holds()
+
+
+def test_a_table_of_some_hundred_rules(spark):
+    """Which rule is found is the same as if every rule ran on every URL."""
+    rng = random.Random(12)
+    words = ["bet", "slots", "pharma", "loan", "keto", "crack", "keygen", "escort", "forex", "lotto"]
+    rules = [op9_urls.word_rule(f"{a} {b}", "block") for a in words for b in words if a != b]
+    rules += [op9_urls.host_rule(f"{a}{k}.example.com", rng.choice(["/", "/x", "/en/"]), rng.choice(["allow", "block"])) for a in words for k in range(20)]
+    rules = op9_urls.read_rules(spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.literals), r.on) for r in rules], op9_urls.RULE_SCHEMA))
+    urls = [f"http://{rng.choice(words)}{rng.randint(0, 30)}.{rng.choice(['example', 'a.example', 'b'])}.com/{rng.choice(['x', 'xy', 'en/', ''])}{rng.choice(words)}{rng.choice('-_/1')}{rng.choice(words)}" for _ in range(400)]
+    urls += [f"http://{h}.org/x" for h in ("spamfarm", "a.spamfarms12", "spam-farm3", "notspamfarm", "spam-farmer", "spamfarm.spam-farm")]
+    rules += op9_urls.PATTERN_RULES
+    got = {r.page_id: (r.rule, r.verdict, r.pattern_rule) for r in op9_urls.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for k, url in enumerate(urls):
+        host, path, whole = op9_urls._parts(url.encode())
+        fits = [r for r in rules if op9_urls._compiled(r.pattern).search(host + path if r.on == "site" else whole)]
+        site = max((r for r in fits if r.on == "site"), key=lambda r: len(r.name), default=None)
+        pattern = next((r for r in fits if r.on == "url"), None)
+        assert got[k] == (site and site.name, (site or pattern).verdict if site or pattern else "allow", pattern and pattern.name), url
+    assert [got[k][1] for k in range(400, 406)] == ["block", "block", "block", "allow", "allow", "block"]
 
 
 # --- token files
