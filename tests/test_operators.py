@@ -66,7 +66,7 @@ def test_upsert_of_repeated_keys(spark):
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "c")
     names = [io.write_collection(spark.range(n), root) for n in (1, 2, 3)]
-    assert io.read_current(spark, root).count() == 3 and names == sorted(names)
+    assert io.read_current(spark, root).count() == 3 and len(set(names)) == 3
     assert io.remove_old(spark, root, keep=2) == names[:1]
     assert io.read_current(spark, root).count() == 3 and io.remove_old(spark, root) == []
 
