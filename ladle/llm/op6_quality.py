@@ -2,13 +2,15 @@
 
 A text is cut into blocks, and each block is compressed with either dictionary. The difference of the two totals, by the
 text's length, and the good total by length go into a logistic score fitted on labelled texts that neither dictionary
-has seen, with its intercept moved from the sample's to the labels' own share of good texts.
+has seen, with its intercept moved from the sample's to the labels' own share of good texts. Features count up to `REACH`
+deviations from the fitted mean. A text of fewer than `SHORT_BYTES` bytes says little: its logit is moved towards that of the
+labels' share (all but the square of length / SHORT_BYTES), so an empty text gets that share.
 
 The fit takes at most `PER_CLASS` labelled rows of each class, those whose ids hash lowest, of at most `FIT_BYTES` bytes
 each: a bounded sample, so a bounded model (two dictionaries and four numbers) that travels with the tasks. Every
 document is scored over its whole text.
 
-Defined results: null and empty texts get the score of features 0; repeated rows and null doc_ids give a row each;
+Defined results: null and empty texts get the share of good labels; repeated rows and null doc_ids give a row each;
 labels other than 0 and 1 are ignored, as are those of unknown ids; of contradicting labels of an id the larger counts;
 an empty table gives an empty table; extra columns are ignored. Where the labels do not hold both classes, every score
 is the share of good labels (0.5 without labels).
@@ -29,6 +31,7 @@ from ladle.llm.common import Emitter, bound_batches, rows_of, spread
 
 PER_CLASS, FIT_BYTES = 1500, 32_768
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 32_768, 1024, 3
+SHORT_BYTES, REACH = 100, 4.0
 THRESHOLD = 0.3
 
 
@@ -39,6 +42,7 @@ class Model:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     center: tuple[float, ...] = (0.0, 0.0)
     scale: tuple[float, ...] = (1.0, 1.0)
+    prior: float = 0.0
     _ready: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
@@ -55,8 +59,9 @@ class Model:
         return (b - g) / len(text), g / len(text)
 
     def score(self, text: bytes | None) -> float:
-        x = (np.array(self.features(text)) - self.center) / self.scale
-        z = self.weights[0] + float(np.dot(self.weights[1:], x))
+        x = np.clip((np.array(self.features(text)) - self.center) / self.scale, -REACH, REACH)
+        told = min(len(text or b"") / SHORT_BYTES, 1.0) ** 2 if self.good else 0.0
+        z = self.prior + told * (self.weights[0] + float(np.dot(self.weights[1:], x)) - self.prior)
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -90,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality").alias("s")).first().s
     share = 0.5 if share is None else min(max(share, 1e-4), 1 - 1e-4)
-    none = Model(weights=(float(np.log(share / (1 - share))), 0.0, 0.0))
+    none = Model(prior=float(np.log(share / (1 - share))))
     order = F.xxhash64("doc_id")
     picked = known.filter("quality = 0").orderBy(order, "doc_id").limit(per_class).unionAll(known.filter("quality = 1").orderBy(order, "doc_id").limit(per_class))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(F.octet_length("text").between(1, FIT_BYTES)).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
@@ -106,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     y = np.array([q for q in (0, 1) for _ in texts[q][1::2]])
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic((x - center) / scale, y)
-    w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    model.prior = none.prior
+    w[0] += model.prior - np.log(y.mean() / (1 - y.mean()))
     model.weights, model.center, model.scale = tuple(map(float, w)), tuple(map(float, center)), tuple(map(float, scale))
     return model
 

@@ -436,10 +436,26 @@ def test_quality_score_by_hand(spark):
     w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     got = {r.doc_id: r.score for r in op6_quality.score(docs, model).collect()}
     for k, t, _ in rows[::17]:
-        z = w[0] + np.dot(w[1:], (np.array(features(t)) - x.mean(axis=0)) / (x.std(axis=0) + 1e-9))
+        z = w[0] + np.dot(w[1:], np.clip((np.array(features(t)) - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -op6_quality.REACH, op6_quality.REACH))
         assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=0.01)
 
 
+def test_quality_of_short_texts(spark):
+    """Empty texts get the share of good labels, and a text moves from there to its own score as it gets longer."""
+    rng = random.Random(13)
+    rows = [(k, prose(rng, 70, 40) if k % 4 else " ".join(f"{rng.choice('xyz')}{rng.randint(0, 9)}@@" for _ in range(90)), int(k % 4 > 0)) for k in range(400)]
+    model = op6_quality.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), labels(spark, [(k, q, 0) for k, _, q in rows]))
+    share = np.mean([q for k, _, q in rows if zlib.crc32(str(k).encode()) % 5])
+    assert model.score(None) == model.score(b"") == pytest.approx(share)
+    for text, direction in ((rows[1][1], 1), (rows[0][1], -1)):
+        data = text.encode()
+        scores = [model.score(data[:n]) for n in range(0, 51)]
+        assert max(abs(b - a) for a, b in zip(scores, scores[1:21], strict=False)) < 0.15  # no leaps
+        assert abs(scores[1] - share) < 0.05 and (model.score(data) - share) * direction > 0
+    for short in (b" ", b"a", "é".encode(), b"hello world"):
+        assert abs(model.score(short) - share) < 0.3 and model.score(short) >= op6_quality.THRESHOLD
+
+
 def test_quality_without_labels_and_on_odd_rows(spark):
     model = op6_quality.fit(odd_documents(spark), labels(spark))
     scores = op6_quality.score(odd_documents(spark), model).collect()
