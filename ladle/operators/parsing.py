@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ladle.functions import text as t
 from ladle.operators import quality
+from ladle.schemas import TOLD
 from ladle.session import written
 
 ITEM = "ix INT, name STRING, description STRING, price DOUBLE, category STRING, confidence DOUBLE"
@@ -328,14 +329,13 @@ def run_local(docs: DataFrame, doc: str, text: str, most: int = 50) -> DataFrame
 
 #: The least confidence of a word, and what positions must bear to be trusted: words above a confidence.
 LEAST_CONFIDENCE, SURE_CONFIDENCE, SURE_WORDS = 25, 50, 3
-WORD = "array<struct<text:string,x:double,y:double,w:double,h:double,confidence:double>>"
 
 
 def _boxes(words):
     """Words of a reading (text, bbox, confidence) as placed words."""
     edge = lambda w, k: F.coalesce(w["bbox"][k].cast("double"), F.lit(0.0))
     return F.transform(
-        F.coalesce(words, F.array().cast(words_type := "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>")).cast(words_type),
+        F.coalesce(words.cast(TOLD), F.array().cast(TOLD)),
         lambda w: F.struct(F.coalesce(w["text"], F.lit("")).alias("text"), edge(w, "x0").alias("x"), edge(w, "y0").alias("y"), (edge(w, "x1") - edge(w, "x0")).alias("w"), (edge(w, "y1") - edge(w, "y0")).alias("h"), F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence")),
     )
 

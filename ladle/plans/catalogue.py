@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ladle.functions import text as t
 from ladle.operators import collection as c
 from ladle.operators import food, jobs, lines, mutate, parsing, quality
+from ladle.schemas import TOLD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -521,7 +522,7 @@ def smart_parse(spark, d):
 @query()
 def readings_dishes(spark, d):
     # documents as readings of four kinds: in paragraphs, with places, with words alone, and as a text alone
-    kind, told = F.col("doc_id") % 4, "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>"
+    kind, told = F.col("doc_id") % 4, TOLD
     lines_ = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: t.strip(x) != "")
     box = lambda w, k, y: F.struct(w.alias("text"), F.struct((k * 60.0).alias("x0"), y.alias("y0"), (k * 60.0 + 50).alias("x1"), (y + 12).alias("y1")).alias("bbox"), F.lit(90.0).alias("confidence"))
     paragraph = lambda x, i: F.struct(x.alias("text"), F.transform(t.words(x), lambda w, k: box(w, k, i * 30.0)).alias("words"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 DOCUMENT = "_pos BIGINT, _id STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
 DISH = "name STRING, description STRING, price DOUBLE, category STRING, confidence DOUBLE"
+#: The words of a reading as its reader tells them.
+TOLD = "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>"
 WORD = "text STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE"
 
 COLLECTIONS: dict[str, str] = {

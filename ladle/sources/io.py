@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ladle.functions import text as t
 from ladle.operators.lines import slice_line
+from ladle.schemas import TOLD
 from ladle.sources import tail
 
 MAX_IMAGE_BYTES = 10 * 1024 * 1024
@@ -172,10 +173,6 @@ def read_images(spark: SparkSession, path: str, most: int = MAX_IMAGE_BYTES) ->
     return spark.read.format("binaryFile").load(path).filter((F.col("length") > 0) & (F.col("length") <= most))
 
 
-#: What a word is for the parsers.
-TOLD = "array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,confidence:double>>"
-
-
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
     """OCR readings that other programs stored, one JSON object a line, as `value` of type VARIANT; lines that are not JSON are left out."""
     lines = spark.read.text(path).select(F.try_parse_json("value").alias("value"))
