@@ -21,19 +21,25 @@ SIZES = r"(Small|Regular|Single|Large|Double|Medium|Kids?)\s+[$€£¥]?\s*\d+(?
 
 
 def _line_struct(line, block, layout):
-    """What the sequential extractor asks of a line."""
-    price = t.find_price(line)
-    name = F.coalesce(t.without_price(line, price), line)
-    clean, base = t.clean_name(name), t.clean_name(t.strip(F.regexp_replace(line, SIZES, "")))
-    first = F.replace(F.regexp_extract(line, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit("."))
-    return F.struct(
-        block.alias("block"), t.is_noise(line).alias("noise"), t.is_header(line, price.isNotNull()).alias("header"), t.header_category(line).alias("title"),
-        price["price"].alias("price"), (price["position"] == "trailing").alias("trailing"), F.length(t.strip(F.replace(line, F.coalesce(price["raw"], F.lit("\0")), F.lit("")))).alias("rest"),
-        line.rlike(r"^\d+(?:\.\d{1,2})?\z").alias("number"), t.is_description(line).alias("description"), line.rlike(t.SIZE_VARIANT).alias("sizes"),
-        base.alias("base"), first.try_cast("double").alias("first"), clean.alias("clean"), F.substring(t.correct_ocr(clean), 1, 200).alias("fixed"), F.substring(t.correct_ocr(base), 1, 200).alias("base_fixed"),
-        (clean.rlike(r"\p{L}{3,}") & t.real_words(clean) & ~t.is_noise(clean) & (F.length(clean) >= 3)).alias("real"), (t.food_count(clean) > 0).alias("food"),
-        t.confidence(F.lit(True), clean, F.lit(""), F.lit(False), clean == F.upper(clean), layout).alias("with_price"), t.confidence(F.lit(False), clean, F.lit(""), F.lit(False), clean == F.upper(clean), layout).alias("no_price"),
-    )
+    """What the sequential extractor asks of a line. Values that several questions share are bound once."""
+    score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), F.lit(False), name == F.upper(name), layout)
+
+    def asked(x, price, clean, base):
+        first = F.replace(F.regexp_extract(x, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit("."))
+        sizes = x.rlike(t.SIZE_VARIANT)
+        return F.struct(
+            block.alias("block"), t.is_noise(x).alias("noise"), t.is_header(x, price.isNotNull()).alias("header"), t.header_category(x).alias("title"),
+            price["price"].alias("price"), (price["position"] == "trailing").alias("trailing"), F.length(t.strip(F.replace(x, F.coalesce(price["raw"], F.lit("\0")), F.lit("")))).alias("rest"),
+            x.rlike(r"^\d+(?:\.\d{1,2})?\z").alias("number"), t.is_description(x).alias("description"), sizes.alias("sizes"),
+            base.alias("base"), first.try_cast("double").alias("first"), clean.alias("clean"), F.substring(t.correct_ocr(clean), 1, 200).alias("fixed"), F.when(sizes, F.substring(t.correct_ocr(base), 1, 200)).alias("base_fixed"),
+            (clean.rlike(r"\p{L}{3,}") & t.real_words(clean) & ~t.is_noise(clean) & (F.length(clean) >= 3)).alias("real"), (t.food_count(clean) > 0).alias("food"),
+            score(True, clean).alias("with_price"), score(False, clean).alias("no_price"),
+        )
+
+    # only lines of sizes are asked for their base
+    base = lambda x: F.when(x.rlike(t.SIZE_VARIANT), t.clean_name(t.strip(F.regexp_replace(x, SIZES, ""))))
+    named = lambda x, price: t.let(t.clean_name(F.coalesce(t.without_price(x, price), x)), lambda clean: t.let(base(x), lambda b: asked(x, price, clean, b)))
+    return t.let(line, lambda x: t.let(t.find_price(x), lambda price: named(x, price)))
 
 
 def _sequential(lines: list[dict], layout: str) -> list[tuple]:
@@ -214,26 +220,34 @@ class _Column:
                 self.pending["confidence"] = min(self.pending["confidence"] + 0.05, 1.0)
 
 
+def _asked(line):
+    """struct of what the scan of a column asks of a line (text, priced, centred, caps, layout), a struct. Values that several questions share are bound once."""
+    bare_of = lambda c: t.clean_name(t.strip(F.regexp_replace(c, r"\s*[$€£¥]?\s*\d+(?:[.,]\d{1,2})?[\s.]*\z", "")))
+
+    def asked(x, c, clean, bare, words, real_words):
+        score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), x["centred"], x["caps"], x["layout"])
+        caps_word = F.get(F.filter(words, lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & t.among(F.lower(w), t.CATEGORY_TITLES)), F.lit(0))
+        long = F.length(clean) >= 3
+        return F.struct(
+            c.rlike(LINE_ONLY_PRICE).alias("only_price"), t.is_noise(c).alias("noise"), c.rlike(r"^\d+(?:\.\d+)?\z").alias("number"), c.rlike(r"\d").alias("digit"), c.rlike("[a-zA-Z]{3,}").alias("ascii"),
+            c.rlike(t.SIZE_VARIANT).alias("sizes"), t.strip(F.regexp_replace(c, SIZES, "")).alias("base"), F.replace(F.regexp_extract(c, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit(".")).try_cast("double").alias("first"),
+            clean.alias("clean"), F.substring(t.correct_ocr(clean), 1, 200).alias("fixed"), (long & ~t.is_noise(clean) & real_words).alias("real"), (long & real_words).alias("letters"), bare.alias("bare"), t.is_noise(bare).alias("bare_noise"),
+            (c == F.upper(c)).alias("upper"), c.rlike(t.SUBTITLE).alias("subtitle"), (t.is_section(F.lower(c)) | (c == F.upper(c))).alias("section_like"), t.header_category(c).alias("title"),
+            F.when(c.rlike(r"\d"), caps_word).alias("caps_section"), F.size(words).alias("n_words"), F.size(t.words(clean)).alias("clean_words"), (t.food_count(clean) > 0).alias("food"), t.is_food(clean).alias("food_whole"),
+            t.is_description(clean).alias("clean_description"), score(True, F.when(x["priced"], bare).otherwise(clean)).alias("with_price"), score(False, clean).alias("no_price"),
+        )
+
+    def named(x, c):
+        return t.let(t.clean_name(c), lambda clean: t.let(bare_of(c), lambda bare: t.let(t.words(c), lambda words: t.let(t.real_words(clean), lambda real: asked(x, c, clean, bare, words, real)))))
+
+    return t.let(line, lambda x: t.let(x["text"], lambda c: named(x, c)))
+
+
 def _column_features(lines: DataFrame, doc: str) -> DataFrame:
-    c = F.col("text")
-    bare = t.clean_name(t.strip(F.regexp_replace(c, r"\s*[$€£¥]?\s*\d+(?:[.,]\d{1,2})?[\s.]*\z", "")))
-    clean = t.clean_name(c)
-    caps_word = F.get(F.filter(t.words(c), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & t.among(F.lower(w), t.CATEGORY_TITLES)), F.lit(0))
     share = F.avg(F.col("priced").cast("double")).over(Window.partitionBy(doc, "column"))
     length = F.avg(F.length("text")).over(Window.partitionBy(doc, "column"))
     rows = lines.withColumn("layout", F.when(share < 0.15, "fastfood").when(length > 45, "descriptive").when(length < 25, "compact").otherwise("unknown"))
-    score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), F.col("centred"), F.col("caps"), F.col("layout"))
-    real = (F.length(clean) >= 3) & ~t.is_noise(clean) & t.real_words(clean)
-    return rows.withColumns(
-        {
-            "only_price": c.rlike(LINE_ONLY_PRICE), "noise": t.is_noise(c), "number": c.rlike(r"^\d+(?:\.\d+)?\z"), "digit": c.rlike(r"\d"), "ascii": c.rlike("[a-zA-Z]{3,}"),
-            "sizes": c.rlike(t.SIZE_VARIANT), "base": t.strip(F.regexp_replace(c, SIZES, "")), "first": F.replace(F.regexp_extract(c, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit(".")).try_cast("double"),
-            "clean": clean, "fixed": F.substring(t.correct_ocr(clean), 1, 200), "real": real, "letters": (F.length(clean) >= 3) & t.real_words(clean), "bare": bare, "bare_noise": t.is_noise(bare),
-            "upper": c == F.upper(c), "subtitle": c.rlike(t.SUBTITLE), "section_like": t.is_section(F.lower(c)) | (c == F.upper(c)), "title": t.header_category(c),
-            "caps_section": F.when(c.rlike(r"\d"), caps_word), "n_words": F.size(t.words(c)), "clean_words": F.size(t.words(clean)), "food": t.food_count(clean) > 0, "food_whole": t.is_food(clean),
-            "clean_description": t.is_description(clean), "with_price": score(True, F.when(F.col("priced"), bare).otherwise(clean)), "no_price": score(False, clean),
-        }
-    )
+    return rows.withColumn("_asked", _asked(F.struct("text", "priced", "centred", "caps", "layout"))).select("*", "_asked.*").drop("_asked")
 
 
 def parse_columns(lines: DataFrame, doc: str = "doc_id") -> DataFrame:

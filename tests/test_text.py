@@ -164,3 +164,23 @@ def test_food_dictionary_is_whole(spark):
     # a word of the list scores as much as any other
     score = lambda name: values(spark, [name], t.confidence(F.lit(False), S, F.lit(""), F.lit(False), F.lit(False), F.lit("compact")))
     assert score("Ricotta Plate") == score("Chicken Plate") != score("Klingon Plate")
+
+
+def test_shared_values_of_a_line_are_computed_once():
+    # a name's rewrites stand in the plan in two forms for each place that cleans it; they stood there once for every question
+    line = F.struct(F.lit("Soup 5").alias("text"), F.lit(True).alias("priced"), F.lit(False).alias("centred"), F.lit(False).alias("caps"), F.lit("compact").alias("layout"))
+    for c in (parsing._asked(line), parsing._line_struct(S, F.lit(0), F.lit("compact"))):
+        assert c._jc.toString().count("NEW!?") <= 4
+
+
+def test_spaces_are_those_of_unicode(spark):
+    odd = "\u2003a\u00a0\u3000b\x85c \t"
+    assert values(spark, [odd, "a b", ""], t.squeeze(S)) == ["a b c", "a b", ""]
+    assert values(spark, [odd, "", None], t.words(S)) == [["a", "b", "c"], [], None]
+    assert values(spark, [odd], t.strip(S)) == ["a\u00a0\u3000b\x85c"]
+
+
+def test_word_lists_are_filed(spark):
+    known = ("ab", "cd e", "é")
+    assert values(spark, ["ab", "cd e", "é", "", "a", "ab,cd e", "\0", "\0\0", None], t.among(S, known)) == [True, True, True, False, False, False, False, False, None]
+    assert values(spark, ["a -- -- b", "x _ _y", "[a] (b) Stew .. {x}. S", "NEW Pie N"], t.clean_name(S)) == ["a b", "x y", "Stew", "Pie"]
