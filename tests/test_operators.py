@@ -150,3 +150,9 @@ def test_small_rules(spark):
     assert rows(c.first_per_key(spark.createDataFrame([(1, 2, "b"), (1, 1, None), (2, None, "c")], "k int, o int, v string"), ["k"], "o"), "k", "o", "v") == [(1, 1, None), (2, None, "c")]
     assert rows(jobs.latest_per_key(spark.createDataFrame([(1, 2, "b"), (1, None, "a"), (2, None, "c")], "k int, o int, v string"), "k", "o"), "k", "v") == [(1, "b"), (2, "c")]
     assert rows(lines.reading_order(spark.createDataFrame([(1, 30.0, 5.0), (1, 10.0, 3.0), (1, 0.0, 40.0)], "doc int, x double, y double"), "doc"), "x", "band") == [(0.0, 2.0), (10.0, 0.0), (30.0, 0.0)]
+
+
+def test_one_small_file_is_split_among_all_cores(spark):
+    from ladle.plans import catalogue
+
+    assert catalogue.split_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
