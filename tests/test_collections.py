@@ -137,3 +137,10 @@ def test_similar_pairs_are_all_pairs(spark):
     s = quality.jaccard(F.col("l.w"), F.col("r.w"))
     both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.k") < F.col("r.k"))).filter(s >= 0.7).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
     assert rows(quality.similar_pairs(df, "block", "k", F.col("w")), "a", "b") == rows(both, "a", "b")
+
+
+def test_greedy_dedup_runs_no_pandas_group_for_each_document(spark):
+    df = spark.createDataFrame([(1, 2, "a b"), (1, 0, None), (1, 1, ""), (None, 0, "x"), (1, 3, "B a"), (2, 0, "b a c"), (2, 1, "a b c d")], "doc int, _pos long, name string")
+    got = quality.greedy_dedup(df, "doc")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 0, None), (1, 2, "a b"), (None, 0, "x"), (2, 0, "b a c")], key=str)
