@@ -1,12 +1,14 @@
 """Golden rows of collection queries, mutations, sources and jobs."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ladle.operators import collection as c
-from ladle.operators import jobs, mutate, quality
+from ladle.operators import jobs, mutate, quality, similar
 from ladle.schemas import COLLECTIONS
 from ladle.sources import io
 
@@ -139,6 +141,33 @@ def test_similar_pairs_are_all_pairs(spark):
     assert rows(quality.similar_pairs(df, "block", "k", F.col("w")), "a", "b") == rows(both, "a", "b")
 
 
+def test_pairs_of_similar_sets_reach_a_shuffle_only_where_they_may_link(spark):
+    # 60 sets of 40 words: all share 15, which are ranked last or, with heavy=1, first; two near copies of each, one with a null block
+    rng = random.Random(3)
+    table = []
+    for k in range(60):
+        words = [f"c{x}" for x in range(15)] + [f"w{k}-{x}" for x in range(25)]
+        table += [(3 * k, "x", words), (3 * k + 1, "x", words[:-1] + ["new"]), (3 * k + 2, rng.choice(["x", None]), words[2:] + ["a", "b"])]
+    df = spark.createDataFrame(table, "k long, block string, w array<string>")
+    l, r = df.alias("l"), df.alias("r")
+    s = quality.jaccard(F.col("l.w"), F.col("r.w"))
+    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.k") < F.col("r.k"))).filter(s >= 0.7).select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), s.alias("similarity"))
+    want = rows(both, "a", "b", "similarity")
+    for heavy in (1, 200_000):
+        assert rows(quality.similar_pairs(df, "block", "k", F.col("w"), heavy=heavy), "a", "b", "similarity") == want
+    w = df.filter("block IS NOT NULL").select("block", "k", F.sort_array(F.transform("w", lambda x: F.xxhash64(x))).alias("w")).withColumn("g", F.xxhash64("block", "w"))
+    order = np.empty(0, np.uint64)  # all words are called rare: the shared ones stand anywhere
+    met = similar._candidates(similar._group_rows(similar._sets(w, order), order, 0.7, 4), 0.7).count()
+    assert len(want) <= met <= 1.5 * len(want)  # of some 12,000 pairs that share words
+
+
+def test_large_tiles_of_pairs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TILE", 50)
+    df = spark.createDataFrame([(k, 1, [f"c{x}" for x in range(30)] + [f"own{k}"]) for k in range(40)], "k int, block int, w array<string>")
+    got = quality.similar_pairs(df, "block", "k", F.col("w")).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) == 780 and {r.similarity for r in got} == {30 / 32}
+
+
 def test_greedy_dedup_runs_no_pandas_group_for_each_document(spark):
     df = spark.createDataFrame([(1, 2, "a b"), (1, 0, None), (1, 1, ""), (None, 0, "x"), (1, 3, "B a"), (2, 0, "b a c"), (2, 1, "a b c d")], "doc int, _pos long, name string")
     got = quality.greedy_dedup(df, "doc")
