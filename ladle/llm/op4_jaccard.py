@@ -43,11 +43,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import SALTS, WordHashes, bound_batches, discard, key_filter, materialize, mix, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
+from ladle.llm.common import SALTS, WordHashes, bound_batches, discard, key_filter, lean, materialize, mix, only_keys, probably_in, rows_of, shingle_hashes, spread, with_total
 
 PARITY_BITS, WIDE_BITS, SEGMENTS, BLOCK = 512, 8192, 8, 1024
 LEAST_HEAVY, MOST_HEAVY = 64, 200_000
 BEST_ROUNDS, PEELS = 2, 2
+#: Words whose hashes a task remembers: few, as their memory adds to that of an executor full from its shuffles.
+WORDS = 100_000
 #: Shingles that a task gathers before it hands rows on, and pairs.
 BATCH_SHINGLES, BATCH_PAIRS = 1 << 19, 1 << 18
 
@@ -125,7 +127,7 @@ def document_sets(docs: DataFrame, m: Measure) -> DataFrame:
         return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.int64()), "s": _lists(sets)})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, heavy, seen = WordHashes(), _Heavy(), set()
+        known, heavy, seen = WordHashes(WORDS), _Heavy(), set()
         for batch in batches:
             columns, gathered = ([], [], [], []), 0
             for doc_id, text in rows_of([batch], "doc_id", "text"):
@@ -149,7 +151,7 @@ def document_sets(docs: DataFrame, m: Measure) -> DataFrame:
             part = heavy.h[k : k + 50_000].astype(np.int64)
             yield table(heavy.c[k : k + 50_000], np.full(len(part), -1), part, [none] * len(part))
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, s array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, key long, s array<long>")
 
 
 def class_sets(made: DataFrame, m: Measure) -> DataFrame:
@@ -196,7 +198,7 @@ def prefixes(sets: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
                 parity.append(parities(s, PARITY_BITS))
             yield pa.record_batch({"key": pa.array(keys), "n": pa.array(np.diff(at)), "prefix": _lists(prefix), "light": pa.array(light, pa.int64()), "parity": _lists(parity)})
 
-    made = sets.mapInArrow(run, "key long, n long, prefix array<long>, light long, parity array<long>")
+    made = sets.mapInArrow(lean(run), "key long, n long, prefix array<long>, light long, parity array<long>")
     return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "light", "parity")))
 
 
@@ -226,7 +228,7 @@ def _prefix_rows(reps: DataFrame, bloom: np.ndarray | None) -> DataFrame:
             ok = probably_in(bloom, flat)
             yield pa.record_batch({"sig": pa.array(flat[ok].astype(np.int64)), "key": pa.array(owner[ok]), "salt": pa.array(salt[ok])})
 
-    return reps.select("key", "prefix", "light").mapInArrow(run, "sig long, key long, salt int")
+    return reps.select("key", "prefix", "light").mapInArrow(lean(run), "sig long, key long, salt int")
 
 
 def buckets(reps: DataFrame, m: Measure) -> DataFrame:
@@ -333,7 +335,7 @@ def proposals(rows: DataFrame, m: Measure) -> DataFrame:
             ok = differ < top
             yield pa.record_batch({"key": pa.array(key[ok]), "differ": pa.array(differ[ok]), "near": pa.array(near[ok]), "low": pa.array(low[ok])})
 
-    made = rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "key long, differ long, near long, low long")
+    made = rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(lean(run), "key long, differ long, near long, low long")
     return made.groupBy("key").agg(F.min(F.struct("differ", "near")).alias("best"), F.min("low").alias("low")).select("key", F.col("best.near").alias("near"), "low")
 
 
@@ -356,7 +358,7 @@ def all_pairs(rows: DataFrame, m: Measure) -> DataFrame:
             if found:
                 yield table(found)
 
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def segments(sets: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
@@ -384,7 +386,7 @@ def segments(sets: DataFrame, keys: DataFrame, m: Measure) -> DataFrame:
                         out.append(part.astype(np.int64))
             yield pa.record_batch({"key": pa.array(out_keys, pa.int64()), "segment": pa.array(out_segments, pa.int32()), "s": _lists(out)})
 
-    made = sets.mapInArrow(run, "key long, segment int, s array<long>")
+    made = sets.mapInArrow(lean(run), "key long, segment int, s array<long>")
     return made.join(keys.hint("merge"), "key", "left_semi").groupBy("key", "segment").agg(F.first("s").alias("s"))
 
 
