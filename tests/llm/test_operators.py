@@ -1,5 +1,6 @@
 """Each operator against brute force, round trips or held-out accuracy, and on odd rows."""
 
+import json
 import math
 import random
 import re
@@ -490,6 +491,44 @@ def test_token_counts(spark, tmp_path):
     assert Counter(r.n_tokens for r in op7_tokens.count_tokens(docs, pieces, cache).collect()) == Counter(len(sp.encode(r.text or "")) for r in docs.collect())
 
 
+def test_token_counts_by_pieces(monkeypatch):
+    """Pieces are encoded once a worker, and their sums are what the library gives for whole texts."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(6), p.path("byte_bpe_50k.json")
+    alphabet = list("abcXYZ019 ’'.,;:!?…éÉß٣½\u0301\u200d\u180e\x00\x7f\x1c\x85\xa0\u2003\u2028\u3000\n\t\x0b\r-_<>|#ª  ") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "...", "漢", "😀", "The", " word"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["", "x" * 500, " "]
+    model, asked = Tokenizer.from_file(path), []
+    want = [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(op7_tokens, "_loaded", {})
+    counts = op7_tokens.tokenizer(path)
+    counts.limit = 5000
+    for k in range(0, len(texts), 500):
+        assert counts([t.encode() for t in texts[k : k + 500]]) == want[k : k + 500]
+    assert counts([]) == []
+    encode = counts._count
+    monkeypatch.setattr(counts, "_count", lambda texts: asked.extend(texts) or encode(texts))
+    words = [prose(rng, 300, 100) for _ in range(50)]
+    assert counts([w.encode() for w in words]) == [len(model.encode(w, add_special_tokens=False).ids) for w in words]
+    assert sum(map(len, asked)) < sum(map(len, words)) / 5
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"added_tokens": ["two words"]}])
+def test_tokenizers_that_do_not_cut_encode_whole_texts(tmp_path, change):
+    import public_tokenizers as p
+    from tokenizers import AddedToken, Tokenizer
+
+    model = Tokenizer.from_file(p.path("byte_bpe_50k.json"))
+    model.add_special_tokens([AddedToken(t) for t in change.get("added_tokens", [])])
+    told = json.loads(model.to_str()) | {k: v for k, v in change.items() if k != "added_tokens"}
+    path = str(tmp_path / "t.json")
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    text = "Some TWO words, two words. And More"
+    assert not op7_tokens.PieceCounter.fits(path)
+    assert op7_tokens.tokenizer(path)([text.encode()]) == [len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)]
+
+
 # --- decontamination
 
 
