@@ -16,6 +16,7 @@ ignored; very long texts are encoded whole.
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -37,22 +38,26 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, through a bounded memory of the ids of words.
 
-    A word is encoded in lower case, as the tokenizer does, and closing punctuation apart from the word. Words of letters
-    only are one unit of the tokenizer each, so many are encoded as one text and told apart by their last tokens.
+    A word is encoded in lower case, as the tokenizer does, and closing ASCII punctuation apart from the word. Words of letters
+    only are one unit of the tokenizer each, so many are encoded as one text and told apart by their last tokens; those of
+    ASCII letters need neither its normalizer nor its pattern. When `known` has half the words allowed, it becomes `older`
+    and only words that are met again are taken over.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.model.no_truncation()
-        self.model.no_padding()
+        self.model, self.plain, self.limit, self.longest, self.known, self.older = Tokenizer.from_file(path), Tokenizer.from_file(path), limit, longest, {}, {}
+        for model in (self.model, self.plain):
+            model.no_truncation()
+            model.no_padding()
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks = [b""] * 256
-        for mark in ".,;:!?":
+        for mark in string.punctuation:
             self.marks[ord(mark)] = np.array(self.model.encode(mark, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @classmethod
@@ -61,48 +66,56 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, words: list[str]) -> None:
-        """Add the ids of words that are in the form in which they are encoded."""
-        known, letters, others = self.known, [], []
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are in the form in which they are encoded."""
+        out, ascii_letters, letters, others = {}, [], [], []
         for w in words:
-            (letters if w.isalpha() else others).append(w)
-        for k in range(0, len(letters), 512):
-            part = letters[k : k + 512]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) == len(part):
-                data, ends = ids.tobytes(), ends.tolist()
-                known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:  # the tokenizer's letters are not Python's
-                others += part
+            # bytes: only ASCII letters count
+            (others if len(w) > self.longest else ascii_letters if w.isalpha() and w.islower() else letters if w.decode().isalpha() else others).append(w)
+        for model, group in ((self.plain, ascii_letters), (self.model, letters)):
+            for k in range(0, len(group), 512):
+                part = group[k : k + 512]
+                ids = np.array(model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+                if len(ends) == len(part):
+                    data, ends = ids.tobytes(), ends.tolist()
+                    out.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+                else:  # the tokenizer's letters are not Python's
+                    others += part
         for k in range(0, len(others), 5000):
             part = others[k : k + 5000]
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
+            out.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True))
+        return out
 
-    def _ids(self, words: list[str]) -> list[bytes]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        if len(self.known) > self.limit:
-            self.known.clear()
+        if len(self.known) > self.limit // 2:
+            self.older, self.known = self.known, {}
         found = list(map(self.known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        self._learn([words[i] for i in missing])
-        for i in missing:
-            found[i] = self.known[words[i]]
+        lacking = list(map(words.__getitem__, missing))
+        again = list(map(self.older.get, lacking))
+        learnt = self._learn([w for w, ids in zip(lacking, again, strict=True) if ids is None])
+        for i, w, ids in zip(missing, lacking, again, strict=True):
+            found[i] = ids = learnt[w] if ids is None else ids
+            if len(w) <= self.longest:
+                self.known[w] = ids
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of strings one after another, and where those of each text begin (and the last ones end).
 
-        Arrow splits words, lower-cases them, cuts one closing punctuation mark off and tells them apart; only distinct
-        ones are looked up.
+        Arrow splits words, lower-cases them, cuts closing punctuation off and tells them apart; only distinct ones are
+        looked up. Punctuation is cut off after ASCII letters and digits and the letters from U+00C0 to U+00FF.
         """
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten()
-        lower = pc.ascii_lower(words)
-        core = pc.utf8_rtrim(lower, characters=".,;:!?")
-        special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)  # may hold a special token, whose case counts
-        cut = _lengths(lower) - _lengths(core)
-        apart = ~special & (cut <= 1) & _ALNUM[_last_bytes(core)]
+        words = words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary())
+        lower = pc.ascii_lower(lists.flatten()).cast(words.type)
+        core = pc.ascii_rtrim(lower.cast(lists.type.value_type), characters=string.punctuation).cast(words.type)
+        special = pc.match_substring(words, b"<|").to_numpy(zero_copy_only=False)  # may hold a special token, whose case counts
+        cut, last = _lengths(lower) - _lengths(core), _last_bytes(core)
+        apart = ~special & (_ALNUM[last] | (_LATIN[last] & (_last_bytes(core, 2) == 0xC3)))
         core = pc.if_else(pa.array(apart), core, pc.if_else(pa.array(special), words, lower))
         codes = core.dictionary_encode()
         ids = self._ids(codes.dictionary.to_pylist())
@@ -110,6 +123,12 @@ class WordEncoder:
         pieces[::2] = codes.indices.to_numpy()
         pieces[1::2] = len(ids) + np.where(apart & (cut == 1), _last_bytes(lower), 0).astype(np.int64)
         ids += self.marks
+        several = np.flatnonzero(apart & (cut > 1))
+        for n in np.unique(cut[several]).tolist():
+            at = several[cut[several] == n]
+            tails = pc.binary_slice(lower.take(pa.array(at)), -n).dictionary_encode()
+            pieces[2 * at + 1] = len(ids) + tails.indices.to_numpy()
+            ids += self._ids(tails.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
         n = lengths[pieces]
@@ -119,11 +138,13 @@ class WordEncoder:
 
 
 _ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+#: Last bytes of the letters from U+00C0 to U+00FF, whose first byte is C3.
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
 
 def _buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string array."""
-    kind = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(strings.type) or pa.types.is_large_binary(strings.type) else np.int32
     _, offsets, data = strings.buffers()
     at = np.frombuffer(offsets, kind, len(strings) + 1, strings.offset * np.dtype(kind).itemsize) if len(strings) else np.zeros(1, kind)
     return at, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
@@ -133,10 +154,10 @@ def _lengths(strings: pa.Array) -> np.ndarray:
     return np.diff(_buffers(strings)[0])
 
 
-def _last_bytes(strings: pa.Array) -> np.ndarray:
-    """The last byte of each string, 0 of an empty one."""
+def _last_bytes(strings: pa.Array, back: int = 1) -> np.ndarray:
+    """The last byte of each string, or that so far back; 0 of a shorter one."""
     at, data = _buffers(strings)
-    return np.where(np.diff(at) > 0, data[np.maximum(at[1:] - 1, 0)], 0)
+    return np.where(np.diff(at) >= back, data[np.maximum(at[1:] - back, 0)], 0)
 
 
 def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:

@@ -767,6 +767,26 @@ def test_word_encoder_is_the_tokenizer():
     assert [a.tolist() for a in encoder.encode(pa.array([], pa.string()))] == [[], [0]]
 
 
+def test_word_encoder_learns_a_word_once():
+    """Whatever punctuation closes it, and, while it is met again, though more words come by than are remembered."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    rng, path, asked = random.Random(9), p.path("word_bpe_49k.json"), []
+    model, encoder = Tokenizer.from_file(path), op10_token_ids.WordEncoder(path, limit=2000)
+    learn = encoder._learn
+    encoder._learn = lambda words: asked.extend(words) or learn(words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) + rng.choice(["", "", "é", "ß"])
+    common, tails = [word() for _ in range(300)], ["", ".", "!!", "###", ".***", "'", '",', ")" * 9]
+    for _ in range(20):
+        words = [w + rng.choice(tails) for w in common + [word() for _ in range(200)]]
+        flat, at = encoder.encode(pa.array([" ".join(words), "x" * 100, ""]))
+        want = [e.ids for e in model.encode_batch([" ".join(words), "x" * 100, ""], add_special_tokens=False)]
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert len(asked) <= len(common) + 20 * (200 + 1) + 4 * len(tails)
+    assert max(map(len, encoder.known)) <= encoder.longest
+
+
 def test_a_lean_worker_gives_freed_memory_back():
     def resident():
         with open("/proc/self/statm") as f:
