@@ -93,8 +93,8 @@ def _per_document(docs: DataFrame, doc: str, columns: list[str], extract: Callab
     return docs.select(doc, *columns).mapInPandas(run, f"{doc} {kind}, {ITEM}")
 
 
-def sequential_parse(docs: DataFrame, doc: str, text: str, most: int = 50) -> DataFrame:
-    """Dishes of texts of two or more blocks (blank lines between them); others go to lines.basic_extract."""
+def sequential_parse(docs: DataFrame, doc: str, text: str, most: int | None = None) -> DataFrame:
+    """Dishes (all, or the first `most`) of texts of two or more blocks (blank lines between them); others go to lines.basic_extract."""
     from ladle.operators.lines import basic_extract
 
     blocks = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), t.strip), lambda b: b != "")
@@ -109,7 +109,7 @@ def sequential_parse(docs: DataFrame, doc: str, text: str, most: int = 50) -> Da
         kept = [r for r in rows if r[3] >= least][:most]
         return [(k, name, "", price, category or "other", score) for k, (name, price, category, score) in enumerate(kept)]
 
-    return _per_document(work, doc, ["_layout", "_lines"], extract).unionByName(basic_extract(many.filter("NOT _many"), doc, F.col(text)).select(doc, *(c.split()[0] for c in ITEM.split(", "))))
+    return _per_document(work, doc, ["_layout", "_lines"], extract).unionByName(basic_extract(many.filter("NOT _many"), doc, F.col(text), most).select(doc, *(c.split()[0] for c in ITEM.split(", "))))
 
 
 @dataclass
@@ -330,9 +330,9 @@ def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return _per_document(docs.withColumn("_lines", lines), doc, ["_lines"], extract)
 
 
-def run_local(docs: DataFrame, doc: str, text: str, most: int = 50) -> DataFrame:
+def run_local(docs: DataFrame, doc: str, text: str, most: int | None = None) -> DataFrame:
     """Text in, dishes out: lines are cleaned, dishes extracted, prices far off made null, similar names merged, fused lines
-    split; doc, _pos, part, name, description, price, category, confidence of at most `most` dishes of each document.
+    split; doc, _pos, part, name, description, price, category, confidence of all dishes, or of at most `most` of each document.
 
     doc tells documents apart; give each row a value of its own.
     """
@@ -391,19 +391,21 @@ def placed_dishes(rows: DataFrame, doc: str) -> DataFrame:
     return parse_columns(lines, doc)
 
 
-def checked(items: DataFrame, doc: str, most: int = 50) -> DataFrame:
-    """Items (doc, ix, name, price, ...) with prices far off made null, similar names merged and fused lines split: at most `most` of each doc, by _pos and part."""
+def checked(items: DataFrame, doc: str, most: int | None = None) -> DataFrame:
+    """Items (doc, ix, name, price, ...) with prices far off made null, similar names merged and fused lines split: all, or at most `most` of each doc, by _pos and part."""
     from ladle.operators.lines import split_items
 
     items = items.withColumn("_pos", F.col("ix").cast("long")).drop("ix")
     items = split_items(quality.greedy_dedup(quality.three_sigma_null(items, [doc], "price"), doc))
+    if most is None:
+        return items
     place = Window.partitionBy(doc).orderBy("_pos", "part")
     return items.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") <= most).drop("_rn")
 
 
-def parse_readings(readings: DataFrame, doc: str, text: str = "text", most: int = 50) -> DataFrame:
-    """Readings in, dishes out, each by the parser that its words and text allow: doc, parser, _pos, part, name, description,
-    price, category, confidence.
+def parse_readings(readings: DataFrame, doc: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """Readings in, dishes out (all, or at most `most` of each), each by the parser that its words and text allow: doc, parser,
+    _pos, part, name, description, price, category, confidence.
 
     readings are read once: routed rows are written in a folder for each parser, and each parser reads its own. Null texts and words are
     empty. doc tells readings apart; give each row a value of its own.
@@ -412,7 +414,7 @@ def parse_readings(readings: DataFrame, doc: str, text: str = "text", most: int
 
     rows = written("readings", routed(readings, doc, text), by=("parser",))
     of = lambda *parsers: rows.filter(F.col("parser").isin(*parsers))
-    found = (placed_dishes(of("paragraph", "smart"), doc), sequential_parse(of("sequential"), doc, "clean"), basic_extract(of("basic"), doc, F.col("clean")))
+    found = (placed_dishes(of("paragraph", "smart"), doc), sequential_parse(of("sequential"), doc, "clean", most), basic_extract(of("basic"), doc, F.col("clean"), most))
     # dishes are written before they are checked, as the rules of all parsers make too large a plan together
     items = written("dishes", *(f.select(doc, *(c.split()[0] for c in ITEM.split(", "))) for f in found))
     return checked(items, doc, most).join(rows.select(doc, "parser"), doc)

@@ -184,3 +184,14 @@ def test_word_lists_are_filed(spark):
     known = ("ab", "cd e", "é")
     assert values(spark, ["ab", "cd e", "é", "", "a", "ab,cd e", "\0", "\0\0", None], t.among(S, known)) == [True, True, True, False, False, False, False, False, None]
     assert values(spark, ["a -- -- b", "x _ _y", "[a] (b) Stew .. {x}. S", "NEW Pie N"], t.clean_name(S)) == ["a b", "x y", "Stew", "Pie"]
+
+
+def test_no_dish_of_a_long_text_is_dropped(spark):
+    dish = lambda k: f"{chr(65 + k % 26)}{'aeiou'[k // 26] * 2}rt{chr(97 + k % 26)}l Soup"
+    text = "\n".join(("DESSERTS\n" if k == 60 else "") + f"{dish(k)} {k + 2}.50\n{dish(k).upper()} 3.50" for k in range(120))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("\n", "\n\n"))], "doc int, txt string")
+    got = lines.basic_extract(docs.filter("doc = 1"), "doc", F.col("txt")).orderBy("ix").collect()
+    assert [(r.name, r.price, r.category) for r in got] == [(dish(k), k + 2.5, "soup" if k < 60 else "DESSERTS") for k in range(120)]
+    assert [r.name for r in lines.basic_extract(docs.filter("doc = 1"), "doc", F.col("txt"), 7).orderBy("ix").collect()] == [dish(k) for k in range(7)]
+    assert parsing.sequential_parse(docs, "doc", "txt").groupBy("doc").count().filter("count = 120").count() == 2
+    assert parsing.run_local(docs.filter("doc = 1"), "doc", "txt").count() > 50
