@@ -91,3 +91,19 @@ def test_rows_of_several_prices(spark, line, gaps, cut):
         x += 9.0 * len(w) + 8
     got = lines.text_lines(spark.createDataFrame(words, "doc_id int, text string, x double, y double, w double, h double, confidence double"))
     assert [r.text for r in got.orderBy("segment").collect()] == cut
+
+
+PLACED = "doc_id int, text string, x double, y double, w double, h double, confidence double"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    words = [(d, w, 60.0 * (k % 3), 30.0 * (k // 3), 50.0, 12.0, 90.0) for d in (1, None) for k, w in enumerate("Tomato Soup $4 Garlic Bread $3 -".split())]
+    found = lines.text_lines(spark.createDataFrame(words[::-1], PLACED))
+    logical, physical = plan_of(found)
+    # window after window sorted wide rows of all words, which did not fit a task's memory
+    assert "Window" not in logical and physical.count("Exchange hashpartitioning") == 1
+    assert rows(found, "doc_id", "line", "segment", "text", "price") == rows(spark.createDataFrame([(d, n, 0, x, p) for d in (1, None) for n, (x, p) in enumerate((("Tomato Soup $4", 4.0), ("Garlic Bread $3", 3.0), ("-", None)))], "doc_id int, line long, segment long, text string, price double"), "*")
