@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,8 @@ from ladle.session import written
 
 ITEM = "ix INT, name STRING, description STRING, price DOUBLE, category STRING, confidence DOUBLE"
 LINE_ONLY_PRICE = r"^[$€£¥]?\s*\d+(?:[.,]\d{1,2})?[\s.]*\z"
+#: Under titles with these words two words are a dish, without a food word.
+LOOSE_TITLES = ("pizza", "dessert")
 SIZES = r"(Small|Regular|Single|Large|Double|Medium|Kids?)\s+[$€£¥]?\s*\d+(?:[.,]\d+)?\s*/?\s*"
 
 
@@ -207,7 +210,7 @@ class _Column:
         return 1
 
     def unpriced(self, x: dict) -> None:
-        loose = any(w in self.category.lower() for w in ("pizza", "dessert"))
+        loose = any(w in self.category.lower() for w in LOOSE_TITLES)
         enough = x["clean_words"] >= 2 or x["food_whole"]
         if enough and (x["food"] or (loose and x["clean_words"] >= 2)):
             self.flush()
@@ -243,10 +246,19 @@ def _asked(line):
     return t.let(line, lambda x: t.let(x["text"], lambda c: named(x, c)))
 
 
+def _may_give(line, price):
+    """Whether a line can make the scan of its column give a dish: it has a price, sizes or a food word, or may be a title under which food
+    words are not asked for. A column without such a line gives none, whatever else its lines are (see _Column)."""
+    loose = t.let(F.lower(line), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in LOOSE_TITLES)))
+    return price.isNotNull() | line.rlike(t.SIZE_VARIANT) | loose | (t.food_count(t.clean_name(line)) > 0)
+
+
 def _column_features(lines: DataFrame, doc: str) -> DataFrame:
-    share = F.avg(F.col("priced").cast("double")).over(Window.partitionBy(doc, "column"))
-    length = F.avg(F.length("text")).over(Window.partitionBy(doc, "column"))
-    rows = lines.withColumn("layout", F.when(share < 0.15, "fastfood").when(length > 45, "descriptive").when(length < 25, "compact").otherwise("unknown"))
+    column = Window.partitionBy(doc, "column")
+    share, length = F.avg(F.col("priced").cast("double")).over(column), F.avg(F.length("text")).over(column)
+    rows = lines.withColumn("_may", _may_give(F.col("text"), F.col("price")))
+    rows = rows.withColumns({"layout": F.when(share < 0.15, "fastfood").when(length > 45, "descriptive").when(length < 25, "compact").otherwise("unknown"), "_may": F.max("_may").over(column)})
+    rows = rows.filter("_may").drop("_may")
     return rows.withColumn("_asked", _asked(F.struct("text", "priced", "centred", "caps", "layout"))).select("*", "_asked.*").drop("_asked")
 
 

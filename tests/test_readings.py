@@ -107,3 +107,14 @@ def test_words_of_a_page_are_shuffled_once(spark):
     # window after window sorted wide rows of all words, which did not fit a task's memory
     assert "Window" not in logical and physical.count("Exchange hashpartitioning") == 1
     assert rows(found, "doc_id", "line", "segment", "text", "price") == rows(spark.createDataFrame([(d, n, 0, x, p) for d in (1, None) for n, (x, p) in enumerate((("Tomato Soup $4", 4.0), ("Garlic Bread $3", 3.0), ("-", None)))], "doc_id int, line long, segment long, text string, price double"), "*")
+
+
+def test_columns_without_dishes_are_left_out_early(spark):
+    text = {1: "nothing of that kind is here", 2: "many more words", 3: "Grilled Salmon", 4: "PIZZA", 5: "Large 5", 6: "Soup $4"}
+    words = [(d, w, 60.0 * k, 30.0 * n, 50.0, 12.0, 90.0) for d, line in text.items() for n, part in enumerate(("just so", line, "and so on")) for k, w in enumerate(part.split())]
+    placed = spark.createDataFrame(words, PLACED)
+    found = parsing.smart_parse(placed)
+    assert "Join" not in plan_of(found)[0]  # for a join all lines were made twice
+    kept = parsing._column_features(lines.detect_columns(lines.text_lines(placed)), "doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([3, 4, 5, 6] * 3)
+    assert rows(found, "doc_id", "name", "price") == [(6, "Soup", 4.0)]
