@@ -314,15 +314,25 @@ def second_extractor(docs: DataFrame, doc: str, text: str) -> DataFrame:
     anywhere, alone = r"(?i)\$?\s*(\d+\.?\d*)\s*(?:USD)?", r"(?i)^\$?\s*(\d+\.?\d*)\s*(?:USD)?\z"
     number = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("double")
     before = lambda x: F.regexp_replace(t.strip(F.when(x.rlike(anywhere), F.regexp_extract(x, r"(?i)^(.*?)\$?\s*\d", 1)).otherwise(x)), r"[,\-–— ]+\z", "")
-    cell = lambda x: t.let(score_line(x), lambda c: F.struct(x.alias("text"), c["kind"].alias("kind"), c["score"].alias("score"), c["title"].alias("title"), c["priced"].alias("priced"), c["letters"].alias("letters"), number(x, anywhere).alias("price"), number(x, alone).alias("alone"), before(x).alias("name")))
-    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), t.strip), lambda x: x != ""), lambda x: cell(x))
+
+    def cell(x, c):
+        dish, numbered = c["kind"] == "dish", x.rlike(t.DIGIT)
+        told = (x.alias("text"), c["kind"].alias("kind"), c["score"].alias("score"), F.when(c["kind"] == "section", c["title"]).alias("title"), c["priced"].alias("priced"), c["letters"].alias("letters"))
+        return F.struct(*told, F.when(dish & numbered, number(x, anywhere)).alias("price"), F.when(numbered, number(x, alone)).alias("alone"), F.when(dish, before(x)).alias("name"))
+
+    # of 60 characters and 29 letters or more, without a digit or bullet: 10 points at most, no title, and no text that describes a dish
+    prose = lambda x: (F.length(x) >= 60) & ~x.rlike(r"\p{Nd}") & ~x.rlike(r"^[•·*\-–—]") & (F.length(F.regexp_replace(x, r"[^\p{L}]+", "")) > 28)
+    blank = F.struct(*(F.lit(v).cast(kind).alias(k) for k, v, kind in (("text", "", "string"), ("kind", "garbage", "string"), ("score", 0, "int"), ("title", None, "string"), ("priced", False, "boolean"), ("letters", 0, "int"), ("price", None, "double"), ("alone", None, "double"), ("name", None, "string"))))
+    asked = lambda x: F.when(prose(x), blank).otherwise(t.let(score_line(x), lambda c: cell(x, c)))
+    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), t.strip), lambda x: x != ""), asked)
+    lines = t.let(lines, lambda found: F.when(F.exists(found, lambda x: x["kind"] == "dish"), found))
 
     def describes(x: dict) -> bool:
         weak = x["kind"] in ("description", "garbage") or (x["kind"] == "dish" and x["score"] < 25)
         return weak and x["letters"] > 6 and not x["priced"] and 3 < len(x["text"]) < 60
 
     def extract(d: dict) -> list[tuple]:
-        rows, out, category, i = [dict(x) for x in d["_lines"]], [], "menu", 0
+        rows, out, category, i = [dict(x) for x in (d["_lines"] if d["_lines"] is not None else ())], [], "menu", 0
         while i < len(rows):
             x = rows[i]
             i += 1

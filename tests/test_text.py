@@ -195,3 +195,13 @@ def test_no_dish_of_a_long_text_is_dropped(spark):
     assert [r.name for r in lines.basic_extract(docs.filter("doc = 1"), "doc", F.col("txt"), 7).orderBy("ix").collect()] == [dish(k) for k in range(7)]
     assert parsing.sequential_parse(docs, "doc", "txt").groupBy("doc").count().filter("count = 120").count() == 2
     assert parsing.run_local(docs.filter("doc = 1"), "doc", "txt").count() > 50
+
+
+def test_second_scorer_asks_prose_little(spark):
+    prose = "the long prose of a page about the garden and the old house beside the sea"
+    text = f"PIZZA\n{prose}\nMargherita Pizza $9.99\n{prose}\nfresh tomato and basil\n• Lamb Chops Rosemary\n12.50\n• {prose}\n{prose} 12.50\n{prose[:40]}"
+    docs = spark.createDataFrame([(1, text), (2, prose), (3, None)], "doc int, txt string")
+    got = [(r.doc, r.name, r.price, r.description) for r in parsing.second_extractor(docs, "doc", "txt").orderBy("ix").collect()]
+    assert got == [(1, "Margherita Pizza", 9.99, ""), (1, "• Lamb Chops Rosemary", 12.5, ""), (1, prose, 12.5, prose[:40])]
+    # letters are counted once a line; each question counted them anew
+    assert lines.score_line(S)._jc.toString().count("p{L}]") == 1
