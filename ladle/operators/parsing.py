@@ -25,7 +25,7 @@ SIZES = r"(Small|Regular|Single|Large|Double|Medium|Kids?)\s+[$€£¥]?\s*\d+(?
 
 def _line_struct(line, block, layout):
     """What the sequential extractor asks of a line. Values that several questions share are bound once."""
-    score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), F.lit(False), name == F.upper(name), layout)
+    score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), F.lit(False), t.is_upper(name), layout)
 
     def asked(x, price, clean, base):
         first = F.replace(F.regexp_extract(x, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit("."))
@@ -229,13 +229,13 @@ def _asked(line):
 
     def asked(x, c, clean, bare, words, real_words):
         score = lambda priced, name: t.confidence(F.lit(priced), name, F.lit(""), x["centred"], x["caps"], x["layout"])
-        caps_word = F.get(F.filter(words, lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & t.among(F.lower(w), t.CATEGORY_TITLES)), F.lit(0))
+        caps_word = F.get(F.filter(words, lambda w: (F.length(w) >= 3) & t.is_upper(w) & t.among(F.lower(w), t.CATEGORY_TITLES)), F.lit(0))
         long = F.length(clean) >= 3
         return F.struct(
             c.rlike(LINE_ONLY_PRICE).alias("only_price"), t.is_noise(c).alias("noise"), c.rlike(r"^\d+(?:\.\d+)?\z").alias("number"), c.rlike(r"\d").alias("digit"), c.rlike("[a-zA-Z]{3,}").alias("ascii"),
             c.rlike(t.SIZE_VARIANT).alias("sizes"), t.strip(F.regexp_replace(c, SIZES, "")).alias("base"), F.replace(F.regexp_extract(c, r"\d+(?:[.,]\d{1,2})?", 0), F.lit(","), F.lit(".")).try_cast("double").alias("first"),
             clean.alias("clean"), F.substring(t.correct_ocr(clean), 1, 200).alias("fixed"), (long & ~t.is_noise(clean) & real_words).alias("real"), (long & real_words).alias("letters"), bare.alias("bare"), t.is_noise(bare).alias("bare_noise"),
-            (c == F.upper(c)).alias("upper"), c.rlike(t.SUBTITLE).alias("subtitle"), (t.is_section(F.lower(c)) | (c == F.upper(c))).alias("section_like"), t.header_category(c).alias("title"),
+            t.is_upper(c).alias("upper"), c.rlike(t.SUBTITLE).alias("subtitle"), (t.is_section(F.lower(c)) | t.is_upper(c)).alias("section_like"), t.header_category(c).alias("title"),
             F.when(c.rlike(r"\d"), caps_word).alias("caps_section"), F.size(words).alias("n_words"), F.size(t.words(clean)).alias("clean_words"), (t.food_count(clean) > 0).alias("food"), t.is_food(clean).alias("food_whole"),
             t.is_description(clean).alias("clean_description"), score(True, F.when(x["priced"], bare).otherwise(clean)).alias("with_price"), score(False, clean).alias("no_price"),
         )
@@ -418,7 +418,7 @@ def checked(items: DataFrame, doc: str, most: int | None = None) -> DataFrame:
     from ladle.operators.lines import split_items
 
     items = items.withColumn("_pos", F.col("ix").cast("long")).drop("ix")
-    items = split_items(quality.greedy_dedup(quality.three_sigma_null(items, [doc], "price"), doc))
+    items = split_items(quality.greedy_dedup(quality.three_sigma_null(items, [doc], "price", small=True), doc))
     if most is None:
         return items
     place = Window.partitionBy(doc).orderBy("_pos", "part")

@@ -205,3 +205,22 @@ def test_second_scorer_asks_prose_little(spark):
     assert got == [(1, "Margherita Pizza", 9.99, ""), (1, "• Lamb Chops Rosemary", 12.5, ""), (1, prose, 12.5, prose[:40])]
     # letters are counted once a line; each question counted them anew
     assert lines.score_line(S)._jc.toString().count("p{L}]") == 1
+
+
+def test_dishes_are_made_once_before_they_are_checked(spark):
+    docs = spark.createDataFrame([(1, "Tomato Soup $4.50\nOnion Tart $5\nApple Pie $6\nLemon Pie 7.50"), (None, "Plum Cake $4"), (None, "Rice Pudding $3")], "id long, txt string")
+    got = parsing.run_local(docs, "id", "txt")
+    # for a join with each document's mean price, texts were cleaned and dishes extracted twice
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id or 0, r.name) for r in got.collect()) == [(0, "Plum Cake"), (0, "Rice Pudding"), (1, "Apple Pie"), (1, "Lemon Pie"), (1, "Onion Tart"), (1, "Tomato Soup")]
+    far = spark.createDataFrame([(k // 20, 900.0 if k == 7 else 5.0 + k % 3) for k in range(40)] + [(2, None), (3, 1.0), (3, 99.0)], "doc int, price double")
+    both = [sorted(((r.doc, r.price) for r in quality.three_sigma_null(far, ["doc"], "price", small=small).collect()), key=str) for small in (False, True)]
+    assert both[0] == both[1] and (0, None) in both[0]
+
+
+def test_noise_is_asked_of_lines_that_hold_a_part_of_it(spark):
+    assert [t.literal(p) for p in ("https?://\\S+", "gluten[- ]free option", r"facebook\.com", r"copyright\s*\d{0,4}", "(?:find|visit)\\s+us", r"^menu\z", r"\bfr[ie]d\b", "[©®™]", "to[- ]?go", r"espresso\w*")] == ["http", "free option", "facebook.com", "copyright", "us", "menu", "fr", "", "to", "espresso"]
+    parts = ("Pick-up", "pick up", "TO GO", "togo", "©", "Copyright 2020", "menu", "a menu", "@joe", "https://x", "Gluten Free Option", "visit  us", "Soup", "ALLERGENS", "grilld", "PIZZS", "fred", "saimon", "İ", "")
+    texts = [f"{a} {b}".strip() for a in parts for b in parts]
+    for patterns in (t.CLEANER_NOISE, t.NOISE_ANYWHERE, [p for p, _ in t.OCR_CORRECTIONS]):
+        assert values(spark, texts, t._any(S, patterns, "(?i)")) == values(spark, texts, t._any_held(S, F.lower(S), t._alternatives(patterns), "(?i)"))
