@@ -118,3 +118,13 @@ def test_columns_without_dishes_are_left_out_early(spark):
     kept = parsing._column_features(lines.detect_columns(lines.text_lines(placed)), "doc_id")
     assert sorted(r.doc_id for r in kept.collect()) == sorted([3, 4, 5, 6] * 3)
     assert rows(found, "doc_id", "name", "price") == [(6, "Soup", 4.0)]
+
+
+def test_documents_in_one_split_are_read_by_all_cores(spark, tmp_path, monkeypatch):
+    from ladle.plans import catalogue
+
+    spark.createDataFrame([(k, "Tomato Soup $4.50") for k in range(8)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    given = []
+    monkeypatch.setattr(parsing, "parse_readings", lambda r, doc: given.append(r) or spark.createDataFrame([], "doc_id long, parser string, _pos long, part string, name string, price double, category string"))
+    catalogue.QUERIES["readings_dishes"](spark, str(tmp_path))
+    assert given[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
